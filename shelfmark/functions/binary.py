@@ -92,11 +92,11 @@ def content_variants(files: DataFrame, keys: list[str], algo: str = "crc32", swa
         for i, order in enumerate(("byteswapped", "littleendian"), 11):
             one = variant(i, "swap", null_int, F.lit(T.BYTE_ORDER_LABELS[order]), digest(swap_bytes(c, order), algo), size, null_int)
             variants.append(F.when(swap & byte_order(c).isNotNull(), one))
-    read = files.select(*keys, byte_order(c).alias("order_found"), F.array(*variants).alias("variants"))
+    read = files.select(*keys, byte_order(c).alias("order_found"), F.array_compact(F.array(*variants)).alias("variants"))
     # a swap that reads like the raw content, or like the other swap, adds nothing
     kept = F.filter(
         "variants",
-        lambda v: v.isNotNull() & ~((v.kind == "swap") & F.exists(
+        lambda v: ~((v.kind == "swap") & F.exists(
             "variants",
             lambda w: (w.kind != "prefix") & (w.variant_ord < v.variant_ord) & (w.hash == v.hash),
         )),

@@ -150,11 +150,9 @@ MASK_LETTERS = "qzxj0987654321vkwyfbghmpucdlnstroiae"
 
 def char_mask(c: Column) -> Column:
     """36-bit set of the letters and digits of a normalised name; bit 0 is the rarest letter."""
-    bits = [
-        F.when(c.contains(letter), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        for i, letter in enumerate(MASK_LETTERS)
-    ]
-    mask = bits[0]
-    for bit in bits[1:]:
-        mask = mask.bitwiseOR(bit)
-    return mask
+    return F.aggregate(
+        F.split(c, ""), F.lit(0).cast("bigint"),
+        lambda mask, letter: mask.bitwiseOR(F.coalesce(
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), F.nullif(F.instr(F.lit(MASK_LETTERS), letter), F.lit(0)) - 1),
+            F.lit(0).cast("bigint"))),
+    )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.operators.reconcile import SCOPE
+from shelfmark.session import cut, spread
 
 NOTHING = "No similar DAT entry found"
 THRESHOLD = 0.7
@@ -74,15 +75,16 @@ def nearest_masks(asked: DataFrame, listed: DataFrame) -> DataFrame:
 
     Both distinct by (SCOPE, mask). Returns SCOPE, mask, set_name, score; no row when nothing is near.
     """
-    here = _remainders(asked, [*SCOPE, "mask"])
+    asked = cut(asked)
+    here = _remainders(spread(asked, *SCOPE, "mask"), [*SCOPE, "mask"])
     there = (
-        _remainders(listed, [*SCOPE, "set_pos", "set_name"])
+        _remainders(spread(listed, *SCOPE, "mask"), [*SCOPE, "set_pos", "set_name"])
         .groupBy(*SCOPE, "core", F.col("lost").alias("lost_there"))
         .agg(F.min(F.struct("set_pos", "set_name")).alias("s"))
         .select(*SCOPE, "core", "lost_there", "s.*")
     )
     shared = F.bit_count("core")
-    near = (
+    near = cut(
         here.join(there, [*SCOPE, "core"])
         .withColumn("score", shared / (shared + F.greatest("lost", "lost_there")))
         .filter(F.col("score") > THRESHOLD)
@@ -92,8 +94,11 @@ def nearest_masks(asked: DataFrame, listed: DataFrame) -> DataFrame:
     # With more than 7 letters something farther than two letters may still pass the threshold. It
     # is always worse than anything found above (n - 2)/n, so only masks without a hit go on.
     rest = asked.join(near, [*SCOPE, "mask"], "left_anti").filter(F.bit_count("mask") > 7)
-    pairs = _rare_keys(rest, [*SCOPE, "mask"]).join(
-        _rare_keys(listed.filter(F.bit_count("mask") > 5), [*SCOPE, "set_pos", "set_name", "mask"])
+    if rest.isEmpty():
+        return near
+    others = listed.filter(F.bit_count("mask") > 5).join(rest.select(*SCOPE).distinct(), SCOPE, "left_semi")
+    pairs = _rare_keys(spread(rest, *SCOPE, "mask"), [*SCOPE, "mask"]).join(
+        _rare_keys(spread(others, *SCOPE, "mask"), [*SCOPE, "set_pos", "set_name", "mask"])
         .withColumnRenamed("mask", "other"),
         [*SCOPE, "key"],
     )
@@ -124,15 +129,16 @@ def closest_sets(files: DataFrame, sets: DataFrame) -> DataFrame:
     """``files``: SCOPE, file_name. ``sets``: SCOPE, set_pos, set_name. Adds closest_set and note."""
     asked = files.select(*SCOPE, "file_name", N.stem(F.col("file_name")).alias("stem")).withColumns({
         "clean": N.clean_base(F.col("stem")),
-        "mask": N.char_mask(N.normalize_name(F.col("stem"))),
-    })
+        "norm": N.normalize_name(F.col("stem")),
+    }).withColumn("mask", N.char_mask(F.col("norm"))).drop("norm")
     by_base = (
         sets.withColumn("clean", N.clean_base(F.col("set_name"))).filter(F.col("clean") != "")
         .groupBy(*SCOPE, "clean").agg(F.min(F.struct("set_pos", "set_name")).alias("s"))
         .select(*SCOPE, "clean", F.col("s.set_name").alias("same_base"))
     )
     by_mask = (
-        sets.withColumn("mask", N.char_mask(N.normalize_name(F.col("set_name")))).filter(F.col("mask") != 0)
+        sets.withColumn("norm", N.normalize_name(F.col("set_name")))
+        .withColumn("mask", N.char_mask(F.col("norm"))).filter(F.col("mask") != 0)
         .groupBy(*SCOPE, "mask").agg(F.min(F.struct("set_pos", "set_name")).alias("s"))
         .select(*SCOPE, "mask", "s.*")
     )

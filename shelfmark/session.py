@@ -29,8 +29,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build(app: str = "shelfmark", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+def build(app: str = "shelfmark", master: str | None = None, partitions: int | None = None,
+          memory: str | None = None) -> SparkSession:
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if master:
         builder = builder.master(master)
     if partitions:
@@ -66,6 +69,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Shuffle by ``columns`` into the configured number of partitions, before rows multiply.
+
+    Adaptive execution merges partitions by their size on arrival; a given number keeps them apart
+    so that an explode behind it stays spread out.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after counting; beyond the bound the planner shuffles and splits hot keys."""
     if df.limit(rows + 1).count() <= rows:
