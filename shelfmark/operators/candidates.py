@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.operators import hash_match, name_match
-from shelfmark.operators.reconcile import SCOPE, _usable, wanted_hashes
+from shelfmark.operators.reconcile import SCOPE, _usable
+from shelfmark.session import cut
 
 FIELDS = ["set_name", "set_pos", "n_sets", "confidence", "reason", "expected_hash", "actual_hash",
           "hash_match", "action", "stage", "rule_ord"]
@@ -47,7 +48,7 @@ def size_reason(label: Column, prefix: Column, size: Column) -> Column:
     )
 
 
-def content_candidates(variants: DataFrame, entries: DataFrame) -> DataFrame:
+def content_candidates(variants: DataFrame, entries: DataFrame, misses: DataFrame | None = None) -> DataFrame:
     """Per file and catalogue, what each reading of the content finds: its first set and the number of sets.
 
     The other sets of a hash are listed by content in ``hash_match``; repeating them for every
@@ -67,8 +68,9 @@ def content_candidates(variants: DataFrame, entries: DataFrame) -> DataFrame:
         stage.alias("stage"), F.col("variant_ord").cast("int").alias("rule_ord"),
     )
     firsts = hash_match.first_hashes(entries).select(*SCOPE, "set_pos", "first_hash")
+    misses = hash_match.prefix_misses(variants, entries) if misses is None else misses
     by_size = (
-        hash_match.prefix_misses(variants, entries).join(_first_sets(entries, "size"), [*SCOPE, "size"])
+        misses.join(_first_sets(entries, "size"), [*SCOPE, "size"])
         .join(firsts, [*SCOPE, "set_pos"])
         .select(
             *SCOPE, "file_name", "set_name", "set_pos", "n_sets", F.lit(0.3).alias("confidence"),
@@ -118,25 +120,32 @@ def verify_names(named: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
-def gather(files: DataFrame, variants: DataFrame, entries: DataFrame) -> DataFrame:
-    """All candidates per file and catalogue, each set once, the name stage only where it is needed."""
-    content = content_candidates(variants, entries)
+def gather(files: DataFrame, variants: DataFrame, entries: DataFrame, *more: DataFrame) -> DataFrame:
+    """All candidates per file and catalogue, each set once, the name stage only where it is needed.
+
+    ``more``: content candidates of further rules, in the columns of ``content_candidates``. What
+    several later steps read is written out once instead of being joined together again for each.
+    """
+    misses = cut(hash_match.prefix_misses(variants, entries))
+    content = content_candidates(variants, entries, misses)
+    for extra in more:
+        content = content.unionByName(extra)
+    content = cut(content)
     sure = content.filter(confirmed()).select(*SCOPE, "file_name").distinct()
-    firsts = hash_match.first_hashes(entries)
-    named = name_match.name_candidates(files, firsts)
-    spread = (
+    named = name_match.name_candidates(files, hash_match.first_hashes(entries))
+    open_names = cut(
         files.select("collection", "file_name", N.stem(F.col("file_name")).alias("stem"))
         .join(named, ["collection", "stem"]).drop("stem")
         .join(sure, [*SCOPE, "file_name"], "left_anti")
     )
     # a set some stripped length already named is not named again
-    sized = hash_match.prefix_misses(variants, entries).select(*SCOPE, "file_name", "size").distinct()
-    set_sizes = entries.filter(F.col("size") > 0).select(*SCOPE, "set_name", "size").distinct()
+    sizes = entries.filter(F.col("size") > 0).select(*SCOPE, "set_name", "size").distinct()
     blocked = (
-        spread.select(*SCOPE, "file_name", "set_name").join(set_sizes, [*SCOPE, "set_name"])
-        .join(sized, [*SCOPE, "file_name", "size"]).select(*SCOPE, "file_name", "set_name").distinct()
+        open_names.select(*SCOPE, "file_name", "set_name").join(sizes, [*SCOPE, "set_name"])
+        .join(misses.select(*SCOPE, "file_name", "size"), [*SCOPE, "file_name", "size"], "left_semi")
+        .select(*SCOPE, "file_name", "set_name").distinct()
     )
-    fresh = verify_names(spread.join(blocked, [*SCOPE, "file_name", "set_name"], "left_anti"), variants)
+    fresh = verify_names(open_names.join(blocked, [*SCOPE, "file_name", "set_name"], "left_anti"), variants)
     fresh = fresh.withColumns({"stage": F.lit(4), "n_sets": F.lit(1).cast("bigint")})
     # at most a dozen rows per file and catalogue
     once = Window.partitionBy(*SCOPE, "file_name", "set_name").orderBy("stage", "rule_ord")

@@ -12,14 +12,29 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
+from shelfmark.session import cut
 
 # how many source words in front of a vendor are taken off before giving up
 STRIP_DEPTH = 3
 
 
-def _strips(split: Column) -> Column:
+def _strips(vendor: Column, rest: Column) -> Column:
     """The vendor is a source word and there is another vendor behind it."""
-    return split["vendor"].isin(T.SOURCE_PREFIXES) & split["rest"].contains(" - ")
+    return vendor.isin(T.SOURCE_PREFIXES) & rest.contains(" - ")
+
+
+def _split(df: DataFrame, text: Column, vendor: str, rest: str) -> DataFrame:
+    """Add vendor and rest of a name as columns of their own.
+
+    Each step of a chain of splits is a projection over plain columns, so the optimizer does not
+    fold the chain into one expression that repeats itself at every level.
+    """
+    parts = f"_{vendor}"
+    two = F.size(parts) == 2
+    return df.withColumn(parts, F.split(text, " - ", 2)).withColumns({
+        vendor: F.when(two, N.strip(F.col(parts)[0])).otherwise(""),
+        rest: N.strip(F.element_at(parts, -1)),
+    }).drop(parts)
 
 
 def _bare(rest: Column) -> Column:
@@ -28,12 +43,12 @@ def _bare(rest: Column) -> Column:
 
 def _forms(df: DataFrame, name: str) -> DataFrame:
     """(name, form): what is left of the vendor after taking off 0, 1, ... source words."""
-    out = df.select(name, N.split_vendor(F.lower(name)).alias("s0"))
+    out = _split(df.select(name), F.lower(name), "v0", "r0")
     for i in range(STRIP_DEPTH):
-        s = F.col(f"s{i}")
-        out = out.withColumn(f"s{i + 1}", F.when(_strips(s), N.split_vendor(s["rest"])))
-    forms = F.array(*[F.struct(_bare(F.col(f"s{i}")["rest"]).alias("form")) for i in range(STRIP_DEPTH + 1)])
-    return out.select(name, F.explode(F.array_distinct(forms)).alias("f")).select(name, "f.form").filter("form is not null")
+        v, r = F.col(f"v{i}"), F.col(f"r{i}")
+        out = _split(out, F.when(_strips(v, r), r), f"v{i + 1}", f"r{i + 1}")
+    forms = F.array_compact(F.array(*[_bare(F.col(f"r{i}")) for i in range(STRIP_DEPTH + 1)]))
+    return out.select(name, F.explode(F.array_distinct(forms)).alias("form"))
 
 
 def _grams(c: Column) -> Column:
@@ -59,18 +74,23 @@ def _keys(df: DataFrame, name: str, inner: str, outer: str) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``score`` for catalogue name ``a`` and collection name ``b``."""
-    df = pairs.withColumns({"_a": N.split_vendor(F.lower(a)), "_b": N.split_vendor(F.lower(b))})
-    va, vb = F.col("_a.vendor"), F.col("_b.vendor")
-    differ = (va != "") & (vb != "") & (va != vb)
-    for _ in range(STRIP_DEPTH):
-        strip_a = differ & _strips(F.col("_a"))
-        strip_b = differ & ~_strips(F.col("_a")) & _strips(F.col("_b"))
-        df = df.withColumns({
-            "_a2": F.when(strip_a, N.split_vendor(F.col("_a.rest"))).otherwise(F.col("_a")),
-            "_b2": F.when(strip_b, N.split_vendor(F.col("_b.rest"))).otherwise(F.col("_b")),
-        }).drop("_a", "_b").withColumnsRenamed({"_a2": "_a", "_b2": "_b"})
-    df = df.withColumns({"_x": _bare(F.col("_a.rest")), "_y": _bare(F.col("_b.rest")), "_apart": differ})
-    df = df.withColumns({"_tx": N.tokenize(F.col("_x")), "_ty": N.tokenize(F.col("_y"))})
+    df = _split(_split(pairs, F.lower(a), "va0", "ra0"), F.lower(b), "vb0", "rb0")
+    for i in range(STRIP_DEPTH):
+        va, ra, vb, rb = (F.col(f"{x}{i}") for x in ("va", "ra", "vb", "rb"))
+        df = df.withColumn("_apart", (va != "") & (vb != "") & (va != vb))
+        take_a = F.col("_apart") & _strips(va, ra)
+        take_b = F.col("_apart") & ~_strips(va, ra) & _strips(vb, rb)
+        # splitting a whole "vendor - rest" again gives the same parts, so the other side stays as it is
+        whole_a = F.when(take_a, ra).when(va == "", ra).otherwise(F.concat(va, F.lit(" - "), ra))
+        whole_b = F.when(take_b, rb).when(vb == "", rb).otherwise(F.concat(vb, F.lit(" - "), rb))
+        df = _split(_split(df, whole_a, f"va{i + 1}", f"ra{i + 1}"), whole_b, f"vb{i + 1}", f"rb{i + 1}")
+        df = df.drop(f"va{i}", f"ra{i}", f"vb{i}", f"rb{i}", "_apart")
+    last = {x: F.col(f"{x}{STRIP_DEPTH}") for x in ("va", "ra", "vb", "rb")}
+    df = df.select(
+        *pairs.columns, ((last["va"] != "") & (last["vb"] != "") & (last["va"] != last["vb"])).alias("_apart"),
+        _bare(last["ra"]).alias("_x"), _bare(last["rb"]).alias("_y"))
+    df = df.withColumns({"_tx": N.tokenize(F.col("_x")), "_ty": N.tokenize(F.col("_y")),
+                         "_cx": N.canonicalize(F.col("_x")), "_cy": N.canonicalize(F.col("_y"))})
     x, y = F.col("_x"), F.col("_y")
     common = F.size(F.array_intersect("_tx", "_ty"))
     union = F.size(F.array_union("_tx", "_ty"))
@@ -78,12 +98,12 @@ def score_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     score = (
         F.when(F.col("_apart"), 0.0)
         .when(x == y, 100.0)
-        .when(N.canonicalize(x) == N.canonicalize(y), 90.0)
+        .when(F.col("_cx") == F.col("_cy"), 90.0)
         .when(y.contains(x) | x.contains(y), 80.0)
         .when((common > 0) & (common / fewest >= 0.5), common / union * 70.0)
         .otherwise(0.0)
     )
-    return df.withColumn("score", score).drop("_a", "_b", "_x", "_y", "_tx", "_ty", "_apart")
+    return df.select(*pairs.columns, score.alias("score"))
 
 
 def collection_scores(catalogs: DataFrame, collections: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -95,7 +115,9 @@ def collection_scores(catalogs: DataFrame, collections: DataFrame, threshold: fl
         .join(_keys(right, "collection", "out|", "in|"), "key")
         .select("catalog_name", "collection").distinct()
     )
-    scored = score_pairs(pairs, "catalog_name", "collection")
+    # written out before it is filtered: a filter on the score would be pushed below every step of
+    # the chain of splits, as one expression that holds them all
+    scored = cut(score_pairs(pairs, "catalog_name", "collection"))
     return scored.filter(F.col("score") > 0 if threshold is None else F.col("score") >= threshold)
 
 

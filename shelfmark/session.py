@@ -64,9 +64,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder so that a lost executor does not replay what came before."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and go on from there.
+
+    A lost executor then does not replay what came before, and several joins read the same rows.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
