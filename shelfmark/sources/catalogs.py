@@ -29,22 +29,22 @@ def _source_path(meta: str = "_metadata.file_path") -> Column:
     return F.url_decode(F.replace(F.col(meta), F.lit("+"), F.lit("%2B")))
 
 
-def read_sets(spark: SparkSession, path: str) -> DataFrame:
+def read_sets(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
     """One row per <game> of the plain catalogues under ``path``."""
     return (
         spark.read.format("xml").option("rowTag", "game").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_rejected").option("pathGlobFilter", "*.dat")
+        .option("columnNameOfCorruptRecord", "_rejected").option("pathGlobFilter", pattern)
         .option("ignoreSurroundingSpaces", True).schema(SET).load(path)
         .withColumns({"catalog_path": _source_path(), "set_pos": F.monotonically_increasing_id()})
     )
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
+def read_entries(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
     """One row per <rom>, and one with NULL entry columns per set without any.
 
     Positions follow the document. Write the result as a table before using it in several joins.
     """
-    sets = read_sets(spark, path).filter(F.col("_rejected").isNull())
+    sets = read_sets(spark, path, pattern).filter(F.col("_rejected").isNull())
     rows = sets.select(
         "catalog_path", "set_pos", F.coalesce("_name", F.lit("")).alias("set_name"),
         N.strip(F.coalesce("description", F.lit(""))).alias("description"), F.posexplode_outer("rom").alias("entry_pos", "r"))
