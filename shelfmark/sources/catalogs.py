@@ -135,6 +135,6 @@ def read_zipped_entries(spark: SparkSession, path: str) -> DataFrame:
 def rejected_catalogs(spark: SparkSession, path: str) -> DataFrame:
     """Catalogues with records that could not be read: (catalog_path, error)."""
     plain = read_sets(spark, path).filter(F.col("_rejected").isNotNull()).select(
-        "catalog_path", F.lit("malformed record").alias("error"))
+        "catalog_path", F.concat(F.lit("malformed record after "), F.coalesce("_name", F.lit("?"))).alias("error"))
     zipped = read_zipped_entries(spark, path).filter(F.col("error").isNotNull()).select("catalog_path", "error")
     return plain.unionByName(zipped).distinct()

@@ -11,7 +11,7 @@ from workload import frames as fr
 from workload.frames import RESULTS
 from workload.registry import query
 
-# every file with a part of more than half the sizes is matched to the set of its part
+# settled files are matched to the set of their part
 _MATCH = {
     "collection": "p_type", "file_name": fr.RESULT["file_name"], "matched_set": fr.SET_NAME,
     "reason": "'Direct CRC match'", "plan_label": "CASE WHEN p_size % 3 = 0 THEN 'ok' ELSE 'modify' END",
@@ -21,7 +21,8 @@ _LIST = ", ".join(_COLS)
 # a file was found under several sets before it was analysed: one row per part and per longer name
 _MANY = f"""many AS (SELECT {_LIST} FROM result UNION ALL
   SELECT collection, row_pos + 1000000000, 'Other ' || set_name, description, file_name, expected_file_name, 'unverified', note, plan FROM result)"""
-_MATCHES = f"match AS (SELECT {', '.join(fr._columns(_MATCH))} FROM part WHERE p_size % 8 <> 4 AND p_retailprice > 950)"
+_SETTLED = f"({fr.RESULT['status']}) IN ('matched', 'ok', 'duplicate')"
+_MATCHES = f"match AS (SELECT {', '.join(fr._columns(_MATCH))} FROM part WHERE {_SETTLED})"
 
 
 def _many(spark, d):
@@ -32,7 +33,7 @@ def _many(spark, d):
 
 
 def _matches(spark, d):
-    return fr.table(spark, d, "part").filter("p_size % 8 <> 4 AND p_retailprice > 950").selectExpr(*fr._columns(_MATCH))
+    return fr.table(spark, d, "part").filter(_SETTLED).selectExpr(*fr._columns(_MATCH))
 
 
 @query("applied_matches", RESULTS + f""", {_MANY}, {_MATCHES}
@@ -129,10 +130,11 @@ SELECT collection, file_name FROM result r WHERE file_name IS NOT NULL AND NOT E
         fr.results(spark, d).filter("status = 'matched'")))
 
 
-# ---- routing: all files are asked for, and some that never had a row; files of one brand are gone from disk ----
+# ---- routing: all files are asked for, and as many that never had a row; files of one brand are gone from disk ----
+_DISK = f"CASE p_brand WHEN 'Brand#5' THEN 'gone-' || CAST(p_partkey AS STRING) ELSE {fr.RESULT['file_name']} END"
 _ASK = f""", asked AS (SELECT collection, file_name FROM result WHERE file_name IS NOT NULL
-  UNION SELECT p_type, 'new-' || CAST(p_partkey AS STRING) FROM part WHERE p_brand = 'Brand#7'),
-disk AS (SELECT p_type AS collection, {fr.RESULT['file_name']} AS file_name FROM part WHERE p_brand <> 'Brand#5'),
+  UNION SELECT p_type, 'new-' || CAST(p_partkey AS STRING) FROM part),
+disk AS (SELECT p_type AS collection, {_DISK} AS file_name FROM part),
 routed AS (SELECT a.collection, a.file_name, CASE WHEN r.status = 'matched' THEN r.set_name END AS set_name,
   CASE WHEN g.region_rank > g.best OR g.best >= 3 THEN 'excluded' WHEN r.status IS NULL THEN 'failed' WHEN r.status <> 'matched' AND r.plan = 'exclude' THEN 'excluded'
     WHEN r.status = 'duplicate' THEN 'duplicate' WHEN r.status <> 'matched' THEN 'failed' WHEN r.plan = 'exclude' THEN 'excluded' WHEN k.file_name IS NULL THEN 'failed' ELSE 'export' END AS outcome,
@@ -148,9 +150,9 @@ routed AS (SELECT a.collection, a.file_name, CASE WHEN r.status = 'matched' THEN
 def _routed(spark, d):
     rows = fr.results(spark, d)
     part = fr.table(spark, d, "part")
-    fresh = part.filter("p_brand = 'Brand#7'").selectExpr("p_type AS collection", "'new-' || CAST(p_partkey AS STRING) AS file_name")
+    fresh = part.selectExpr("p_type AS collection", "'new-' || CAST(p_partkey AS STRING) AS file_name")
     asked = rows.filter("file_name IS NOT NULL").select("collection", "file_name").unionByName(fresh)
-    disk = part.filter("p_brand <> 'Brand#5'").selectExpr("p_type AS collection", f"{fr.RESULT['file_name']} AS file_name")
+    disk = part.selectExpr("p_type AS collection", f"{_DISK} AS file_name")
     return RT.route(asked, rows, disk, PREFER)
 
 

@@ -65,29 +65,32 @@ def overview(spark, d):
     return V.overview(dirs.select("collection").distinct(), fr.catalogs(spark, d), dirs, fr.results(spark, d))
 
 
-@query("stale_collections", RESULTS + " SELECT DISTINCT collection FROM result WHERE collection NOT IN (SELECT upper(o_orderpriority) FROM orders UNION SELECT p_type FROM part WHERE p_size = 1 AND p_brand = 'Brand#1')")
+# one collection lost its directory
+_MOVED = "CASE p_type WHEN 'PROMO' THEN 'MOVED' ELSE p_type END"
+
+
+@query("stale_collections", RESULTS + f" SELECT DISTINCT collection FROM result WHERE collection NOT IN (SELECT {_MOVED} FROM part)")
 def stale_collections(spark, d):
-    dirs = fr.table(spark, d, "orders").selectExpr("upper(o_orderpriority) AS collection").unionByName(
-        fr.table(spark, d, "part").filter("p_size = 1 AND p_brand = 'Brand#1'").selectExpr("p_type AS collection"))
-    return V.stale_collections(fr.results(spark, d), dirs)
+    return V.stale_collections(fr.results(spark, d), fr.table(spark, d, "part").selectExpr(f"{_MOVED} AS collection"))
 
 
 @query("named_prechecks", """SELECT c_custkey, c_nationkey AS collection_id, coalesce(s.collection, 'Unknown') AS collection
-FROM customer LEFT JOIN (SELECT n_nationkey, n_name AS collection FROM nation WHERE n_regionkey <> 2) s ON n_nationkey = c_nationkey""")
+FROM customer LEFT JOIN (SELECT n_nationkey, n_name AS collection FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)) s ON n_nationkey = c_nationkey""")
 def named_prechecks(spark, d):
     rows = fr.table(spark, d, "customer").selectExpr("c_custkey", "c_nationkey AS collection_id")
-    known = fr.table(spark, d, "nation").filter("n_regionkey <> 2").selectExpr("n_nationkey AS collection_id", "n_name AS collection")
+    used = fr.table(spark, d, "supplier").selectExpr("s_nationkey AS n_nationkey").distinct()
+    known = fr.table(spark, d, "nation").join(used, "n_nationkey", "left_semi").selectExpr(
+        "n_nationkey AS collection_id", "n_name AS collection")
     return V.with_collection_name(rows, known)
 
 
 @query("located_files", """SELECT l_returnflag AS collection, 'file-' || CAST(l_partkey AS VARCHAR) AS file_name, arg_min('dir-' || CAST(l_suppkey AS VARCHAR), l_suppkey) AS directory
-FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO') GROUP BY ALL""")
+FROM lineitem GROUP BY ALL""")
 def located_files(spark, d):
     held = fr.table(spark, d, "lineitem").selectExpr(
         "l_returnflag AS collection", "'file-' || CAST(l_partkey AS STRING) AS file_name", "'dir-' || CAST(l_suppkey AS STRING) AS directory",
         "l_suppkey AS directory_pos")
-    names = fr.table(spark, d, "part").filter("p_type = 'PROMO'").selectExpr("'file-' || CAST(p_partkey AS STRING) AS file_name")
-    return V.locate_files(held.join(names, "file_name", "left_semi"), held)
+    return V.locate_files(held, held)
 
 
 _DETAILS = MEMBERS + """,
