@@ -67,11 +67,12 @@ def byte_order_label(order: Column) -> Column:
 
 
 def content_variants(files: DataFrame, keys: list[str], algo: str = "crc32", swap: Column | None = None,
-                     prefix_allowed: Column | None = None) -> DataFrame:
+                     prefix_allowed: Column | None = None, zeros: bool = True) -> DataFrame:
     """One row per (file, way of reading its content): raw, each stripped prefix, each byte swap.
 
     Columns: ``keys`` + kind, prefix, label, order_found, hash, size, variant_ord, zero_pct.
-    ``swap`` says which rows are also read in the other byte orders (NULL: none).
+    ``swap`` says which rows are also read in the other byte orders (None: no row). ``zeros`` off
+    leaves zero_pct NULL, for uses that do not show reasons.
     """
     c = F.col("content")
     size = F.octet_length(c).cast("bigint")
@@ -86,7 +87,8 @@ def content_variants(files: DataFrame, keys: list[str], algo: str = "crc32", swa
     variants = [variant(0, "raw", null_int, null_str, digest(c, algo), size, null_int)]
     allowed = F.lit(True) if prefix_allowed is None else prefix_allowed
     for i, (n, label) in enumerate(T.PREFIXES, 1):
-        one = variant(i, "prefix", F.lit(n), F.lit(label), digest(without_prefix(c, n), algo), size - n, zero_share(c, n))
+        one = variant(i, "prefix", F.lit(n), F.lit(label), digest(without_prefix(c, n), algo), size - n,
+                      zero_share(c, n) if zeros else null_int)
         variants.append(F.when((size > n) & allowed, one))
     if swap is not None:
         for i, order in enumerate(("byteswapped", "littleendian"), 11):

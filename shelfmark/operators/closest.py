@@ -111,14 +111,19 @@ def nearest_masks(asked: DataFrame, listed: DataFrame) -> DataFrame:
     return near.unionByName(far)
 
 
+def extra_tags(left: Column, right: Column) -> Column:
+    """Sorted tags only the left side has, as text."""
+    return F.array_join(F.array_sort(F.array_except(left, right)), ", ")
+
+
 def tag_note(set_name: Column, file_tags: Column, set_tags: Column) -> Column:
     """Why two names with one base still differ: tags only one of them has."""
 
-    def listing(prefix, left, right):
-        extra = F.array_sort(F.array_except(left, right))
-        return F.when(F.size(extra) > 0, F.concat(F.lit(prefix), F.array_join(extra, ", ")))
+    def listing(prefix, extra):
+        return F.when(extra != "", F.concat(F.lit(prefix), extra))
 
-    parts = F.concat_ws("; ", listing("ROM has: ", file_tags, set_tags), listing("DAT has: ", set_tags, file_tags))
+    parts = F.concat_ws(
+        "; ", listing("ROM has: ", extra_tags(file_tags, set_tags)), listing("DAT has: ", extra_tags(set_tags, file_tags)))
     return F.concat(
         F.lit("Similar: "), set_name, F.lit(" — "),
         F.when(parts == "", "Different naming convention").otherwise(parts),

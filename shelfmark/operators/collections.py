@@ -42,13 +42,15 @@ def _bare(rest: Column) -> Column:
 
 
 def _forms(df: DataFrame, name: str) -> DataFrame:
-    """(name, form): what is left of the vendor after taking off 0, 1, ... source words."""
+    """(name, vendor, form): the name after taking off 0, 1, ... source words in front."""
     out = _split(df.select(name), F.lower(name), "v0", "r0")
     for i in range(STRIP_DEPTH):
         v, r = F.col(f"v{i}"), F.col(f"r{i}")
         out = _split(out, F.when(_strips(v, r), r), f"v{i + 1}", f"r{i + 1}")
-    forms = F.array_compact(F.array(*[_bare(F.col(f"r{i}")) for i in range(STRIP_DEPTH + 1)]))
-    return out.select(name, F.explode(F.array_distinct(forms)).alias("form"))
+    forms = F.array_compact(F.array(*[
+        F.when(F.col(f"r{i}").isNotNull(), F.struct(F.col(f"v{i}").alias("vendor"), _bare(F.col(f"r{i}")).alias("form")))
+        for i in range(STRIP_DEPTH + 1)]))
+    return out.select(name, F.explode(F.array_distinct(forms)).alias("f")).select(name, "f.*")
 
 
 def _grams(c: Column) -> Column:
@@ -60,15 +62,24 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
 
 
-def _keys(df: DataFrame, name: str, inner: str, outer: str) -> DataFrame:
-    """Blocking keys of each name; ``inner``/``outer`` tag the two directions of containment."""
+def _keys(df: DataFrame, name: str, inner: str, outer: str, to_none: str, from_none: str) -> DataFrame:
+    """Blocking keys of each name.
+
+    ``inner``/``outer`` tag the two directions of containment. Every key also carries the vendor:
+    two names only meet when theirs are equal or at least one has none, as a score asks for.
+    ``to_none``/``from_none`` tag the two ways in which one side has no vendor.
+    """
     form = F.col("form")
     words = F.transform(N.tokenize(form), lambda t: F.concat(F.lit("w|"), t))
     alias = F.array_compact(F.array(F.concat(F.lit("a|"), N.canonicalize(form))))
     lead = F.array(F.concat(F.lit(inner), F.substring(form, 1, 3)))
     grams = F.transform(_grams(form), lambda g: F.concat(F.lit(outer), g))
+    named = F.col("vendor") != ""
+    sides = F.when(named, F.array(F.concat(F.lit("v|"), "vendor"), F.lit(to_none))).otherwise(
+        F.array(F.lit("none"), F.lit(from_none)))
     return (
-        _forms(df, name).select(name, F.explode(F.concat(alias, words, lead, grams)).alias("key")).distinct()
+        _forms(df, name).select(name, F.explode(sides).alias("side"), F.concat(alias, words, lead, grams).alias("keys"))
+        .select(name, "side", F.explode("keys").alias("key")).distinct()
     )
 
 
@@ -111,8 +122,8 @@ def collection_scores(catalogs: DataFrame, collections: DataFrame, threshold: fl
     left = catalogs.select("catalog_name").distinct()
     right = collections.select("collection").distinct()
     pairs = (
-        _keys(left, "catalog_name", "in|", "out|")
-        .join(_keys(right, "collection", "out|", "in|"), "key")
+        _keys(left, "catalog_name", "in|", "out|", "left", "right")
+        .join(_keys(right, "collection", "out|", "in|", "right", "left"), ["side", "key"])
         .select("catalog_name", "collection").distinct()
     )
     # written out before it is filtered: a filter on the score would be pushed below every step of

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.reconcile import SCOPE, _usable
+from shelfmark.functions.binary import byte_order_label
+from shelfmark.operators.reconcile import SCOPE, _usable, catalogs_of, wanted_hashes
 
 
 def _set_hashes(entries: DataFrame) -> DataFrame:
@@ -67,11 +68,8 @@ def swapped_candidates(variants: DataFrame, entries: DataFrame) -> DataFrame:
 
 def prefix_misses(variants: DataFrame, entries: DataFrame) -> DataFrame:
     """Stripped variants whose hash no entry has, per catalogue of the collection."""
-    from shelfmark.operators.reconcile import wanted_hashes
-
-    catalogs = entries.select(*SCOPE).distinct()
     return (
-        variants.filter(F.col("kind") == "prefix").join(catalogs, "collection")
+        variants.filter(F.col("kind") == "prefix").join(catalogs_of(entries), "collection")
         .join(wanted_hashes(entries), [*SCOPE, "hash"], "left_anti")
     )
 
@@ -122,10 +120,6 @@ def swap_diagnostics(variants: DataFrame, entries: DataFrame, unconfirmed: DataF
 
     One row per message, numbered by ``msg_ord``. ``unconfirmed``: collection, catalog, file_name.
     """
-    from shelfmark.operators.reconcile import wanted_hashes
-
-    from shelfmark.functions.binary import byte_order_label
-
     tried = (
         variants.filter(F.col("kind").isin("raw", "swap") & F.col("order_found").isNotNull())
         .join(unconfirmed, ["collection", "file_name"])

@@ -13,7 +13,7 @@ from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
 from shelfmark.operators.closest import closest_sets
 from shelfmark.operators.ranking import position_in_group
-from shelfmark.operators.reconcile import SCOPE
+from shelfmark.operators.reconcile import SCOPE, catalogs_of
 
 
 def same_collection(catalogs: DataFrame, directories: DataFrame) -> DataFrame:
@@ -45,10 +45,9 @@ def pair_by_name(files: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def files_without_set(files: DataFrame, pairs: DataFrame) -> DataFrame:
-    catalogs = pairs.select(*SCOPE).distinct()
     taken = pairs.filter(F.col("file_name").isNotNull()).select(*SCOPE, "file_name").distinct()
     return (
-        files.select("collection", "file_name").distinct().join(catalogs, "collection")
+        files.select("collection", "file_name").distinct().join(catalogs_of(pairs), "collection")
         .join(taken, [*SCOPE, "file_name"], "left_anti").select(*SCOPE, "file_name")
     )
 
@@ -91,6 +90,11 @@ def profile(files: DataFrame, entries: DataFrame, pairs: DataFrame) -> DataFrame
     )
 
 
+def shared_types(profiles: DataFrame) -> DataFrame:
+    """Types both the catalogue and the files have."""
+    return profiles.select(*SCOPE, F.array_sort(F.array_intersect("entry_types", "file_types")).alias("shared"))
+
+
 def shown_types(c: Column) -> Column:
     return F.when(F.size(c) == 0, "(none)").otherwise(F.array_join(F.array_sort(c), ", "))
 

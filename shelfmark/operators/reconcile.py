@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import broadcast_if_small
+
 SCOPE = ["collection", "catalog"]
 
 
@@ -92,9 +94,16 @@ def wanted_hashes(entries: DataFrame) -> DataFrame:
     return entries.filter(_usable()).select(*SCOPE, F.lower("hash").alias("hash")).distinct()
 
 
+def catalogs_of(entries: DataFrame) -> DataFrame:
+    """The (collection, catalog) pairs: a short list that is counted before it is broadcast.
+
+    Joined by shuffle instead, all files of one collection would meet in one partition.
+    """
+    return broadcast_if_small(entries.select(*SCOPE).distinct())
+
+
 def unmatched_files(hashes: DataFrame, entries: DataFrame) -> DataFrame:
     """Files none of whose contents is wanted by the catalogue, for each catalogue of the collection."""
-    catalogs = entries.select(*SCOPE).distinct()
     hits = (
         hashes.filter(_usable()).select("collection", "file_name", F.lower("hash").alias("hash"))
         .join(wanted_hashes(entries), ["collection", "hash"])
@@ -102,7 +111,7 @@ def unmatched_files(hashes: DataFrame, entries: DataFrame) -> DataFrame:
     )
     return (
         hashes.select("collection", "file_name").distinct()
-        .join(catalogs, "collection")
+        .join(catalogs_of(entries), "collection")
         .join(hits, [*SCOPE, "file_name"], "left_anti")
     )
 

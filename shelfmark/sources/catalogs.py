@@ -68,9 +68,13 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     key = lambda c: F.regexp_replace(c, "^file:/*", "/")
     joined = files.withColumn("_k", key(F.col("catalog_path"))).join(
         heads.withColumn("_k", key(F.col("catalog_path"))).drop("catalog_path"), "_k", "left")
+    return _named(joined)
+
+
+def _named(heads: DataFrame) -> DataFrame:
     name = N.strip(F.coalesce("name", F.lit("")))
     stem = N.stem(F.col("catalog_path"))
-    return joined.select(
+    return heads.select(
         "catalog_path", F.when(name == "", stem).otherwise(name).alias("name"),
         *[N.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("description", "version", "author")],
         F.when(name == "", stem).otherwise(N.clean_collection_name(name)).alias("collection"),
@@ -132,6 +136,30 @@ def read_zipped_entries(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInPandas(run, OUT + ", error string")
 
 
+def read_zipped_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Headers of zipped catalogues, in the shape of ``read_headers``; unreadable ones are left out."""
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                try:
+                    head = next((n for _, n in ET.iterparse(_zipped_xml(row.content), events=("end",)) if n.tag == "header"), None)
+                except Exception:  # listed by rejected_catalogs
+                    continue
+                texts = [head.findtext(tag) if head is not None else None for tag in ("name", "description", "version", "author")]
+                rows.append((row.path, *texts))
+            yield pd.DataFrame(rows, columns=["catalog_path", "name", "description", "version", "author"])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return _named(raw.mapInPandas(run, "catalog_path string, " + HEADER))
+
+
+def discover_catalogs(spark: SparkSession, path: str) -> DataFrame:
+    """Plain catalogues, then zipped ones, each by name: ``catalog_group`` and ``catalog_path`` give the order."""
+    plain = read_headers(spark, path).withColumn("catalog_group", F.lit(0))
+    return plain.unionByName(read_zipped_headers(spark, path).withColumn("catalog_group", F.lit(1)))
+
+
 def rejected_catalogs(spark: SparkSession, path: str) -> DataFrame:
     """Catalogues with records that could not be read: (catalog_path, error)."""
     plain = read_sets(spark, path).filter(F.col("_rejected").isNotNull()).select(

@@ -101,6 +101,9 @@ def test_catalog_variants(spark, tmp_path):
         ("Empty", None, None, None, None), ("A", 0, "a.bin", 0, None), ("A", 1, "b.bin", 3, "0000000a")]
     head = CA.read_headers(spark, str(tmp_path)).first()
     assert (head.name, head.collection) == ("plain", "plain")
+    found = [(r.catalog_group, os.path.basename(r.catalog_path), r.collection) for r in CA.discover_catalogs(spark, str(tmp_path)).orderBy(
+        "catalog_group", "catalog_path").collect()]
+    assert found == [(0, "plain.dat", "plain"), (1, "z.zip", "Zipped")]
     zipped = CA.read_zipped_entries(spark, str(tmp_path)).collect()
     good = [r for r in zipped if not r.error]
     assert [(r.set_name, r.entry_name, r.crc, r.size) for r in good] == [("Z", "Z.sfc", "00000012", 4)]

@@ -27,7 +27,7 @@ def file_hashes(spark, d):
 
 
 def _variants(spark, d):
-    return B.content_variants(fr.doc_files(spark, d), ["collection", "file_name"], "md5")
+    return B.content_variants(fr.doc_files(spark, d), ["collection", "file_name"], "md5", zeros=False)
 
 
 @query("prefix_stripped_hashes", DOCS + "SELECT collection, file_name, prefix, label, hash, size FROM doc_variant")

@@ -276,6 +276,20 @@ def precheck_profile(spark, d):
     return p.withColumns({"entry_types": F.array_join("entry_types", ", "), "file_types": F.array_join("file_types", ", ")})
 
 
+query("shared_types", PROFILE + "SELECT collection, catalog, array_to_string(list_sort(list_intersect(entry_types, file_types)), ', ') AS shared FROM prof")(
+    lambda spark, d: P.shared_types(P.profile(fr.part_files(spark, d), fr.part_sets(spark, d), _pairs(spark, d))).withColumn(
+        "shared", F.array_join("shared", ", ")))
+
+
+@query("tag_differences", rf"""WITH n AS (SELECT p_partkey, {_TAGS.format(c='a')} AS x, {_TAGS.format(c='b')} AS y FROM (SELECT p_partkey, {fr.STEM} AS a, {fr.SET_NAME} AS b FROM part))
+SELECT p_partkey, {_ONLY.format(a='x', b='y')} AS only_file, {_ONLY.format(a='y', b='x')} AS only_set FROM n""")
+def tag_differences(spark, d):
+    from shelfmark.functions import names as N
+
+    x, y = N.extract_tags(F.expr(fr.STEM)), N.extract_tags(F.expr(fr.SET_NAME))
+    return fr.table(spark, d, "part").select("p_partkey", CL.extra_tags(x, y).alias("only_file"), CL.extra_tags(y, x).alias("only_set"))
+
+
 # one catalogue per brand and size, so that every rule of the rating is met by some profile
 _RATING_ROWS = """rated AS (SELECT p_brand || '-' || CAST(p_size AS STRING) AS catalog,
   CASE WHEN p_size % 7 = 0 THEN 0 ELSE count(*) * 10 END AS set_count,

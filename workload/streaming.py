@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark import session
+from shelfmark.operators import precheck as P
 from shelfmark.sources import catalogs as CA
 from shelfmark.sources import tables as TB
 from shelfmark.streaming import incremental as I
 from shelfmark.streaming import upsert as U
 from workload import frames as fr
+from workload.matching import PRE
 from workload.registry import query
 
 
@@ -68,3 +70,20 @@ def catalog_scan(spark, d):
         F.col("set_name").alias("_name"), F.concat(F.lit("  Set "), "set_name", F.lit(" ")).alias("description"), F.array(rom).alias("rom")
     ).write.format("xml").option("rootTag", "datafile").option("rowTag", "game").save(path)
     return CA.read_entries(spark, path, "part-*").drop("catalog_path", "set_pos")
+
+
+@query("precheck_tables", PRE + """
+SELECT collection, status, count(*) AS n_rows FROM (SELECT collection, CASE WHEN file_name IS NULL THEN 'missing' ELSE 'unverified' END AS status FROM pair
+  UNION ALL SELECT collection, 'unmatched' FROM loose) GROUP BY ALL
+UNION ALL SELECT collection, 'profiles', count(DISTINCT catalog) FROM pair GROUP BY ALL""")
+def precheck_tables(spark, d):
+    """Both outputs of a precheck written and read back."""
+    files, entries = session.cut(fr.part_files(spark, d)), session.cut(fr.part_sets(spark, d))
+    sets = P.sets_of(entries)
+    pairs = session.cut(P.pair_by_name(files, sets))
+    profiles, rows = P.rate(P.profile(files, entries, pairs)), P.result_rows(files, sets, pairs)
+    there, here = session.scratch(spark, "profiles"), session.scratch(spark, "rows")
+    TB.write_precheck(profiles, rows, there, here)
+    counts = spark.read.schema(rows.schema).parquet(here).groupBy("collection", "status").agg(F.count(F.lit(1)).alias("n_rows"))
+    kept = spark.read.schema(profiles.schema).parquet(there).groupBy("collection").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.unionByName(kept.withColumn("status", F.lit("profiles")))
