@@ -57,9 +57,13 @@ def expand_regions(c: Column) -> Column:
     return c
 
 
+def drop_square_tags(c: Column) -> Column:
+    return strip(F.regexp_replace(c, r"(?U)\s*\[.*?\]", ""))
+
+
 def clean_tags(c: Column) -> Column:
     """Regions expanded and square-bracket tags dropped."""
-    return strip(F.regexp_replace(expand_regions(c), r"(?U)\s*\[.*?\]", ""))
+    return drop_square_tags(expand_regions(c))
 
 
 def clean_collection_name(c: Column) -> Column:
@@ -99,7 +103,8 @@ def word_windows(c: Column) -> Column:
     """All substrings bounded on both sides by an end of the text or one of space - , :
 
     A word-bounded containment test then is plain equality with one of the windows, so it can
-    run as an equi-join instead of a pattern match over pairs.
+    run as an equi-join instead of a pattern match over pairs. A text with k such characters has at
+    most (k + 1)(k + 2) / 2 windows; this is meant for names.
     """
     n = F.length(c)
 

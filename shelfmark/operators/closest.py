@@ -66,8 +66,10 @@ def _rare_keys(df: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def _winner() -> Column:
-    return F.max_by(F.struct("set_name", "score"), F.struct("score", -F.col("set_pos")))
+def _winners(scored: DataFrame) -> DataFrame:
+    """Best score per mask and the first set that has it; numbers only, so both steps hash."""
+    first = scored.filter(F.col("score") > THRESHOLD).groupBy(*SCOPE, "mask", "score").agg(F.min("set_pos").alias("set_pos"))
+    return first.groupBy(*SCOPE, "mask").agg(F.max_by("set_pos", "score").alias("set_pos"), F.max("score").alias("score"))
 
 
 def nearest_masks(asked: DataFrame, listed: DataFrame) -> DataFrame:
@@ -75,40 +77,30 @@ def nearest_masks(asked: DataFrame, listed: DataFrame) -> DataFrame:
 
     Both distinct by (SCOPE, mask). Returns SCOPE, mask, set_name, score; no row when nothing is near.
     """
-    asked = cut(asked)
+    asked, listed = cut(asked), cut(listed)
+    names = listed.select(*SCOPE, "set_pos", "set_name")
     here = _remainders(spread(asked, *SCOPE, "mask"), [*SCOPE, "mask"])
     there = (
-        _remainders(spread(listed, *SCOPE, "mask"), [*SCOPE, "set_pos", "set_name"])
+        _remainders(spread(listed, *SCOPE, "mask"), [*SCOPE, "set_pos"])
         .groupBy(*SCOPE, "core", F.col("lost").alias("lost_there"))
-        .agg(F.min(F.struct("set_pos", "set_name")).alias("s"))
-        .select(*SCOPE, "core", "lost_there", "s.*")
+        .agg(F.min("set_pos").alias("set_pos"))
     )
     shared = F.bit_count("core")
-    near = cut(
-        here.join(there, [*SCOPE, "core"])
-        .withColumn("score", shared / (shared + F.greatest("lost", "lost_there")))
-        .filter(F.col("score") > THRESHOLD)
-        .groupBy(*SCOPE, "mask").agg(_winner().alias("w"))
-        .select(*SCOPE, "mask", "w.*")
-    )
+    score = shared / (shared + F.greatest("lost", "lost_there"))
+    near = cut(_winners(here.join(there, [*SCOPE, "core"]).withColumn("score", score)))
     # With more than 7 letters something farther than two letters may still pass the threshold. It
     # is always worse than anything found above (n - 2)/n, so only masks without a hit go on.
     rest = asked.join(near, [*SCOPE, "mask"], "left_anti").filter(F.bit_count("mask") > 7)
-    if rest.isEmpty():
-        return near
-    others = listed.filter(F.bit_count("mask") > 5).join(rest.select(*SCOPE).distinct(), SCOPE, "left_semi")
-    pairs = _rare_keys(spread(rest, *SCOPE, "mask"), [*SCOPE, "mask"]).join(
-        _rare_keys(spread(others, *SCOPE, "mask"), [*SCOPE, "set_pos", "set_name", "mask"])
-        .withColumnRenamed("mask", "other"),
-        [*SCOPE, "key"],
-    )
-    score = F.bit_count(F.col("mask").bitwiseAND(F.col("other"))) / F.greatest(F.bit_count("mask"), F.bit_count("other"))
-    far = (
-        pairs.withColumn("score", score).filter(F.col("score") > THRESHOLD)
-        .groupBy(*SCOPE, "mask").agg(_winner().alias("w"))
-        .select(*SCOPE, "mask", "w.*")
-    )
-    return near.unionByName(far)
+    if not rest.isEmpty():
+        others = listed.filter(F.bit_count("mask") > 5).join(rest.select(*SCOPE).distinct(), SCOPE, "left_semi")
+        pairs = _rare_keys(spread(rest, *SCOPE, "mask"), [*SCOPE, "mask"]).join(
+            _rare_keys(spread(others, *SCOPE, "mask"), [*SCOPE, "set_pos", "mask"]).withColumnRenamed("mask", "other"),
+            [*SCOPE, "key"],
+        )
+        both = F.bit_count(F.col("mask").bitwiseAND(F.col("other")))
+        larger = F.greatest(F.bit_count("mask"), F.bit_count("other"))
+        near = near.unionByName(_winners(pairs.withColumn("score", both / larger)))
+    return near.join(names, [*SCOPE, "set_pos"]).select(*SCOPE, "mask", "set_name", "score")
 
 
 def extra_tags(left: Column, right: Column) -> Column:

@@ -46,13 +46,19 @@ def file_hashes(loose: DataFrame, primary: DataFrame) -> DataFrame:
     )
 
 
-def member_table(members: DataFrame) -> DataFrame:
-    """Members with the columns that put well-known content types first, then archive order."""
+def member_rows(members: DataFrame) -> DataFrame:
+    """Members with their type and ``group_ord``, which puts well-known content types first."""
     kind = N.member_type(F.col("member_name"))
     return members.select(
         *FILE, (~kind.isin(T.PRIMARY_TYPES)).cast("int").alias("group_ord"), "member_pos", "member_name",
         kind.alias("member_type"), "size", "crc",
-    ).orderBy(*FILE, "group_ord", "member_pos")
+    )
+
+
+def member_table(members: DataFrame, by_size: bool = False) -> DataFrame:
+    """Sorted for display: content types first in archive order, or the largest member first."""
+    order = [F.desc("size"), "member_pos"] if by_size else ["group_ord", "member_pos"]
+    return member_rows(members).orderBy(*FILE, *order)
 
 
 def format_notes(primary: DataFrame, entry_types: DataFrame, accepted: Column) -> DataFrame:

@@ -42,7 +42,9 @@ def stems(files: DataFrame) -> DataFrame:
 
 def full_name_candidates(stem_rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Equality of whole names, in rule order; the last set wins among names that differ by case."""
-    expanded, cleaned = N.expand_regions(F.col("stem")), N.clean_tags(F.col("stem"))
+    stem_rows = stem_rows.withColumn("expanded", N.expand_regions(F.col("stem"))).withColumn(
+        "cleaned", N.drop_square_tags(F.col("expanded")))
+    expanded, cleaned = F.col("expanded"), F.col("cleaned")
     changed = expanded != F.col("stem")
 
     def rule(ord_, form, key, confidence, when=None):

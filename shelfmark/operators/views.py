@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
-from shelfmark.operators.members import member_table
+from shelfmark.operators.members import member_rows
 
 
 def _text(column: str) -> Column:
@@ -175,7 +175,7 @@ def file_details(files: DataFrame, members: DataFrame, results: DataFrame, steps
     parts = [
         files.select(*key, F.lit("file").alias("section"), F.lit(0).cast("bigint").alias("item_pos"),
                      N.member_type(F.col("file_name")).alias("item"), F.col("size").cast("string").alias("detail")),
-        part(member_table(members), "member", F.col("member_pos"), F.col("member_name"),
+        part(member_rows(members), "member", F.col("member_pos"), F.col("member_name"),
              F.concat_ws(" ", "member_type", F.col("size").cast("string"), "crc")),
         part(results, "result", F.col("row_pos"), F.col("set_name"), F.concat_ws(" ", "status", "note", "plan")),
         part(steps, "step", F.col("step_pos"), F.col("name"), F.col("description")),

@@ -30,7 +30,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def build(app: str = "shelfmark", master: str | None = None, partitions: int | None = None,
-          memory: str | None = None) -> SparkSession:
+          memory: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if memory:
         builder = builder.config("spark.driver.memory", memory)
@@ -38,7 +38,7 @@ def build(app: str = "shelfmark", master: str | None = None, partitions: int | N
         builder = builder.master(master)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    for key, value in ADAPTIVE.items():
+    for key, value in {**ADAPTIVE, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

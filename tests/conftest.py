@@ -10,7 +10,7 @@ from shelfmark import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session.build("tests", "local[8]", 8, memory="8g")
+    s = session.build("tests", "local[8]", 4, memory="8g", **{"spark.default.parallelism": "2"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

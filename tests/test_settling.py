@@ -129,5 +129,11 @@ def test_refresh_touches_only_its_collections(spark, tmp_path):
     TB.refresh(df, path, whole=True)
     TB.refresh(df.filter("collection = 'a'").withColumn("v", F.lit(9)), path)
     assert {(r.collection, r.v) for r in spark.read.parquet(path).collect()} == {("a", 9), ("b", 2)}
+    TB.refresh_collection(df.filter("v > 5"), path, "b")
+    assert {(r.collection, r.v) for r in spark.read.parquet(path).collect()} == {("a", 9)}
+    odd = df.limit(1).withColumn("collection", F.lit("Sega: 32X / [x] = 100%"))
+    TB.refresh(odd, path)
+    TB.refresh_collection(odd.withColumn("v", F.lit(7)), path, "Sega: 32X / [x] = 100%")
+    assert {(r.collection, r.v) for r in spark.read.parquet(path).collect()} == {("a", 9), ("Sega: 32X / [x] = 100%", 7)}
     TB.refresh(df.filter("collection = 'b'"), path, whole=True)
     assert {(r.collection, r.v) for r in spark.read.parquet(path).collect()} == {("b", 2)}

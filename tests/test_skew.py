@@ -65,5 +65,12 @@ def test_hot_set_keeps_one(spark, eager_skew):
     assert [r.file_name for r in hot.filter("status = 'matched'").collect()] == ["f04000"]
     assert hot.filter("status = 'duplicate' and note = 'Duplicate of f04000'").count() == 2 * N_FILES // 3 - 1
     assert out.filter("set_name <> 'hot' and status = 'matched'").count() == N_FILES // 3
-    joined = rows.join(rows.groupBy("collection", "set_name").agg(F.min("file_name").alias("k")), ["collection", "set_name"])
-    joined.write.format("noop").mode("overwrite").save()
+
+
+def test_hot_join_key_is_split(spark, eager_skew):
+    """The final plan reads the hot partition in several tasks."""
+    entries = hot_entries(spark).withColumn("hash", F.when(F.col("set_pos") % 2 == 0, "empty").otherwise(F.col("hash")))
+    wide = entries.withColumn("entry_name", F.concat(F.lit("e"), F.sha2(F.col("set_pos").cast("string"), 512)))
+    out = wide.join(R.first_sources(hot_hashes(spark)), ["collection", "hash"], "left")
+    out.collect()
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()

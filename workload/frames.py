@@ -8,15 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfmark import session
 
 FILLER = "0000000000000000"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table. Its schema is looked up once, not once per use."""
     session.tune(spark)
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    path = f"{d}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _pick(expr: str, values: list[str]) -> str:
