@@ -2,7 +2,7 @@
 
 Names are compared as sets of letters and digits (36-bit masks): shared / larger > 0.7, best one
 wins, first set on ties. Instead of comparing masks pairwise, both sides list what is left after
-taking up to two letters away and meet on an equal remainder. For such a meeting the score
+taking one letter away, then two, and meet on an equal remainder. For such a meeting the score
 depends only on how many letters each side lost, so the catalogue keeps one set per (remainder,
 letters lost) and nothing is paired up. A file that finds nothing that near is looked up again
 through subsets of its rarest letters, which finds every mask above the threshold.
@@ -27,21 +27,19 @@ def _bits(mask: Column) -> Column:
     return F.filter(every, lambda b: mask.bitwiseAND(b) != 0)
 
 
-def _remainders(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows (keep, core, lost) for every way to take 0, 1 or 2 letters away."""
+def _remainders(df: DataFrame, keep: list[str], depth: int) -> DataFrame:
+    """Rows (keep, core, lost) for every way to take up to ``depth`` (1 or 2) letters away."""
     mask, bits = F.col("mask"), F.col("bits")
 
     def core(value, lost):
         return F.struct(value.alias("core"), F.lit(lost).alias("lost"))
 
-    one = F.transform(bits, lambda a: core(mask.bitwiseXOR(a), 1))
-    two = F.flatten(F.transform(
-        bits,
-        lambda a: F.transform(F.filter(bits, lambda b: b > a), lambda b: core(mask.bitwiseXOR(a).bitwiseXOR(b), 2)),
-    ))
-    cores = F.concat(F.array(core(mask, 0)), one, two)
+    cores = [F.array(core(mask, 0)), F.transform(bits, lambda a: core(mask.bitwiseXOR(a), 1))]
+    if depth == 2:
+        cores.append(F.flatten(F.transform(bits, lambda a: F.transform(
+            F.filter(bits, lambda b: b > a), lambda b: core(mask.bitwiseXOR(a).bitwiseXOR(b), 2)))))
     return (
-        df.withColumn("bits", _bits(mask)).select(*keep, F.explode(cores).alias("c"))
+        df.withColumn("bits", _bits(mask)).select(*keep, F.explode(F.concat(*cores)).alias("c"))
         .select(*keep, "c.*").filter(F.col("core") != 0)
     )
 
@@ -75,32 +73,45 @@ def _winners(scored: DataFrame) -> DataFrame:
 def nearest_masks(asked: DataFrame, listed: DataFrame) -> DataFrame:
     """Best set per asked mask. ``asked``: SCOPE, mask; ``listed``: SCOPE, mask, set_pos, set_name.
 
-    Both distinct by (SCOPE, mask). Returns SCOPE, mask, set_name, score; no row when nothing is near.
+    Both distinct by (SCOPE, mask), and best written tables. Returns SCOPE, mask, set_name, score; no
+    row when nothing is near.
+
+    With n letters, whatever is found within t letters scores at least (n - t)/n and whatever is
+    farther at most n/(n + t + 1). The first is larger when n > t(t + 1), and for shorter names the
+    second does not pass the threshold. So a mask that found something is done, and only the others
+    go on to the next, wider step.
     """
-    asked, listed = cut(asked), cut(listed)
-    names = listed.select(*SCOPE, "set_pos", "set_name")
-    here = _remainders(spread(asked, *SCOPE, "mask"), [*SCOPE, "mask"])
-    there = (
-        _remainders(spread(listed, *SCOPE, "mask"), [*SCOPE, "set_pos"])
-        .groupBy(*SCOPE, "core", F.col("lost").alias("lost_there"))
-        .agg(F.min("set_pos").alias("set_pos"))
-    )
-    shared = F.bit_count("core")
-    score = shared / (shared + F.greatest("lost", "lost_there"))
-    near = cut(_winners(here.join(there, [*SCOPE, "core"]).withColumn("score", score)))
-    # With more than 7 letters something farther than two letters may still pass the threshold. It
-    # is always worse than anything found above (n - 2)/n, so only masks without a hit go on.
-    rest = asked.join(near, [*SCOPE, "mask"], "left_anti").filter(F.bit_count("mask") > 7)
-    if not rest.isEmpty():
-        others = listed.filter(F.bit_count("mask") > 5).join(rest.select(*SCOPE).distinct(), SCOPE, "left_semi")
+    found, rest = None, asked
+    for depth, shortest in ((1, 5), (2, 8)):
+        others = listed if found is None else _same_catalogs(listed, rest)
+        here = _remainders(spread(rest, *SCOPE, "mask"), [*SCOPE, "mask"], depth)
+        there = (
+            _remainders(spread(others, *SCOPE, "mask"), [*SCOPE, "set_pos"], depth)
+            .groupBy(*SCOPE, "core", F.col("lost").alias("lost_there"))
+            .agg(F.min("set_pos").alias("set_pos"))
+        )
+        shared = F.bit_count("core")
+        score = shared / (shared + F.greatest("lost", "lost_there"))
+        hits = cut(_winners(here.join(there, [*SCOPE, "core"]).withColumn("score", score)))
+        found = hits if found is None else found.unionByName(hits)
+        rest = rest.join(hits, [*SCOPE, "mask"], "left_anti").filter(F.bit_count("mask") >= shortest)
+        if rest.isEmpty():
+            break
+    else:
+        others = _same_catalogs(listed, rest).filter(F.bit_count("mask") > 5)
         pairs = _rare_keys(spread(rest, *SCOPE, "mask"), [*SCOPE, "mask"]).join(
             _rare_keys(spread(others, *SCOPE, "mask"), [*SCOPE, "set_pos", "mask"]).withColumnRenamed("mask", "other"),
             [*SCOPE, "key"],
         )
         both = F.bit_count(F.col("mask").bitwiseAND(F.col("other")))
         larger = F.greatest(F.bit_count("mask"), F.bit_count("other"))
-        near = near.unionByName(_winners(pairs.withColumn("score", both / larger)))
-    return near.join(names, [*SCOPE, "set_pos"]).select(*SCOPE, "mask", "set_name", "score")
+        found = found.unionByName(_winners(pairs.withColumn("score", both / larger)))
+    return found.join(listed.select(*SCOPE, "set_pos", "set_name"), [*SCOPE, "set_pos"]).select(
+        *SCOPE, "mask", "set_name", "score")
+
+
+def _same_catalogs(listed: DataFrame, rest: DataFrame) -> DataFrame:
+    return listed.join(rest.select(*SCOPE).distinct(), SCOPE, "left_semi")
 
 
 def extra_tags(left: Column, right: Column) -> Column:
@@ -139,9 +150,9 @@ def closest_sets(files: DataFrame, sets: DataFrame) -> DataFrame:
         .groupBy(*SCOPE, "mask").agg(F.min(F.struct("set_pos", "set_name")).alias("s"))
         .select(*SCOPE, "mask", "s.*")
     )
-    based = asked.join(by_base, [*SCOPE, "clean"], "left")
+    based = cut(asked.join(by_base, [*SCOPE, "clean"], "left"))
     masks = based.filter(F.col("same_base").isNull() & (F.col("mask") != 0)).select(*SCOPE, "mask").distinct()
-    near = nearest_masks(masks, by_mask).select(*SCOPE, "mask", F.col("set_name").alias("near"))
+    near = nearest_masks(cut(masks), cut(by_mask)).select(*SCOPE, "mask", F.col("set_name").alias("near"))
     note = (
         F.when(F.col("same_base").isNotNull(), tag_note(
             F.col("same_base"), N.extract_tags(F.col("stem")), N.extract_tags(F.col("same_base"))))
