@@ -79,7 +79,11 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     Adaptive execution merges partitions by their size on arrival; a given number keeps them apart
     so that an explode behind it stays spread out.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        n = min(n, spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *columns)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
