@@ -89,16 +89,17 @@ def followers(rows: DataFrame) -> DataFrame:
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document."""
-    rows = narrow(docs, id_col, text_col)
-    sizes = rows.select("doc_id", F.char_length("text").alias("n"))
-    pairs = followers(rows)
+    # a key that is never null: both joins below then deal out the same rows by it, and texts shuffle once
+    rows = narrow(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    sizes = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
     # what a document's predecessor needs of it: as many leading characters as the predecessor gives up
-    wanted = pairs.join(sizes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id").select(
-        F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("n") / 2).cast("int").alias("n_taken"))
-    given = with_sketch(rows.join(wanted.hint("shuffle_hash"), "doc_id"), "text", "next_sketch", k, shingle)
-    given = given.groupBy(F.col("for_id").alias("doc_id")).agg(
+    wanted = followers(rows).join(sizes, "doc_id").select(
+        F.col("next_id").alias("key"), F.col("doc_id").alias("for"), F.floor(F.col("n") / 2).cast("int").alias("n_taken"))
+    # sketches are made behind the shuffle, which moves texts alone
+    given = with_sketch(rows.join(wanted.hint("shuffle_hash"), "key"), "text", "next_sketch", k, shingle)
+    given = given.groupBy(F.col("for").alias("key")).agg(
         F.min(F.struct(F.expr("substring(text, 1, n_taken)").alias("head"), "next_sketch")).alias("next"))
-    own = with_sketch(rows, "text", "sketch", k, shingle).join(given, "doc_id", "left")
+    own = with_sketch(rows.join(given, "key", "left"), "text", "sketch", k, shingle)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
     own = own.withColumn("n_chars", F.char_length("text").cast("long")).select(

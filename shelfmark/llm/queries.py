@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from . import exact_dedup, fingerprints, sharding  # noqa: F401
+from . import exact_dedup, fingerprints, mixing, sharding, token_counts, token_files  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
