@@ -2,23 +2,25 @@
 
 Both vocabularies here cut a text before they merge, never across a single ASCII space between two other characters
 (the lower-casing one drops white space altogether), so the ids of a text are the ids of its space-separated parts,
-one after the other. Every part is encoded by the library; a worker keeps the ids of parts it has met. Texts in which
-white space stands next to a space are given to the library whole.
+one after the other. A part that is one word of Latin letters goes straight to the library's merging model, in the
+byte characters the vocabulary is written in; any other part goes through the whole library, and so does a text in
+which white space stands next to a space. A worker keeps the ids of parts it has met lately.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
 #: parts a worker remembers in one generation; it holds two at most
-CACHE = 500_000
+CACHE = 200_000
 TOUCHING = re.compile(r"^ | $|\s | \s")
 
 
-#: letters that no normal form changes, and a mark that both vocabularies cut off
-WORD_AND_MARK = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,])").fullmatch
+#: a word of letters that no normal form changes, and a mark that both vocabularies cut off, if any
+WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)").fullmatch
 
 
 class Recent:
@@ -55,6 +57,14 @@ class Recent:
         return found
 
 
+def byte_characters() -> dict[int, str]:
+    """The letters of ``WORD`` as a byte-level vocabulary writes them: printable Latin-1 bytes as themselves, others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    shown = {b: chr(b) for b in plain}
+    shown |= {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x24F + 1)}
+
+
 class Coder:
     """``ids(text)`` as a little-endian array of unsigned 16-bit integers (both vocabularies are below 65,536)."""
 
@@ -63,48 +73,39 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         assert self.tokenizer.get_vocab_size() <= 1 << 16
-        self.drops_space = drops_space
-        # where a part begins in the ids of many: the mark between them, or any piece that starts with a space
-        vocab = self.tokenizer.get_vocab()
-        starts = [vocab["|</w>"]] if drops_space else [i for piece, i in vocab.items() if piece.startswith("\u0120")]
-        self.starts = np.zeros(1 << 16, bool)
-        self.starts[starts] = True
+        self.model, self.drops_space, self.written = self.tokenizer.model, drops_space, byte_characters()
+        self.lead, self.shown_lead = ("", "") if drops_space else (" ", self.written[0x20])
+        self.marks = {"": b""} | dict(zip(".,", self.encode([".", ","])))
         self.heads = Recent(self.encode, cache // 8)
         self.parts = Recent(self.encode_parts, cache)
-        self.marks = dict(zip(".,", self.encode([".", ","])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode_many(self, parts: list[str]) -> list[bytes]:
-        """One call for all parts: the library's overhead is per call."""
-        lead = "" if self.drops_space else " "
-        if self.drops_space:
-            joined = "| " + " | ".join(parts)
-        else:
-            joined = " " + " ".join(parts)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
-        at = np.flatnonzero(self.starts[ids])
-        if len(at) != len(parts) or (self.drops_space and any("|" in x for x in parts)):
-            return self.encode([lead + x for x in parts])
-        ends = np.append(at[1:], len(ids)) * 2
-        begins = (at + self.drops_space) * 2
-        packed = ids.tobytes()
-        return [packed[i:j] for i, j in zip(begins.tolist(), ends.tolist())]
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_parts(self, new: list[str]) -> list[bytes]:
-        """Words with a mark behind them are put together from the word and the mark."""
-        split = {x: m for x in new if (m := WORD_AND_MARK(x))}
-        words = {x: (m[1].lower() if self.drops_space and x.isascii() else m[1]) for x, m in split.items()}
-        whole = [x for x in new if x not in split]
-        cores = set(words.values()).difference(self.parts.now).difference(whole)
-        whole += [x for x in cores if x not in self.parts.old]
-        found = dict(zip(whole, self.encode_many(whole))) if whole else {}
-        known = self.parts.now
-        for x in cores:
-            known[x] = found[x] if x in found else self.parts.old[x]
-        marks = self.marks
-        return [found[x] if x not in split else (known.get(words[x]) or found[words[x]]) + marks[split[x][2]] for x in new]
+        """Parts with the space before them; a mark behind a word is cut off first, so that the word is met again."""
+        known, old, tokenize, written = self.parts.now, self.parts.old, self.model.tokenize, self.written
+        out: list[bytes | None] = []
+        other = []
+        for part in new:
+            found = WORD(part)
+            if not found:
+                other.append(part)
+                out.append(None)
+                continue
+            word, mark = found.groups()
+            if self.drops_space:
+                word = word.lower()
+            ids = known.get(word) or old.get(word)
+            if ids is None:
+                ids = array("H", [t.id for t in tokenize(self.shown_lead + word.translate(written))]).tobytes()
+                if mark:
+                    known[word] = ids
+            out.append(ids + self.marks[mark])
+        if other:
+            rest = iter(self.encode([self.lead + x for x in other]))
+            out = [next(rest) if x is None else x for x in out]
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         if self.drops_space:

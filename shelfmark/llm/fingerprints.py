@@ -89,13 +89,15 @@ def followers(rows: DataFrame) -> DataFrame:
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document."""
-    # a key that is never null: both joins below then deal out the same rows by it, and texts shuffle once
-    rows = narrow(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # a key that is never null: both joins below then deal out the very same rows by it, and texts shuffle once
+    no_id = -(1 << 63)
+    rows = narrow(docs, id_col, text_col)
     sizes = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
     # what a document's predecessor needs of it: as many leading characters as the predecessor gives up
     wanted = followers(rows).join(sizes, "doc_id").select(
         F.col("next_id").alias("key"), F.col("doc_id").alias("for"), F.floor(F.col("n") / 2).cast("int").alias("n_taken"))
     # sketches are made behind the shuffle, which moves texts alone
+    rows = rows.select(F.coalesce("doc_id", F.lit(no_id)).alias("key"), "text")
     given = with_sketch(rows.join(wanted.hint("shuffle_hash"), "key"), "text", "next_sketch", k, shingle)
     given = given.groupBy(F.col("for").alias("key")).agg(
         F.min(F.struct(F.expr("substring(text, 1, n_taken)").alias("head"), "next_sketch")).alias("next"))
@@ -103,11 +105,11 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int"))
     own = own.withColumn("n_chars", F.char_length("text").cast("long")).select(
-        "doc_id", "n_chars", "sketch", "next.next_sketch",
+        "key", "n_chars", "sketch", "next.next_sketch",
         F.concat(kept, F.coalesce(F.substring(F.col("next.head"), F.lit(1), half), F.lit(""))).alias("edited"))
     both = with_sketch(own, "edited", "edited_sketch", k, shingle)
     return both.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.when(F.col("key") != no_id, F.col("key")).alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
         F.when(F.col("next_sketch").isNotNull(), resemblance(F.col("sketch"), F.col("next_sketch"), k)).alias("near_next"),
