@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: parts a worker remembers in one generation; it holds two at most
-CACHE = 200_000
+CACHE = 250_000
 TOUCHING = re.compile(r"^ | $|\s | \s")
 
 
@@ -23,6 +23,10 @@ TOUCHING = re.compile(r"^ | $|\s | \s")
 WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)").fullmatch
 
 
+#: letters beyond those of ``WORD``, for which lower case is left to the library
+BEYOND = re.compile("[^\\x00-\u024f]")
+
+
 class Recent:
     """Values of texts met lately. When a generation is full, it becomes the old one, whose texts are taken over when met again."""
 
@@ -49,11 +53,16 @@ class Recent:
                 else:
                     self.now[x] = value
             if new:
-                self.now.update(zip(new, self.encode(list(new))))
+                made = dict(zip(new, self.encode(list(new))))
+                self.now.update(made)
+            else:
+                made = new
+            now, old = self.now, self.old
             for i in holes:
-                found[i] = self.now[parts[i]]
-            if len(self.now) > self.size:
-                self.old, self.now = self.now, {}
+                x = parts[i]
+                found[i] = made[x] if x in made else now[x] if x in now else old[x]
+            if len(now) > self.size:
+                self.old, self.now = now, {}
         return found
 
 
@@ -74,42 +83,52 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         assert self.tokenizer.get_vocab_size() <= 1 << 16
         self.model, self.drops_space, self.written = self.tokenizer.model, drops_space, byte_characters()
-        self.lead, self.shown_lead = ("", "") if drops_space else (" ", self.written[0x20])
+        self.space = self.written[0x20]
         self.marks = {"": b""} | dict(zip(".,", self.encode([".", ","])))
-        self.heads = Recent(self.encode, cache // 8)
-        self.parts = Recent(self.encode_parts, cache)
+        self.newline = self.encode(["\n"])[0]
+        self.heads = Recent(lambda new: self.encode_parts(new, self.heads, "", ""), cache // 4)
+        self.parts = Recent(lambda new: self.encode_parts(new, self.parts, *(("", "") if drops_space else (" ", self.space))), cache)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_parts(self, new: list[str]) -> list[bytes]:
-        """Parts with the space before them; a mark behind a word is cut off first, so that the word is met again."""
-        known, old, tokenize, written = self.parts.now, self.parts.old, self.model.tokenize, self.written
+    def encode_parts(self, new: list[str], known: Recent, lead: str, shown_lead: str) -> list[bytes]:
+        """Parts behind ``lead``; a mark behind a word is cut off first, so that the word is met again."""
+        now, old, tokenize, written = known.now, known.old, self.model.tokenize, self.written
         out: list[bytes | None] = []
         other = []
         for part in new:
             found = WORD(part)
             if not found:
-                other.append(part)
-                out.append(None)
+                lines = part.split("\n") if "\n" in part else ()
+                if lines and all(map(WORD, lines)):
+                    # a single newline between two words is a pre-token of its own
+                    behind = [self.newline + x for x in self.heads.values(lines[1:])]
+                    out.append(b"".join([*known.values(lines[:1]), *behind]))
+                else:
+                    other.append(part)
+                    out.append(None)
                 continue
             word, mark = found.groups()
             if self.drops_space:
                 word = word.lower()
-            ids = known.get(word) or old.get(word)
+            ids = now.get(word) or old.get(word)
             if ids is None:
-                ids = array("H", [t.id for t in tokenize(self.shown_lead + word.translate(written))]).tobytes()
+                ids = array("H", [t.id for t in tokenize(shown_lead + word.translate(written))]).tobytes()
                 if mark:
-                    known[word] = ids
+                    now[word] = ids
             out.append(ids + self.marks[mark])
         if other:
-            rest = iter(self.encode([self.lead + x for x in other]))
+            rest = iter(self.encode([lead + x for x in other]))
             out = [next(rest) if x is None else x for x in out]
         return out
 
     def ids(self, text: str) -> np.ndarray:
         if self.drops_space:
-            return np.frombuffer(b"".join(self.parts.values(text.split(" "))), "<u2")
+            # lower case first, where it cannot change what the library does, so that more parts are met again
+            if "<|" not in text and (text.isascii() or BEYOND.search(text) is None):
+                text = text.lower()
+            return np.frombuffer(b"".join(self.parts.values(text.replace("\n", " ").split(" "))), "<u2")
         if TOUCHING.search(text):
             return np.frombuffer(self.encode([text])[0], "<u2")
         head, *parts = text.split(" ")

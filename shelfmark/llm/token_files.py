@@ -50,8 +50,15 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(v)] = n_bytes - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    keep = np.arange(4) < n_bytes[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    first = np.cumsum(n_bytes, dtype=np.int64) - n_bytes
+    data = np.empty(int(first[-1]) + int(n_bytes[-1]) if len(v) else 0, np.uint8)
+    data[first] = v.astype(np.uint8)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(n_bytes > k)
+        if not len(longer):
+            break
+        data[first[longer] + k] = (v[longer] >> np.uint32(8 * k)).astype(np.uint8)
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
