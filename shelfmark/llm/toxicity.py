@@ -15,7 +15,6 @@ costs nothing; without labels, or with one grade only, nothing is toxic; ids may
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,7 @@ from .common import documents, narrow, ship
 from .registry import query
 
 #: labelled documents the model is fitted on, at most
-FIT_ROWS = 12_000
+FIT_ROWS = 10_000
 #: documents of the sample that must have a feature
 LEAST_DOCS = 3
 PENALTY = 4e-4
@@ -85,15 +84,19 @@ def fit(rows: list[tuple[int, str]], grades: int = GRADES, penalty: float = PENA
     y = np.array([g for g, _ in rows], int)
     if len(set(y.tolist())) < 2:
         return Model({}, [40.0] * (grades - 1), np.inf)
-    seen: Counter = Counter()
-    texts = [features_of(set(t.split())) for _, t in rows]
-    for t in texts:
-        seen.update(t)
-    names = sorted(f for f, n in seen.items() if n >= least)
-    index = {f: i for i, f in enumerate(names)}
-    lists = [np.array([index[f] for f in t if f in index], np.int32) for t in texts]
-    del texts
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    # features as numbers from the start: as texts they would take many times the memory
+    number: dict[str, int] = {}
+    lists = []
+    for _, text in rows:
+        found = features_of(set(text.split()))
+        lists.append(np.fromiter((number.setdefault(f, len(number)) for f in found), np.int32, len(found)))
+    often = np.bincount(np.concatenate(lists), minlength=len(number)) >= least
+    names = sorted(f for f, i in number.items() if often[i])
+    place = np.full(len(number), -1, np.int32)
+    place[[number[f] for f in names]] = np.arange(len(names), dtype=np.int32)
+    del number
+    lists = [np.sort(x[x >= 0]) for x in (place[x] for x in lists)]
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     col = np.concatenate(lists)
     n, m = len(lists), len(names)
     # each feature scaled by its frequency: rare telling ones move as fast as common ones
