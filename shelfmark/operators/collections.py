@@ -12,45 +12,34 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
-from shelfmark.session import cut
 
-# how many source words in front of a vendor are taken off before giving up
-STRIP_DEPTH = 3
 
-
-def _strips(vendor: Column, rest: Column) -> Column:
-    """The vendor is a source word and there is another vendor behind it."""
-    return vendor.isin(T.SOURCE_PREFIXES) & rest.contains(" - ")
-
-
-def _split(df: DataFrame, text: Column, vendor: str, rest: str) -> DataFrame:
-    """Add vendor and rest of a name as columns of their own.
-
-    Each step of a chain of splits is a projection over plain columns, so the optimizer does not
-    fold the chain into one expression that repeats itself at every level.
-    """
-    parts = f"_{vendor}"
+def _split(text: Column) -> Column:
+    """Vendor and rest of a name."""
+    parts = F.split(text, " - ", 2)
     two = F.size(parts) == 2
-    return df.withColumn(parts, F.split(text, " - ", 2)).withColumns({
-        vendor: F.when(two, N.strip(F.col(parts)[0])).otherwise(""),
-        rest: N.strip(F.element_at(parts, -1)),
-    }).drop(parts)
+    return F.struct(F.when(two, N.strip(F.get(parts, 0))).otherwise("").alias("vendor"), N.strip(F.element_at(parts, -1)).alias("rest"))
 
 
 def _bare(rest: Column) -> Column:
     return N.strip(F.regexp_replace(rest, r"(?U)\s*\([^)]*\)", ""))
 
 
-def _forms(df: DataFrame, name: str) -> DataFrame:
-    """(name, vendor, form): the name after taking off 0, 1, ... source words in front."""
-    out = _split(df.select(name), F.lower(name), "v0", "r0")
-    for i in range(STRIP_DEPTH):
-        v, r = F.col(f"v{i}"), F.col(f"r{i}")
-        out = _split(out, F.when(_strips(v, r), r), f"v{i + 1}", f"r{i + 1}")
-    forms = F.array_compact(F.array(*[
-        F.when(F.col(f"r{i}").isNotNull(), F.struct(F.col(f"v{i}").alias("vendor"), _bare(F.col(f"r{i}")).alias("form")))
-        for i in range(STRIP_DEPTH + 1)]))
-    return out.select(name, F.explode(F.array_distinct(forms)).alias("f")).select(name, "f.*")
+def _forms(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Distinct names with column ``out``: the name after taking off 0, 1, ... source words in front.
+
+    A word comes off while the vendor is a source word and there is another vendor behind it: as
+    often as the name has separators, whatever their number.
+    """
+    text = F.lower(name)
+
+    def step(forms: Column, _: Column) -> Column:
+        last = F.element_at(forms, -1)
+        strips = last["vendor"].isin(T.SOURCE_PREFIXES) & last["rest"].contains(" - ")
+        return F.when(strips, F.concat(forms, F.array(_split(last["rest"])))).otherwise(forms)
+
+    chain = F.aggregate(F.split(text, " - "), F.array(_split(text)), step)
+    return df.select(name).distinct().withColumn(out, F.transform(chain, lambda f: F.struct(f["vendor"].alias("vendor"), _bare(f["rest"]).alias("form"))))
 
 
 def _grams(c: Column) -> Column:
@@ -77,29 +66,30 @@ def _keys(df: DataFrame, name: str, inner: str, outer: str, to_none: str, from_n
     named = F.col("vendor") != ""
     sides = F.when(named, F.array(F.concat(F.lit("v|"), "vendor"), F.lit(to_none))).otherwise(
         F.array(F.lit("none"), F.lit(from_none)))
+    forms = _forms(df, name, "_f").select(name, F.explode(F.array_distinct("_f")).alias("f")).select(name, "f.*")
     return (
-        _forms(df, name).select(name, F.explode(sides).alias("side"), F.concat(alias, words, lead, grams).alias("keys"))
+        forms.select(name, F.explode(sides).alias("side"), F.concat(alias, words, lead, grams).alias("keys"))
         .select(name, "side", F.explode("keys").alias("key")).distinct()
     )
 
 
 def score_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Add ``score`` for catalogue name ``a`` and collection name ``b``."""
-    df = _split(_split(pairs, F.lower(a), "va0", "ra0"), F.lower(b), "vb0", "rb0")
-    for i in range(STRIP_DEPTH):
-        va, ra, vb, rb = (F.col(f"{x}{i}") for x in ("va", "ra", "vb", "rb"))
-        df = df.withColumn("_apart", (va != "") & (vb != "") & (va != vb))
-        take_a = F.col("_apart") & _strips(va, ra)
-        take_b = F.col("_apart") & ~_strips(va, ra) & _strips(vb, rb)
-        # splitting a whole "vendor - rest" again gives the same parts, so the other side stays as it is
-        whole_a = F.when(take_a, ra).when(va == "", ra).otherwise(F.concat(va, F.lit(" - "), ra))
-        whole_b = F.when(take_b, rb).when(vb == "", rb).otherwise(F.concat(vb, F.lit(" - "), rb))
-        df = _split(_split(df, whole_a, f"va{i + 1}", f"ra{i + 1}"), whole_b, f"vb{i + 1}", f"rb{i + 1}")
-        df = df.drop(f"va{i}", f"ra{i}", f"vb{i}", f"rb{i}", "_apart")
-    last = {x: F.col(f"{x}{STRIP_DEPTH}") for x in ("va", "ra", "vb", "rb")}
-    df = df.select(
-        *pairs.columns, ((last["va"] != "") & (last["vb"] != "") & (last["va"] != last["vb"])).alias("_apart"),
-        _bare(last["ra"]).alias("_x"), _bare(last["rb"]).alias("_y"))
+    """Add ``score`` for catalogue name ``a`` and collection name ``b``.
+
+    While both vendors are there and differ, source words come off ``a`` first, then off ``b``: the
+    forms to compare are the first of ``a`` that agrees with the whole ``b``, or else the last of
+    ``a`` and the first of ``b`` that agrees with it.
+    """
+    def agrees(x: Column, y: Column) -> Column:
+        return (x["vendor"] == "") | (y["vendor"] == "") | (x["vendor"] == y["vendor"])
+
+    def first(forms: str, other: Column) -> Column:
+        at = F.array_position(F.transform(forms, lambda f: agrees(f, other)), F.lit(True))
+        return F.element_at(forms, F.when(at > 0, at).otherwise(F.size(forms)).cast("int"))
+
+    df = pairs.join(_forms(pairs, a, "_fa"), a).join(_forms(pairs, b, "_fb"), b)
+    df = df.withColumn("_a", first("_fa", F.get("_fb", 0))).withColumn("_b", first("_fb", F.col("_a")))
+    df = df.select(*pairs.columns, (~agrees(F.col("_a"), F.col("_b"))).alias("_apart"), F.col("_a.form").alias("_x"), F.col("_b.form").alias("_y"))
     df = df.withColumns({"_tx": N.tokenize(F.col("_x")), "_ty": N.tokenize(F.col("_y")),
                          "_cx": N.canonicalize(F.col("_x")), "_cy": N.canonicalize(F.col("_y"))})
     x, y = F.col("_x"), F.col("_y")
@@ -119,16 +109,12 @@ def score_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def collection_scores(catalogs: DataFrame, collections: DataFrame, threshold: float | None = None) -> DataFrame:
     """All (catalog_name, collection, score) with a positive score, or at least ``threshold``."""
-    left = catalogs.select("catalog_name").distinct()
-    right = collections.select("collection").distinct()
     pairs = (
-        _keys(left, "catalog_name", "in|", "out|", "left", "right")
-        .join(_keys(right, "collection", "out|", "in|", "right", "left"), ["side", "key"])
+        _keys(catalogs, "catalog_name", "in|", "out|", "left", "right")
+        .join(_keys(collections, "collection", "out|", "in|", "right", "left"), ["side", "key"])
         .select("catalog_name", "collection").distinct()
     )
-    # written out before it is filtered: a filter on the score would be pushed below every step of
-    # the chain of splits, as one expression that holds them all
-    scored = cut(score_pairs(pairs, "catalog_name", "collection"))
+    scored = score_pairs(pairs, "catalog_name", "collection")
     return scored.filter(F.col("score") > 0 if threshold is None else F.col("score") >= threshold)
 
 

@@ -16,9 +16,8 @@ from shelfmark.functions import names as N
 from shelfmark.operators.reconcile import SCOPE
 
 TOP = 5
-# Full-name rules name at most five sets per file, so the best TOP + 5 by base always contain
-# the TOP that remain once those sets are taken out. The shorter lists lose nothing.
-KEEP = TOP + 5
+# sets that full-name rules name for a file, at most
+NAMED = 5
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
@@ -89,31 +88,34 @@ def _best(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def base_candidates(bases: DataFrame, sets: DataFrame, keep: int = KEEP) -> DataFrame:
-    """Sets whose base equals, contains or is contained in a file base, best ``keep`` per base.
+def base_candidates(bases: DataFrame, sets: DataFrame, best: int | None = None) -> DataFrame:
+    """Sets whose base equals, contains or is contained in a file base: all, or the ``best`` per base.
 
     ``bases``: collection, base_key (distinct). Returns SCOPE, base_key, how, set_*, confidence.
     """
+    def cut(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df if best is None else _best(df, keys, best)
+
     named = sets.select(
         *SCOPE, "set_name", "set_pos", F.col("first_hash").alias("expected_hash"),
         F.lower(N.extract_base(F.col("set_name"))).alias("set_base"),
     ).filter(F.col("set_base") != "")
 
-    # a set base lists its windows; a file base is looked up among them
-    windows = named.select("*", F.explode(N.word_windows(F.col("set_base"))).alias("base_key"))
+    # a set base lists its windows; only those that are a file base go on
+    windows = named.select("*", F.explode(N.word_windows(F.col("set_base"))).alias("base_key")).join(
+        bases, ["collection", "base_key"], "left_semi")
     equal = F.col("base_key") == F.col("set_base")
     share = F.length("base_key") / F.length("set_base")
-    inside = windows.select(
+    forward = cut(windows.select(
         *SCOPE, "base_key", "set_name", "set_pos", "expected_hash",
         F.when(equal, "equal").otherwise("inside").alias("how"),
         F.when(equal, 0.85).otherwise(F.least(F.lit(0.7), share)).alias("confidence"),
-    )
-    forward = _best(inside, [*SCOPE, "base_key"], keep).join(bases, ["collection", "base_key"])
+    ), [*SCOPE, "base_key"])
 
     # a file base lists its windows; they are looked up among the set bases
-    first = _best(
+    first = cut(
         named.select(*SCOPE, "set_base", "set_name", "set_pos", "expected_hash", F.lit(0.0).alias("confidence")),
-        [*SCOPE, "set_base"], keep,
+        [*SCOPE, "set_base"],
     ).drop("confidence")
     parts = bases.select(
         "collection", "base_key", F.explode(N.word_windows(F.col("base_key"))).alias("set_base")
@@ -122,7 +124,7 @@ def base_candidates(bases: DataFrame, sets: DataFrame, keep: int = KEEP) -> Data
         *SCOPE, "base_key", "set_name", "set_pos", "expected_hash", F.lit("around").alias("how"),
         F.least(F.lit(0.5), F.length("set_base") / F.length("base_key")).alias("confidence"),
     )
-    return _best(forward.unionByName(backward), [*SCOPE, "base_key"], keep)
+    return cut(forward.unionByName(backward), [*SCOPE, "base_key"])
 
 
 def name_candidates(files: DataFrame, sets: DataFrame, top: int = TOP) -> DataFrame:
@@ -130,7 +132,8 @@ def name_candidates(files: DataFrame, sets: DataFrame, top: int = TOP) -> DataFr
     known = distinct_sets(sets)
     stem_rows = stems(files)
     by_name = full_name_candidates(stem_rows, known)
-    by_base = base_candidates(stem_rows.select("collection", "base_key").distinct(), known)
+    # the best top + NAMED by base contain the top that remain once the named sets are taken out
+    by_base = base_candidates(stem_rows.select("collection", "base_key").distinct(), known, top + NAMED)
     text = (
         F.when(F.col("how") == "equal", F.concat(F.lit('Exact base name match: "'), "base", F.lit('"')))
         .when(F.col("how") == "inside",
@@ -141,7 +144,7 @@ def name_candidates(files: DataFrame, sets: DataFrame, top: int = TOP) -> DataFr
         *SCOPE, "stem", "set_name", "set_pos", "expected_hash", "confidence",
         F.lit(7).alias("rule_ord"), text.alias("reason"),
     )
-    # at most 16 rows per stem from here on: one exchange serves both windows
+    # a bounded number of rows per stem from here on: one exchange serves both windows
     rows = by_name.unionByName(spread).repartition(*SCOPE, "stem")
     once = Window.partitionBy(*SCOPE, "stem", "set_name").orderBy("rule_ord")
     rank = Window.partitionBy(*SCOPE, "stem").orderBy(F.desc("confidence"), "rule_ord", "set_pos")

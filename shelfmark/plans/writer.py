@@ -28,6 +28,11 @@ def local_path(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+def folder(dest: str, collection: str | None) -> str:
+    """Where a collection's files go: targets of two collections never meet."""
+    return os.path.join(dest, (collection or "_").replace("/", "_"))
+
+
 def suffix(name: str) -> str:
     return os.path.splitext(name)[1].lower()
 
@@ -88,7 +93,7 @@ def _write(job, dest: str, primary_only: bool, convert: bool) -> tuple[str, int]
         preferred = TYPE_BY_ORDER.get(job.from_fmt, preferred)
         if inner:
             inner = os.path.splitext(inner)[0] + job.new_ext
-    target = job.target_name
+    target, dest = job.target_name, folder(dest, job.collection)
     os.makedirs(dest, exist_ok=True)
     partial = os.path.join(dest, f".{uuid.uuid4().hex}.part")
     try:
@@ -140,7 +145,11 @@ def export_jobs(headers: DataFrame, steps: DataFrame, located: DataFrame) -> Dat
 
 
 def write_exports(jobs: DataFrame, dest: str, primary_only: bool = True, convert: bool = False) -> DataFrame:
-    """Write every job under ``dest``; returns the manifest. A failing file gives a row with its error."""
+    """Write every job into its collection's folder under ``dest``; returns a manifest row for each job.
+
+    A failing file gives a row with its error. Of several files of a collection with one target the last by name is
+    written, as when written one after another; the others get a row that names it.
+    """
     def run(batches):
         for pdf in batches:
             rows = []
@@ -153,10 +162,15 @@ def write_exports(jobs: DataFrame, dest: str, primary_only: bool = True, convert
             yield pd.DataFrame(rows, columns=["collection", "file_name", "target_name", "bytes", "error"]).astype(
                 {"bytes": "Int64"})
 
-    # of several files with one target the last by name stays, as when written one after another
-    cols = jobs.columns
-    last = jobs.groupBy("target_name").agg(F.max_by(F.struct(*cols), "file_name").alias("j")).select("j.*")
-    return last.repartition("target_name").mapInPandas(run, MANIFEST)
+    target = ["collection", "target_name"]
+    key = F.struct("file_name", "catalog")
+    last = jobs.groupBy(*target).agg(F.max(key).alias("_last"))
+    ranked = jobs.join(last, target)
+    written = ranked.filter(key == F.col("_last")).drop("_last").repartition(*target).mapInPandas(run, MANIFEST)
+    replaced = ranked.filter(key != F.col("_last")).select(
+        "collection", "file_name", "target_name", F.lit(None).cast("bigint").alias("bytes"),
+        F.concat(F.lit("replaced by "), "_last.file_name").alias("error"))
+    return written.unionByName(replaced)
 
 
 def write_sets(entries: DataFrame, dest: str) -> DataFrame:
@@ -164,43 +178,66 @@ def write_sets(entries: DataFrame, dest: str) -> DataFrame:
 
     ``entries``: collection, set_name, entry_pos, entry_name, source_path, member_name (complete
     sets only, see ``rebuildable_sets``). Rows arrive sorted, so a package is streamed member by member.
+    A set with a source that cannot be read is a manifest row with the error; nothing is left of it.
     """
-    def run(batches):
-        current, out, partial, count = None, None, None, 0
-
-        def finish():
-            out.close()
-            target = f"{current[1]}.zip"
-            os.replace(partial, os.path.join(dest, target))
-            return pd.DataFrame(
-                [(current[0], current[1], target, count, None)],
-                columns=["collection", "file_name", "target_name", "bytes", "error"]).astype({"bytes": "Int64"})
+    class Package:
+        def __init__(self, collection, set_name):
+            self.collection, self.set_name, self.target = collection, set_name, f"{set_name}.zip"
+            self.count, self.error, self.out, self.partial = 0, None, None, None
+            try:
+                place = folder(dest, collection)
+                os.makedirs(place, exist_ok=True)
+                self.path = os.path.join(place, self.target)
+                self.partial = os.path.join(place, f".{uuid.uuid4().hex}.part")
+                self.out = zipfile.ZipFile(self.partial, "w", zipfile.ZIP_DEFLATED)
+            except OSError as exc:
+                self.error = f"{type(exc).__name__}: {exc}"
+
+        def add(self, row):
+            if self.error:
+                return
+            source = local_path(row.source_path)
+            try:
+                with self.out.open(row.entry_name, "w", force_zip64=True) as member:
+                    if row.member_name:
+                        with zipfile.ZipFile(source) as archive, archive.open(row.member_name) as src:
+                            self.count += _copy(src, member)
+                    else:
+                        with open(source, "rb") as src:
+                            self.count += _copy(src, member)
+            except Exception as exc:  # one bad source must not stop other sets
+                self.error = f"{type(exc).__name__}: {exc}"
+
+        def finish(self):
+            if self.out:
+                self.out.close()
+            if self.error:
+                self.drop()
+            else:
+                os.replace(self.partial, self.path)
+            self.partial = None
+            row = (self.collection, self.set_name, self.target, None if self.error else self.count, self.error)
+            return pd.DataFrame([row], columns=["collection", "file_name", "target_name", "bytes", "error"]).astype({"bytes": "Int64"})
+
+        def drop(self):
+            if self.partial and os.path.exists(self.partial):
+                os.unlink(self.partial)
 
-        os.makedirs(dest, exist_ok=True)
+    def run(batches):
+        current = None
         try:
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
-                    key = (row.collection, row.set_name)
-                    if key != current:
+                    if not current or (row.collection, row.set_name) != (current.collection, current.set_name):
                         if current:
-                            yield finish()
-                        current, count = key, 0
-                        partial = os.path.join(dest, f".{uuid.uuid4().hex}.part")
-                        out = zipfile.ZipFile(partial, "w", zipfile.ZIP_DEFLATED)
-                    source = local_path(row.source_path)
-                    with out.open(row.entry_name, "w", force_zip64=True) as member:
-                        if row.member_name:
-                            with zipfile.ZipFile(source) as archive, archive.open(row.member_name) as src:
-                                count += _copy(src, member)
-                        else:
-                            with open(source, "rb") as src:
-                                count += _copy(src, member)
+                            yield current.finish()
+                        current = Package(row.collection, row.set_name)
+                    current.add(row)
             if current:
-                yield finish()
-                current = None
+                yield current.finish()
         finally:
-            if current and partial and os.path.exists(partial):
-                os.unlink(partial)
+            if current:
+                current.drop()
 
     cols = ["collection", "set_name", "entry_pos", "entry_name", "source_path", "member_name"]
     return (

@@ -6,6 +6,7 @@ All columns have an explicit schema: inferred types would turn the hash 00000012
 from __future__ import annotations
 
 import io
+import xml.parsers.expat
 import zipfile
 import xml.etree.ElementTree as ET
 
@@ -39,12 +40,36 @@ def read_sets(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFra
     )
 
 
+def _key(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def broken_catalogs(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
+    """(catalog_path, error) of plain catalogues that are not whole, well-formed documents."""
+    def parsed(batches):
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                parser = xml.parsers.expat.ParserCreate()
+                try:
+                    parser.Parse(row.content, True)
+                except Exception as exc:  # reported; the others go on
+                    rows.append((row.path, f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame(rows, columns=["catalog_path", "error"])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return raw.mapInPandas(parsed, "catalog_path string, error string")
+
+
 def read_entries(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
     """One row per <rom>, and one with NULL entry columns per set without any.
 
+    A catalogue that is broken anywhere gives no rows: half a catalogue would report sets as unknown.
     Positions follow the document. Write the result as a table before using it in several joins.
     """
-    sets = read_sets(spark, path, pattern).filter(F.col("_rejected").isNull())
+    broken = broken_catalogs(spark, path, pattern).select(_key(F.col("catalog_path")).alias("_broken"))
+    sets = read_sets(spark, path, pattern)
+    sets = sets.join(broken, _key(F.col("catalog_path")) == F.col("_broken"), "left_anti").filter(F.col("_rejected").isNull())
     rows = sets.select(
         "catalog_path", "set_pos", F.coalesce("_name", F.lit("")).alias("set_name"),
         N.strip(F.coalesce("description", F.lit(""))).alias("description"), F.posexplode_outer("rom").alias("entry_pos", "r"))
@@ -65,9 +90,8 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("xml").option("rowTag", "header").option("pathGlobFilter", "*.dat")
         .option("mode", "PERMISSIVE").schema(HEADER).load(path).withColumn("catalog_path", _source_path())
     )
-    key = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    joined = files.withColumn("_k", key(F.col("catalog_path"))).join(
-        heads.withColumn("_k", key(F.col("catalog_path"))).drop("catalog_path"), "_k", "left")
+    joined = files.withColumn("_k", _key(F.col("catalog_path"))).join(
+        heads.withColumn("_k", _key(F.col("catalog_path"))).drop("catalog_path"), "_k", "left")
     return _named(joined)
 
 
@@ -92,6 +116,12 @@ def _zipped_xml(content: bytes):
     raise ValueError("no .dat or .xml member")
 
 
+def _size(text: str | None) -> int:
+    """As the plain reader takes it: 0 unless it is a whole number."""
+    text = (text or "").strip()
+    return int(text) if text.lstrip("+-").isdecimal() else 0
+
+
 def _zipped_rows(path: str, content: bytes):
     pos = 0
     for _, node in ET.iterparse(_zipped_xml(content), events=("end",)):
@@ -103,7 +133,7 @@ def _zipped_rows(path: str, content: bytes):
             yield path, pos, name, text, None, None, None, None, None, None
         for k, e in enumerate(entries):
             digests = [(e.get(a) or "").lower() or None for a in ("crc", "md5", "sha1")]
-            yield path, pos, name, text, k, e.get("name", ""), int(e.get("size", "0")), *digests
+            yield path, pos, name, text, k, e.get("name", ""), _size(e.get("size")), *digests
         pos += 1
         node.clear()
 
@@ -114,19 +144,13 @@ def read_zipped_entries(spark: SparkSession, path: str) -> DataFrame:
         names = [part.split()[0] for part in OUT.split(", ")]
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                rows, error = [], None
+                # rows are held until the whole catalogue is read: a broken one gives its error alone
                 try:
-                    for one in _zipped_rows(row.path, row.content):
-                        rows.append((*one, None))
-                        if len(rows) >= 10_000:
-                            yield frame(rows, names)
-                            rows = []
+                    rows = [(*one, None) for one in _zipped_rows(row.path, row.content)]
                 except Exception as exc:  # an unreadable catalogue is reported, the others go on
-                    error = f"{type(exc).__name__}: {exc}"
-                if error:
-                    rows.append((row.path, *[None] * 9, error))
-                if rows:
-                    yield frame(rows, names)
+                    rows = [(row.path, *[None] * 9, f"{type(exc).__name__}: {exc}")]
+                for at in range(0, len(rows), 10_000):
+                    yield frame(rows[at:at + 10_000], names)
 
     def frame(rows, names):
         return pd.DataFrame(rows, columns=[*names, "error"]).astype(
@@ -161,8 +185,6 @@ def discover_catalogs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rejected_catalogs(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogues with records that could not be read: (catalog_path, error)."""
-    plain = read_sets(spark, path).filter(F.col("_rejected").isNotNull()).select(
-        "catalog_path", F.concat(F.lit("malformed record after "), F.coalesce("_name", F.lit("?"))).alias("error"))
+    """Catalogues that could not be read as a whole: (catalog_path, error)."""
     zipped = read_zipped_entries(spark, path).filter(F.col("error").isNotNull()).select("catalog_path", "error")
-    return plain.unionByName(zipped).distinct()
+    return broken_catalogs(spark, path).unionByName(zipped)

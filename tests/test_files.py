@@ -87,6 +87,21 @@ def test_bad_archive_is_a_row(spark, shelf):
     assert len(bad) == 1 and bad[0].file_name == "broken.zip" and bad[0].member_name is None and len(rows) == 6
 
 
+def test_broken_catalog_gives_no_rows(spark, tmp_path):
+    whole = catalog_xml("Whole", [(f"S{i}", 4, "00000012") for i in range(8)])
+    (tmp_path / "good.dat").write_text(whole)
+    (tmp_path / "cut.dat").write_text(whole[: len(whole) * 2 // 3])
+    with zipfile.ZipFile(tmp_path / "cut.zip", "w") as z:
+        z.writestr("list.dat", whole[: len(whole) * 2 // 3])
+    with zipfile.ZipFile(tmp_path / "odd.zip", "w") as z:
+        z.writestr("list.dat", whole.replace('size="4"', 'size="four"').replace("size='4'", "size='four'"))
+    names = {os.path.basename(r.catalog_path) for r in CA.read_entries(spark, str(tmp_path)).select("catalog_path").distinct().collect()}
+    assert names == {"good.dat"}
+    assert sorted(os.path.basename(r.catalog_path) for r in CA.rejected_catalogs(spark, str(tmp_path)).collect()) == ["cut.dat", "cut.zip"]
+    zipped = CA.read_zipped_entries(spark, str(tmp_path)).collect()
+    assert sorted((os.path.basename(r.catalog_path), r.size) for r in zipped if not r.error) == [("odd.zip", 0)] * 8
+
+
 def test_catalog_variants(spark, tmp_path):
     (tmp_path / "plain.dat").write_text("<datafile><game name='Empty'/><game name='A'><rom name='a.bin'/><rom name='b.bin' size='3' crc='0000000A'/></game></datafile>")
     inner = catalog_xml("Zipped", [("Z", 4, "00000012")])
@@ -154,8 +169,9 @@ def test_strip_and_package(spark, tmp_path):
     source = tmp_path / "game.smc"
     source.write_bytes(bytes(512) + body)
     job = jobs(spark, source, "Super Nintendo", "Game (USA)", "Game (USA).sfc", data=bytes(512) + body)
-    dest = tmp_path / "out" / "deep"
-    header, steps, manifest = export(spark, source, job, dest)
+    root = tmp_path / "out" / "deep"
+    header, steps, manifest = export(spark, source, job, root)
+    dest = root / "Super Nintendo"
     assert list(steps) == ["strip_header", "rename_ext", "compress_package"] and steps["strip_header"].params["header_size"] == "512"
     assert header.summary == "strip_header → rename_ext → compress_package" and header.plan_label == "modify"
     assert [r.error for r in manifest] == [None] and manifest[0].bytes == 1024
@@ -172,10 +188,10 @@ def test_embedded_files(spark, tmp_path):
     job = jobs(spark, source, "Nintendo 64", "Game (USA)", "Game (USA).z64", data=BIG, source_type=".z64")
     header, steps, _ = export(spark, source, job, tmp_path / "a")
     assert list(steps) and "rename_ext" not in steps and steps["remove_embedded"].params == {"filename": "readme.txt"}
-    with zipfile.ZipFile(tmp_path / "a" / "Game (USA).zip") as z:
+    with zipfile.ZipFile(tmp_path / "a" / "Nintendo 64" / "Game (USA).zip") as z:
         assert z.namelist() == ["Game (USA).z64"] and z.read("Game (USA).z64") == BIG
     export(spark, source, job, tmp_path / "b", primary_only=False)
-    with zipfile.ZipFile(tmp_path / "b" / "Game (USA).zip") as z:
+    with zipfile.ZipFile(tmp_path / "b" / "Nintendo 64" / "Game (USA).zip") as z:
         assert sorted(z.namelist()) == ["Game (USA).z64", "readme.txt"]
 
 
@@ -187,7 +203,7 @@ def test_byte_order_conversion(spark, tmp_path, convert, name, content):
     job = jobs(spark, source, "Nintendo 64", "Game (USA)", "Game (USA).z64", data=data)
     _, steps, _ = export(spark, source, job, tmp_path / "o", convert=convert)
     assert steps["convert_byteorder"].params["to_fmt"] == "bigendian"
-    with zipfile.ZipFile(tmp_path / "o" / "Game (USA).zip") as z:
+    with zipfile.ZipFile(tmp_path / "o" / "Nintendo 64" / "Game (USA).zip") as z:
         assert z.namelist() == [name] and z.read(name) == content
 
 
@@ -197,21 +213,26 @@ def test_loose_file_keeps_extension(spark, tmp_path):
     job = jobs(spark, source, "Sony - PlayStation", "Some Game (USA)", "Some Game (USA).bin", data=b"disc")
     header, steps, manifest = export(spark, source, job, tmp_path / "o")
     assert list(steps) == ["loose_file"] and header.target_name == "Some Game (USA).chd"
-    assert (tmp_path / "o" / "Some Game (USA).chd").read_bytes() == b"disc"
+    assert (tmp_path / "o" / "Sony - PlayStation" / "Some Game (USA).chd").read_bytes() == b"disc"
 
 
 def test_no_steps_copies_and_errors_are_rows(spark, tmp_path):
     source = tmp_path / "x.sfc"
     source.write_bytes(b"data")
+    other = tmp_path / "y.sfc"
+    other.write_bytes(b"other")
     schema = ("collection string, file_name string, catalog string, source_path string, target_name string, n_steps bigint, strip_bytes bigint, "
               "inner_name string, from_fmt string, to_fmt string, new_ext string")
     rows = [("c", "x.sfc", "c", str(source), "Y (USA).sfc", 0, 0, None, None, None, None),
-            ("c", "gone.sfc", "c", str(tmp_path / "gone.sfc"), "Z.sfc", 0, 0, None, None, None, None)]
-    (tmp_path / "o").mkdir()
-    (tmp_path / "o" / "Y (USA).sfc").write_bytes(b"old")
+            ("c", "gone.sfc", "c", str(tmp_path / "gone.sfc"), "Z.sfc", 0, 0, None, None, None, None),
+            ("c", "a.sfc", "c", str(source), "Y (USA).sfc", 0, 0, None, None, None, None),
+            ("d", "y.sfc", "d", str(other), "Y (USA).sfc", 0, 0, None, None, None, None)]
+    (tmp_path / "o" / "c").mkdir(parents=True)
+    (tmp_path / "o" / "c" / "Y (USA).sfc").write_bytes(b"old")
     got = {r.file_name: r for r in W.write_exports(spark.createDataFrame(rows, schema), str(tmp_path / "o")).collect()}
     assert got["x.sfc"].error is None and got["gone.sfc"].error.startswith("FileNotFoundError")
-    assert (tmp_path / "o" / "Y (USA).sfc").read_bytes() == b"data"
+    assert len(got) == 4 and got["a.sfc"].error == "replaced by x.sfc" and got["y.sfc"].error is None
+    assert (tmp_path / "o" / "c" / "Y (USA).sfc").read_bytes() == b"data" and (tmp_path / "o" / "d" / "Y (USA).sfc").read_bytes() == b"other"
 
 
 def test_rebuild_sets(spark, tmp_path):
@@ -219,11 +240,15 @@ def test_rebuild_sets(spark, tmp_path):
     one.write_bytes(b"first")
     with zipfile.ZipFile(two, "w") as z:
         z.writestr("inner.bin", b"second")
-    rows = [("c", "S", 1, "b.bin", str(two), "inner.bin"), ("c", "S", 0, "a.bin", str(one), None), ("c", "T", 0, "t.bin", str(one), None)]
+    rows = [("c", "S", 1, "b.bin", str(two), "inner.bin"), ("c", "S", 0, "a.bin", str(one), None), ("c", "T", 0, "t.bin", str(one), None),
+            ("d", "S", 0, "s.bin", str(one), None), ("d", "U", 0, "a.bin", str(tmp_path / "gone.bin"), None), ("d", "U", 1, "b.bin", str(one), None)]
     df = spark.createDataFrame(rows, "collection string, set_name string, entry_pos int, entry_name string, source_path string, member_name string")
     manifest = W.write_sets(df, str(tmp_path / "o")).collect()
-    assert sorted((r.target_name, r.bytes) for r in manifest) == [("S.zip", 11), ("T.zip", 5)]
-    with zipfile.ZipFile(tmp_path / "o" / "S.zip") as z:
+    assert sorted((r.collection, r.target_name, r.bytes or -1) for r in manifest) == [
+        ("c", "S.zip", 11), ("c", "T.zip", 5), ("d", "S.zip", 5), ("d", "U.zip", -1)]
+    assert [r.error.split(":")[0] for r in manifest if r.error] == ["FileNotFoundError"]
+    assert os.listdir(tmp_path / "o" / "d") == ["S.zip"]
+    with zipfile.ZipFile(tmp_path / "o" / "c" / "S.zip") as z:
         assert z.namelist() == ["a.bin", "b.bin"] and z.read("b.bin") == b"second"
 
 

@@ -39,6 +39,14 @@ def test_name_candidates(spark, stem, sets, first, low, high):
         assert got[0].set_name == first and low <= got[0].confidence <= high
 
 
+def test_any_number_of_candidates(spark):
+    files = spark.createDataFrame([("c", "Tetris (Foo).zip")], FILES)
+    rows = spark.createDataFrame([("c", "k", i, f"Super Tetris {i}x Challenge (USA)", f"h{i}") for i in range(40)], SETS)
+    assert [r.name_rank for r in M.name_candidates(files, rows, top=20).orderBy("name_rank").collect()] == list(range(1, 21))
+    bases = spark.createDataFrame([("c", "tetris")], "collection string, base_key string")
+    assert M.base_candidates(bases, M.distinct_sets(rows)).count() == 40
+
+
 def test_last_name_wins_among_case_variants(spark):
     got = names_for(spark, "game x (usa)", ["Game X (USA)", "GAME X (USA)"])
     assert (got[0].set_name, got[0].confidence) == ("GAME X (USA)", 0.95)
@@ -112,6 +120,8 @@ def test_collection_scores(spark):
         ("Redump - Sony - PlayStation 2", "Redump - Sony - PS2"): 23.333333, ("Nintendo - Game Boy Color", "Nintendo - Game Boy"): 80,
         ("Nintendo - Nintendo DSi", "Nintendo - DS"): 80, ("Nintendo - Nintendo 64 (BigEndian)", "Nintendo - N64"): 90,
         ("Nintendo - Super Nintendo Entertainment System", "Nintendo - NES"): 0, ("Sony - PlayStation 2", "Sony - PS1"): 0,
+        ("TOSEC - Redump - MAME - No-Intro - Sony - PlayStation 2", "Sony - PS2"): 90,
+        ("Redump - TOSEC - MAME - No-Intro - Redump - Sony - PlayStation 2", "TOSEC - MAME - Redump - TOSEC - MAME - Sony - PS2"): 90,
         ("Sega - Saturn", "Sony - Saturn"): 0, ("Sega - (x)", "Sega - Saturn"): 80, ("Saturn", "Sega - Saturn"): 100,
     }
     df = spark.createDataFrame([(a, b) for a, b in expected], "a string, b string")

@@ -26,22 +26,22 @@ def _rest(c):
     return f"CASE WHEN strpos({c}, ' - ') > 0 THEN trim(substr({c}, strpos({c}, ' - ') + 3)) ELSE trim({c}) END"
 
 
-_STEPS, _PREV = "", "p0"
-for _i in range(1, 4):
-    _go_a = f"va <> '' AND vb <> '' AND va <> vb AND va IN ({_PREFIXES}) AND strpos(ra, ' - ') > 0"
-    _go_b = f"va <> '' AND vb <> '' AND va <> vb AND NOT (va IN ({_PREFIXES}) AND strpos(ra, ' - ') > 0) AND vb IN ({_PREFIXES}) AND strpos(rb, ' - ') > 0"
-    _STEPS += f""", p{_i} AS (SELECT catalog_name, collection,
-  CASE WHEN {_go_a} THEN {_vendor('ra')} ELSE va END AS va, CASE WHEN {_go_a} THEN {_rest('ra')} ELSE ra END AS ra,
-  CASE WHEN {_go_b} THEN {_vendor('rb')} ELSE vb END AS vb, CASE WHEN {_go_b} THEN {_rest('rb')} ELSE rb END AS rb FROM {_PREV})"""
-    _PREV = f"p{_i}"
+_APART = "va <> '' AND vb <> '' AND va <> vb"
+_GO_A = f"{_APART} AND va IN ({_PREFIXES}) AND strpos(ra, ' - ') > 0"
+_GO_B = f"{_APART} AND NOT (va IN ({_PREFIXES}) AND strpos(ra, ' - ') > 0) AND vb IN ({_PREFIXES}) AND strpos(rb, ' - ') > 0"
+_STRIP = f""", stripped(catalog_name, collection, va, ra, vb, rb) AS (SELECT * FROM p0 UNION ALL
+  SELECT catalog_name, collection, CASE WHEN {_GO_A} THEN {_vendor('ra')} ELSE va END, CASE WHEN {_GO_A} THEN {_rest('ra')} ELSE ra END,
+  CASE WHEN {_GO_B} THEN {_vendor('rb')} ELSE vb END, CASE WHEN {_GO_B} THEN {_rest('rb')} ELSE rb END
+  FROM stripped WHERE ({_GO_A}) OR ({_GO_B})),
+last_form AS (SELECT * FROM stripped WHERE NOT (({_GO_A}) OR ({_GO_B})))"""
 
 _BARE = r"trim(regexp_replace({c}, '\s*\([^)]*\)', '', 'g'))"
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace({c}, '\b(?:the|of|and|for)\b', '', 'g'), '[\s\-/]+'), lambda t: length(t) > 1))"
-SCORES = COLLECTIONS + f""", {SQL_ALIAS},
+SCORES = COLLECTIONS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {SQL_ALIAS},
 p0 AS (SELECT a.catalog_name, b.collection, {_vendor('lower(a.catalog_name)')} AS va, {_rest('lower(a.catalog_name)')} AS ra,
   {_vendor('lower(b.collection)')} AS vb, {_rest('lower(b.collection)')} AS rb
-  FROM (SELECT DISTINCT catalog_name FROM catalog_row) a, (SELECT DISTINCT collection FROM directory_row) b){_STEPS},
-bare AS (SELECT catalog_name, collection, va <> '' AND vb <> '' AND va <> vb AS apart, {_BARE.format(c='ra')} AS x, {_BARE.format(c='rb')} AS y FROM p3),
+  FROM (SELECT DISTINCT catalog_name FROM catalog_row) a, (SELECT DISTINCT collection FROM directory_row) b){_STRIP},
+bare AS (SELECT catalog_name, collection, va <> '' AND vb <> '' AND va <> vb AS apart, {_BARE.format(c='ra')} AS x, {_BARE.format(c='rb')} AS y FROM last_form),
 tok AS (SELECT bare.*, {_TOKENS.format(c='x')} AS tx, {_TOKENS.format(c='y')} AS ty, ax.canon AS cx, ay.canon AS cy
   FROM bare LEFT JOIN alias ax ON ax.spelling = x LEFT JOIN alias ay ON ay.spelling = y),
 cnt AS (SELECT *, len(list_intersect(tx, ty)) AS common, least(len(tx), len(ty)) AS fewest, len(list_distinct(list_concat(tx, ty))) AS total FROM tok),

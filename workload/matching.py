@@ -75,11 +75,9 @@ def full_name_candidates(spark, d):
 
 
 @query("base_name_candidates", NAMES + """
-SELECT collection, catalog, base_key, set_name, set_pos, how, round(confidence, 6) AS confidence FROM (
-  SELECT *, row_number() OVER (PARTITION BY collection, catalog, base_key ORDER BY confidence DESC, set_pos) AS rn FROM (
-    SELECT DISTINCT collection, catalog, lower(base) AS base_key, set_name, set_pos, how,
-      CASE how WHEN 'equal' THEN 0.85 WHEN 'inside' THEN least(0.7, a::DOUBLE / b) ELSE least(0.5, b::DOUBLE / a) END AS confidence
-    FROM by_base WHERE how IS NOT NULL)) WHERE rn <= 10""")
+SELECT DISTINCT collection, catalog, lower(base) AS base_key, set_name, set_pos, how,
+  round(CASE how WHEN 'equal' THEN 0.85 WHEN 'inside' THEN least(0.7, a::DOUBLE / b) ELSE least(0.5, b::DOUBLE / a) END, 6) AS confidence
+FROM by_base WHERE how IS NOT NULL""")
 def base_name_candidates(spark, d):
     bases = M.stems(fr.part_files(spark, d)).select("collection", "base_key").distinct()
     return M.base_candidates(bases, M.distinct_sets(_sets(spark, d))).select(
