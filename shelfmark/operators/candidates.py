@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.operators import hash_match, name_match
-from shelfmark.operators.reconcile import SCOPE, _usable
+from shelfmark.operators.reconcile import SCOPE, _usable, wanted_hashes
 from shelfmark.session import cut
 
 FIELDS = ["set_name", "set_pos", "n_sets", "confidence", "reason", "expected_hash", "actual_hash",
-          "hash_match", "action", "stage", "rule_ord"]
+          "hash_match", "action", "stage", "rule_ord", "content_key"]
 
 
 def confirmed(c: Column | str = "hash_match") -> Column:
@@ -48,11 +48,11 @@ def size_reason(label: Column, prefix: Column, size: Column) -> Column:
     )
 
 
-def content_candidates(variants: DataFrame, entries: DataFrame, misses: DataFrame | None = None) -> DataFrame:
+def content_candidates(variants: DataFrame, entries: DataFrame) -> DataFrame:
     """Per file and catalogue, what each reading of the content finds: its first set and the number of sets.
 
-    The other sets of a hash are listed by content in ``hash_match``; repeating them for every
-    copy would multiply two hot groups.
+    All sets of a content are in ``hash_match.content_sets``, under the candidate's ``content_key``;
+    repeating them for every copy would multiply two hot groups.
     """
     raw = variants.filter(F.col("kind") == "raw").select("collection", "file_name", F.col("hash").alias("raw_hash"))
     hits = variants.filter(_usable()).join(_first_sets(entries, "hash"), ["collection", "hash"])
@@ -66,9 +66,10 @@ def content_candidates(variants: DataFrame, entries: DataFrame, misses: DataFram
         F.col("hash").alias("expected_hash"), F.col("raw_hash").alias("actual_hash"),
         F.lit(True).alias("hash_match"), F.lit("rename").alias("action"),
         stage.alias("stage"), F.col("variant_ord").cast("int").alias("rule_ord"),
+        F.concat(F.lit("hash:"), "hash").alias("content_key"),
     )
     firsts = hash_match.first_hashes(entries).select(*SCOPE, "set_pos", "first_hash")
-    misses = hash_match.prefix_misses(variants, entries) if misses is None else misses
+    misses = hash_match.prefix_misses(variants, entries)
     by_size = (
         misses.join(_first_sets(entries, "size"), [*SCOPE, "size"])
         .join(firsts, [*SCOPE, "set_pos"])
@@ -78,6 +79,7 @@ def content_candidates(variants: DataFrame, entries: DataFrame, misses: DataFram
             F.col("first_hash").alias("expected_hash"), F.col("hash").alias("actual_hash"),
             F.lit(False).alias("hash_match"), F.lit("crc_mismatch").alias("action"),
             F.lit(2).alias("stage"), F.col("variant_ord").cast("int").alias("rule_ord"),
+            F.concat(F.lit("size:"), F.col("size").cast("string")).alias("content_key"),
         )
     )
     return by_hash.unionByName(by_size)
@@ -126,27 +128,34 @@ def gather(files: DataFrame, variants: DataFrame, entries: DataFrame, *more: Dat
     ``more``: content candidates of further rules, in the columns of ``content_candidates``. What
     several later steps read is written out once instead of being joined together again for each.
     """
-    misses = cut(hash_match.prefix_misses(variants, entries))
-    content = content_candidates(variants, entries, misses)
+    content = content_candidates(variants, entries)
     for extra in more:
-        content = content.unionByName(extra)
+        content = content.unionByName(extra, allowMissingColumns=True)
     content = cut(content)
     sure = content.filter(confirmed()).select(*SCOPE, "file_name").distinct()
-    named = name_match.name_candidates(files, hash_match.first_hashes(entries))
+    # names are asked for files that some catalogue of the collection leaves open
+    asked = (
+        files.select("collection", "file_name").join(entries.select(*SCOPE).distinct(), "collection")
+        .join(sure, [*SCOPE, "file_name"], "left_anti").select("collection", "file_name").distinct()
+    )
+    asked = cut(asked)
+    named = name_match.name_candidates(asked, hash_match.first_hashes(entries))
     open_names = cut(
-        files.select("collection", "file_name", N.stem(F.col("file_name")).alias("stem"))
+        asked.select("collection", "file_name", N.stem(F.col("file_name")).alias("stem"))
         .join(named, ["collection", "stem"]).drop("stem")
         .join(sure, [*SCOPE, "file_name"], "left_anti")
     )
     # a set some stripped length already named is not named again
     sizes = entries.filter(F.col("size") > 0).select(*SCOPE, "set_name", "size").distinct()
+    stripped = variants.filter(F.col("kind") == "prefix").select("collection", "file_name", "size", "hash")
     blocked = (
         open_names.select(*SCOPE, "file_name", "set_name").join(sizes, [*SCOPE, "set_name"])
-        .join(misses.select(*SCOPE, "file_name", "size"), [*SCOPE, "file_name", "size"], "left_semi")
+        .join(stripped, ["collection", "file_name", "size"])
+        .join(wanted_hashes(entries), [*SCOPE, "hash"], "left_anti")
         .select(*SCOPE, "file_name", "set_name").distinct()
     )
     fresh = verify_names(open_names.join(blocked, [*SCOPE, "file_name", "set_name"], "left_anti"), variants)
-    fresh = fresh.withColumns({"stage": F.lit(4), "n_sets": F.lit(1).cast("bigint")})
+    fresh = fresh.withColumns({"stage": F.lit(4), "n_sets": F.lit(1).cast("bigint"), "content_key": F.lit(None).cast("string")})
     # at most a dozen rows per file and catalogue
     once = Window.partitionBy(*SCOPE, "file_name", "set_name").orderBy("stage", "rule_ord")
     rows = content.unionByName(fresh.select(*content.columns)).repartition(*SCOPE, "file_name")

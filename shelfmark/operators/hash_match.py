@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.binary import byte_order_label
-from shelfmark.operators.reconcile import SCOPE, _usable, catalogs_of, wanted_hashes
+from shelfmark.operators.reconcile import SCOPE, _usable, wanted_hashes
 
 
 def _set_hashes(entries: DataFrame) -> DataFrame:
@@ -67,13 +67,33 @@ def swapped_candidates(variants: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def prefix_misses(variants: DataFrame, entries: DataFrame) -> DataFrame:
-    """Stripped variants whose hash no entry has, per catalogue of the collection."""
+    """Stripped variants as long as some entry of a catalogue whose content no entry of it has: a row each and catalogue.
+
+    Variants meet catalogues on a size first, so no variant is repeated for catalogues it cannot concern.
+    """
+    sizes = entries.filter(F.col("size") > 0).select(*SCOPE, "size").distinct()
     return (
-        variants.filter(F.col("kind") == "prefix").join(catalogs_of(entries), "collection")
+        variants.filter(F.col("kind") == "prefix").join(sizes, ["collection", "size"])
         .join(wanted_hashes(entries), [*SCOPE, "hash"], "left_anti")
     )
 
 
+def content_sets(entries: DataFrame) -> DataFrame:
+    """Every set of every content a candidate can name: (SCOPE, content_key, set_name, set_pos, expected_hash).
+
+    ``content_key`` is ``hash:`` or ``size:`` and the value, as candidates carry it. Candidates hold the key and its
+    first set, once a file; this table holds all sets of the key, once a catalogue: joined they are the full lists.
+    """
+    firsts = first_hashes(entries).select(*SCOPE, "set_pos", "first_hash")
+    by_hash = _set_hashes(entries).select(
+        *SCOPE, F.concat(F.lit("hash:"), "hash").alias("content_key"), "set_name", "set_pos", F.col("hash").alias("expected_hash"))
+    sizes = entries.filter(F.col("size") > 0).groupBy(*SCOPE, "size", "set_name").agg(F.min("set_pos").alias("set_pos"))
+    by_size = sizes.join(firsts, [*SCOPE, "set_pos"]).select(
+        *SCOPE, F.concat(F.lit("size:"), F.col("size").cast("string")).alias("content_key"), "set_name", "set_pos",
+        F.col("first_hash").alias("expected_hash"))
+    return by_hash.unionByName(by_size)
+
+
 def size_candidates(variants: DataFrame, entries: DataFrame) -> DataFrame:
     """Weak candidates: the length after stripping equals an entry's size, the content differs."""
     groups = prefix_misses(variants, entries).groupBy(*SCOPE, "size", "prefix", "label").agg(

@@ -135,13 +135,13 @@ catalogs AS (SELECT DISTINCT collection, catalog FROM part_set),
 content AS (
   SELECT h.collection, h.catalog, v.file_name, h.set_name, h.set_pos, h.n_sets, CASE v.kind WHEN 'raw' THEN 1.0 ELSE 0.95 END::DOUBLE AS confidence,
     CASE v.kind WHEN 'raw' THEN 'Direct CRC match' ELSE 'Header detected: ' || v.label || ' (512 bytes, 100% zeros). CRC after stripping header matches DAT entry.' END AS reason,
-    v.hash AS expected_hash, f.raw_hash AS actual_hash, true AS hash_match, 'rename' AS action, CASE v.kind WHEN 'raw' THEN 1 ELSE 2 END AS stage, v.variant_ord AS rule_ord
+    v.hash AS expected_hash, f.raw_hash AS actual_hash, true AS hash_match, 'rename' AS action, CASE v.kind WHEN 'raw' THEN 1 ELSE 2 END AS stage, v.variant_ord AS rule_ord, 'hash:' || v.hash AS content_key
   FROM part_variant v JOIN by_hash h ON h.collection = v.collection AND h.hash = v.hash
   JOIN part_file f ON f.collection = v.collection AND f.file_name = v.file_name
   UNION ALL
   SELECT z.collection, z.catalog, v.file_name, z.set_name, z.set_pos, z.n_sets, 0.3::DOUBLE,
     'Possible ' || v.label || ' (512 bytes). Size after stripping (' || CAST(v.size AS VARCHAR) || ') matches DAT, but CRC still differs.',
-    z.first_hash, v.hash, false, 'crc_mismatch', 2, v.variant_ord
+    z.first_hash, v.hash, false, 'crc_mismatch', 2, v.variant_ord, 'size:' || CAST(v.size AS VARCHAR)
   FROM part_variant v JOIN by_size z ON v.kind = 'prefix' AND z.collection = v.collection AND z.size = v.size
   WHERE NOT EXISTS (SELECT 1 FROM by_hash h WHERE h.collection = z.collection AND h.catalog = z.catalog AND h.hash = v.hash)),
 sure AS (SELECT DISTINCT collection, catalog, file_name FROM content WHERE hash_match),
@@ -152,7 +152,7 @@ fresh AS (SELECT v.* FROM verified v
     AND NOT EXISTS (SELECT 1 FROM sized z JOIN part_set p ON p.collection = z.collection AND p.catalog = z.catalog AND p.size = z.size
       WHERE z.collection = v.collection AND z.catalog = v.catalog AND z.file_name = v.file_name AND p.set_name = v.set_name)),
 every AS (SELECT * FROM content UNION ALL
-  SELECT collection, catalog, file_name, set_name, set_pos, 1, confidence, reason, expected_hash, actual_hash, hash_match, action, 4, rule_ord FROM fresh),
+  SELECT collection, catalog, file_name, set_name, set_pos, 1, confidence, reason, expected_hash, actual_hash, hash_match, action, 4, rule_ord, NULL FROM fresh),
 gathered AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, catalog, file_name, set_name ORDER BY stage, rule_ord) AS rn FROM every) WHERE rn = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY collection, catalog, file_name
   ORDER BY coalesce(hash_match, false) DESC, confidence DESC, stage, rule_ord, set_pos) AS candidate_rank FROM gathered)
@@ -166,6 +166,11 @@ def _gathered(spark, d):
 
 query("candidates", GATHER + "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM gathered")(
     lambda spark, d: _gathered(spark, d).withColumn("confidence", F.round("confidence", 6)))
+query("candidate_sets", PARTS + """
+SELECT collection, catalog, 'hash:' || hash AS content_key, set_name, min(set_pos) AS set_pos, hash AS expected_hash FROM part_set GROUP BY ALL
+UNION ALL
+SELECT collection, catalog, 'size:' || CAST(size AS VARCHAR), set_name, min(set_pos), arg_min(hash, set_pos) FROM part_set WHERE size > 0 GROUP BY collection, catalog, size, set_name""")(
+    lambda spark, d: H.content_sets(fr.part_sets(spark, d)))
 query("ranked_candidates", GATHER + "SELECT collection, catalog, file_name, set_name, hash_match, candidate_rank FROM ranked")(
     lambda spark, d: C.rank(_gathered(spark, d)).select(
         *SCOPE, "file_name", "set_name", "hash_match", F.col("candidate_rank").cast("bigint").alias("candidate_rank")))
