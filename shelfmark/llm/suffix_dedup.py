@@ -44,20 +44,28 @@ GRAM = 24
 #: bytes of text in a pack and, about, behind a block
 PACK, BLOCK = 8 << 20, 16 << 20
 #: bytes hashed at a time, so that work stays in the cache
-SPAN = 1 << 18
+SPAN = 1 << 16
+#: parts of a block that are sorted one after the other
+PARTS = 8
 HASH_BITS, PLACE_BITS = 40, 24
 NULL_ID = -(1 << 63)
 
 
 # ---- suffix sorting --------------------------------------------------------------------------------------------
 
-def keys(text: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
-    """The first ``length`` bytes of the suffixes at ``at`` as big-endian words; bytes behind the text count as zero."""
-    padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+def words_of(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number; bytes behind the text count as zero."""
+    w = np.concatenate([text, np.zeros(LENGTH + 16, np.uint8)]).astype(np.uint64)
+    for width in (1, 2, 4):
+        w = w[:-width] << np.uint64(8 * width) | w[width:]
+    return w
+
+
+def keys(words: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    """The first ``length`` bytes of the suffixes at ``at``, eight by eight."""
     out = []
     for k in range(0, length, 8):
-        word = words[at + k].copy().view(">u8").reshape(-1).astype(np.uint64)
+        word = words[np.minimum(at + k, len(words) - 1)]
         if length - k < 8:
             word &= ~np.uint64((1 << (8 * (8 - (length - k)))) - 1)
         out.append(word)
@@ -79,10 +87,10 @@ def sorted_starts(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     if not len(starts):
         return starts, np.zeros(0, bool)
     # a suffix is type B if it is smaller than its successor: the next different byte is larger
-    change = np.flatnonzero(text[1:] != text[:-1])
+    differs = text[1:] != text[:-1]
+    change = np.flatnonzero(differs)
     rising = text[change] < text[change + 1]
-    run_of = np.searchsorted(change, np.arange(n))
-    type_b = np.concatenate([rising, [False]])[run_of]
+    type_b = np.append(rising, False)[np.concatenate([[0], np.cumsum(differs)])]
     # wanted suffixes, and the successors the induced ones hang on
     wanted = np.zeros(n, bool)
     wanted[starts] = True
@@ -94,7 +102,8 @@ def sorted_starts(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
         front = front[~type_b[front]]
     # stage one: sort type B directly, word by word, only where words so far are equal
     direct = np.flatnonzero(wanted & type_b)
-    words = keys(text, direct, length)
+    eights = words_of(text)
+    words = keys(eights, direct, length)
     order = np.argsort(words[0], kind="stable")
     group = _numbered(words[0][order])
     for word in words[1:]:
@@ -144,7 +153,7 @@ def sorted_starts(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) ->
     # neighbours with a common prefix shorter than the length begin a new group
     new = np.zeros(len(array), bool)
     new[:1] = True
-    for word in keys(text, array, length):
+    for word in keys(eights, array, length):
         new[1:] |= word[1:] != word[:-1]
     return array, new
 
@@ -262,6 +271,16 @@ def _unframe(raw: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
+def _bundle(frames: list[bytes]) -> bytes:
+    return np.array([len(f) for f in frames], "<i8").tobytes() + b"".join(frames)
+
+
+def _unbundle(raw: bytes) -> list[bytes]:
+    sizes = np.frombuffer(raw, "<i8", PARTS).tolist()
+    edges = np.cumsum([8 * PARTS, *sizes]).tolist()
+    return [raw[i:j] for i, j in zip(edges, edges[1:])]
+
+
 def _rows(schema: list[str], rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"pack": pa.int64(), "block": pa.int32(), "body": pa.binary()}
     columns = list(zip(*rows)) if rows else [()] * len(schema)
@@ -279,9 +298,13 @@ def _split(block: np.ndarray):
 def sent_hashes(pack: Pack, n_blocks: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """(block, hashes in order, whether two documents of the pack share one)."""
     hashes, _, _, doc = pack.runs()
-    pairs = np.unique(hashes << np.uint64(PLACE_BITS) | doc.astype(np.uint64)) >> np.uint64(PLACE_BITS)
-    once, counts = np.unique(pairs, return_counts=True)
-    return [(block, once[i], counts[i] > 1) for block, i in _split((once % np.uint64(n_blocks)).astype(np.int64))]
+    # documents of a hash in order: a hash whose first and last differ has two at least
+    pairs = np.sort(hashes << np.uint64(PLACE_BITS) | doc.astype(np.uint64))
+    mine = pairs >> np.uint64(PLACE_BITS)
+    first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])[:len(mine)])
+    last = np.append(first[1:], len(mine)) - 1
+    once, several = mine[first], pairs[first] != pairs[last]
+    return [(block, once[i], several[i]) for block, i in _split((once % np.uint64(n_blocks)).astype(np.int64))]
 
 
 def shared_hashes(table: pa.Table) -> pa.Table:
@@ -289,8 +312,9 @@ def shared_hashes(table: pa.Table) -> pa.Table:
     packs = table.column("pack").to_pylist()
     sent = [_unframe(b, "<u4", "<u1", "<u1") for b in table.column("body").to_pylist()]
     full = [low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32) for low, high, _ in sent]
-    values, counts = np.unique(np.concatenate(full), return_counts=True)
-    common = counts > 1
+    every = np.sort(np.concatenate(full))
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[:len(every)])
+    values, common = every[first], np.diff(np.append(first, len(every))) > 1
     several = np.concatenate(full)[np.concatenate([np.unpackbits(bits, count=len(f)) for f, (_, _, bits) in zip(full, sent)]).astype(bool)]
     common[np.searchsorted(values, several)] = True
     block = table.column("block")[0].as_py()
@@ -327,30 +351,56 @@ WIDTH = -(-(2 * LENGTH - GRAM) // 8) * 8
 def sent_runs(pack: Pack, shared: dict[int, np.ndarray], n_blocks: int) -> list[tuple[int, bytes]]:
     """(block, frame) of the runs with a shared anchor: equal ones once, with the smallest id and all places."""
     hashes, first, count, doc = pack.runs()
-    once = np.unique(hashes)
+    order = np.argsort(hashes)
+    lead = np.append(True, hashes[order][1:] != hashes[order][:-1])[:len(order)]
+    once = hashes[order][lead]
     known = np.zeros(len(once), bool)
     for block, i in _split((once % np.uint64(n_blocks)).astype(np.int64)):
         if block in shared:
             known[i] = np.unpackbits(shared[block], count=len(i)).astype(bool)
-    use = np.flatnonzero(known[np.searchsorted(once, hashes)])
+    shown = np.empty(len(order), bool)
+    shown[order] = known[np.cumsum(lead) - 1]
+    use = np.flatnonzero(shown)
     hashes, first, count, doc = hashes[use], first[use], count[use], doc[use]
-    out = []
-    for block, i in _split((hashes % np.uint64(n_blocks)).astype(np.int64)):
-        sizes = count[i] + LENGTH - 1
-        number = same_rows(padded(pack.text, first[i], sizes, WIDTH), sizes)
-        order = np.argsort(number, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(number[order]) != 0]))
-        head = order[heads]
-        least = np.minimum.reduceat(pack.ids[doc[i]][order], heads)
-        span = padded(pack.text, first[i][head], sizes[head], WIDTH)[np.arange(WIDTH) < sizes[head][:, None]]
-        out.append((block, _frame(count[i][head].astype("<u1"), span, least, np.diff(np.append(heads, len(order))).astype("<i4"), first[i][order].astype("<i8"))))
-    return out
+    out: dict[int, list[bytes]] = {}
+    if not len(use):
+        return []
+    # equal runs have equal anchors, so they lie side by side in the order of places
+    sizes, place = count + LENGTH - 1, (hashes % np.uint64(n_blocks * PARTS)).astype(np.int64)
+    rows = padded(pack.text, first, sizes, WIDTH)
+    number = same_rows(rows, sizes)
+    order = np.argsort(place * (len(use) + 1) + number, kind="stable")
+    heads = np.flatnonzero(np.diff(number[order], prepend=-1))
+    head = order[heads]
+    least = np.minimum.reduceat(pack.ids[doc][order], heads)
+    spans_of = rows[head][np.arange(WIDTH) < sizes[head][:, None]]
+    ends = np.concatenate([[0], np.cumsum(sizes[head])])
+    bounds = np.append(heads, len(order))
+    counts, times, places = count[head].astype("<u1"), np.diff(bounds).astype("<i4"), first[order].astype("<i8")
+    edges = np.append(np.flatnonzero(np.diff(place[head], prepend=-1)), len(head)).tolist()
+    for i, j in zip(edges, edges[1:]):
+        at = int(place[head[i]])
+        frame = _frame(counts[i:j], spans_of[ends[i]:ends[j]], least[i:j], times[i:j], places[bounds[i]:bounds[j]])
+        out.setdefault(at % n_blocks, [b""] * PARTS)[at // n_blocks] = frame
+    return [(block, _bundle(frames)) for block, frames in out.items()]
 
 
 def covered_strings(table: pa.Table) -> pa.Table:
     """What a block finds: for each pack, which strings of its runs start in a document with a smaller id than its own smallest."""
-    packs = table.column("pack").to_pylist()
-    sent = [_unframe(b, "<u1", "<u1", "<i8", "<i4", "<i8") for b in table.column("body").to_pylist()]
+    packs, block = table.column("pack").to_pylist(), table.column("block")[0].as_py()
+    bodies = [_unbundle(b) for b in table.column("body").to_pylist()]
+    out = [[b""] * PARTS for _ in packs]
+    # a string's anchor names the part as well, so parts are sorted one after the other
+    for k in range(PARTS):
+        there = [i for i, frames in enumerate(bodies) if frames[k]]
+        if there:
+            for i, frame in zip(there, _covered([bodies[i][k] for i in there])):
+                out[i][k] = frame
+    return pa.Table.from_batches([_rows(["pack", "block", "body"], [(p, block, _bundle(frames)) for p, frames in zip(packs, out)])])
+
+
+def _covered(frames: list[bytes]) -> list[bytes]:
+    sent = [_unframe(b, "<u1", "<u1", "<i8", "<i4", "<i8") for b in frames]
     count = np.concatenate([s[0] for s in sent]).astype(np.int64)
     sizes = count + LENGTH - 1
     text = np.concatenate([s[1] for s in sent])
@@ -376,18 +426,18 @@ def covered_strings(table: pa.Table) -> pa.Table:
     # back to the runs as they were sent
     mine = np.repeat(begin[number], count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
     smaller = best[mine] < np.repeat(least, count)
-    block, out, at = table.column("block")[0].as_py(), [], 0
-    for p, s in zip(packs, sent):
+    out, at = [], 0
+    for s in sent:
         n = int(s[0].sum(dtype=np.int64))
-        out.append((p, block, _frame(np.packbits(smaller[at:at + n]), s[0], s[3], s[4])))
+        out.append(_frame(np.packbits(smaller[at:at + n]), s[0], s[3], s[4]))
         at += n
-    return pa.Table.from_batches([_rows(["pack", "block", "body"], out)])
+    return out
 
 
 def removed(pack: Pack, answers: list[bytes]) -> np.ndarray:
     """Which bytes of the pack are covered."""
     marks = np.zeros(len(pack.text) + 1, np.int64)
-    for raw in answers:
+    for raw in (frame for answer in answers for frame in _unbundle(answer) if frame):
         bits, count, times, places = _unframe(raw, "<u1", "<u1", "<i4", "<i8")
         count = count.astype(np.int64)
         smaller = np.unpackbits(bits, count=int(count.sum())).astype(bool)
