@@ -13,7 +13,7 @@ from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
 from shelfmark.operators.closest import closest_sets
 from shelfmark.operators.ranking import position_in_group
-from shelfmark.operators.reconcile import SCOPE, catalogs_of
+from shelfmark.operators.reconcile import SCOPE, with_catalogs
 
 
 def same_collection(catalogs: DataFrame, directories: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def pair_by_name(files: DataFrame, sets: DataFrame) -> DataFrame:
 def files_without_set(files: DataFrame, pairs: DataFrame) -> DataFrame:
     taken = pairs.filter(F.col("file_name").isNotNull()).select(*SCOPE, "file_name").distinct()
     return (
-        files.select("collection", "file_name").distinct().join(catalogs_of(pairs), "collection")
+        with_catalogs(files.select("collection", "file_name").distinct(), pairs)
         .join(taken, [*SCOPE, "file_name"], "left_anti").select(*SCOPE, "file_name")
     )
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import broadcast_if_small
 
 SCOPE = ["collection", "catalog"]
 
@@ -34,9 +33,12 @@ def first_sources(hashes: DataFrame) -> DataFrame:
 def entry_results(entries: DataFrame, hashes: DataFrame) -> DataFrame:
     """Status of every (set, entry name). The first file wins; one file may satisfy many entries."""
     found = first_sources(hashes)
-    wanted = entries.withColumn("hash", F.lower("hash"))
+    # entries without a usable hash can have no source: they go around the join, where they would be one hot key
+    asked = entries.filter(_usable()).withColumn("hash", F.lower("hash")).join(found, ["collection", "hash"], "left")
+    blank = entries.filter(~F.coalesce(_usable(), F.lit(False)))
+    wanted = asked.unionByName(blank, allowMissingColumns=True)
     return (
-        wanted.join(found, ["collection", "hash"], "left")
+        wanted
         .groupBy(*SCOPE, "set_pos", "entry_name")
         .agg(
             F.min("set_name").alias("set_name"),
@@ -94,12 +96,19 @@ def wanted_hashes(entries: DataFrame) -> DataFrame:
     return entries.filter(_usable()).select(*SCOPE, F.lower("hash").alias("hash")).distinct()
 
 
-def catalogs_of(entries: DataFrame) -> DataFrame:
-    """The (collection, catalog) pairs: a short list that is counted before it is broadcast.
+# parts a collection's files are dealt out to when every file meets every catalogue of the collection
+SALTS = 64
 
-    Joined by shuffle instead, all files of one collection would meet in one partition.
+
+def with_catalogs(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each row of ``files`` (collection, file_name, ...) with each catalogue of its collection.
+
+    Joined on the collection alone, all its files would meet in one partition: the short list of
+    catalogues is repeated for each part of the file names instead, whatever the sizes.
     """
-    return broadcast_if_small(entries.select(*SCOPE).distinct())
+    salted = entries.select(*SCOPE).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    part = F.pmod(F.xxhash64("file_name"), F.lit(SALTS)).cast("int")
+    return files.withColumn("_part", part).join(salted, ["collection", "_part"]).drop("_part")
 
 
 def unmatched_files(hashes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -110,8 +119,7 @@ def unmatched_files(hashes: DataFrame, entries: DataFrame) -> DataFrame:
         .select(*SCOPE, "file_name").distinct()
     )
     return (
-        hashes.select("collection", "file_name").distinct()
-        .join(catalogs_of(entries), "collection")
+        with_catalogs(hashes.select("collection", "file_name").distinct(), entries)
         .join(hits, [*SCOPE, "file_name"], "left_anti")
     )
 

@@ -1,4 +1,4 @@
-"""Session settings, the shared scratch folder and the size check in front of broadcasts."""
+"""Session settings and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
@@ -18,10 +17,6 @@ ADAPTIVE = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-# rows a dimension may hold and still be shipped to every executor
-BROADCAST_ROWS = 200_000
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
     for key, value in ADAPTIVE.items():
@@ -79,15 +74,4 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     Adaptive execution merges partitions by their size on arrival; a given number keeps them apart
     so that an explode behind it stays spread out.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        n = min(n, spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *columns)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; beyond the bound the planner shuffles and splits hot keys."""
-    if df.limit(rows + 1).count() <= rows:
-        return F.broadcast(df)
-    return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -89,15 +89,18 @@ DOCS = f"WITH {SQL_DOC_ENTRY}, {SQL_DOC_FILE}, {SQL_DOC_HASH}, {SQL_DOC_VARIANT}
 # ---- part: sets with regional names, files named after them in six ways ----
 REGION = _pick("p_size % 5", ["USA", "Japan", "Europe", "World", "France"])
 CODE = _pick("p_size % 5", ["U", "J", "E", "W", "F"])
-TITLE = "upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' ' || p_brand"
+# names grow with the data: two neighbouring parts share a number, and the odd one's file carries a tag, so no file name is there twice
+KEY = "CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING)"
+TAG = "CASE WHEN p_partkey % 2 = 1 THEN ' [' || CAST(p_partkey AS STRING) || ']' ELSE '' END"
+TITLE = f"upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' ' || {KEY} || ' ' || p_brand"
 SET_NAME = f"{TITLE} || ' (' || {REGION} || ')'"
 CATALOG = "lower(p_type) || CASE WHEN p_size > 25 THEN '-a' ELSE '-b' END"
 ENTRY_EXT = _pick("p_size % 4", [".sfc", ".nes", ".iso", ".bin"])
 FILE_EXT = _pick("p_size % 3", [".zip", ".sfc", ".bin"])
 STEM = f"""CASE p_size % 6 WHEN 0 THEN lower({SET_NAME}) WHEN 1 THEN {TITLE} || ' (' || {CODE} || ')'
-  WHEN 2 THEN {TITLE} || ' (J) [!]' WHEN 3 THEN p_name
-  WHEN 4 THEN 'Super ' || p_name || ' ' || p_brand || ' Challenge (U)'
-  ELSE replace(p_name, ' ', '') || replace(p_brand, '#', '') END"""
+  WHEN 2 THEN {TITLE} || ' (J) [!]' WHEN 3 THEN p_name || ' ' || {KEY}
+  WHEN 4 THEN 'Super ' || p_name || ' ' || {KEY} || ' ' || p_brand || ' Challenge (U)'
+  ELSE replace(p_name, ' ', '') || {KEY} || replace(p_brand, '#', '') END || {TAG}"""
 PART_SET = {
     "collection": "p_type", "catalog": CATALOG, "set_pos": "p_partkey", "set_name": SET_NAME,
     "entry_pos": "CAST(0 AS INT)", "entry_name": f"{SET_NAME} || {ENTRY_EXT}",
@@ -117,11 +120,7 @@ def part_sets(spark, d) -> DataFrame:
 
 
 def part_files(spark, d) -> DataFrame:
-    """A directory holds each name once: the first part of a name stands for it."""
-    rows = table(spark, d, "part").selectExpr(*_columns(PART_FILE))
-    rest = [c for c in PART_FILE if c not in ("collection", "file_name")]
-    return rows.groupBy("collection", "file_name").agg(F.min_by(F.struct(*rest), "file_pos").alias("r")).select(
-        "collection", "file_name", "r.*")
+    return table(spark, d, "part").selectExpr(*_columns(PART_FILE))
 
 
 def part_variants(spark, d) -> DataFrame:
@@ -136,9 +135,7 @@ def part_variants(spark, d) -> DataFrame:
 
 
 SQL_PART_SET = f"part_set AS (SELECT {', '.join(_columns(PART_SET))} FROM part)"
-SQL_PART_FILE = f"""part_file AS (SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY collection, file_name ORDER BY file_pos) AS rn
-  FROM (SELECT {', '.join(_columns(PART_FILE))} FROM part)) WHERE rn = 1)"""
+SQL_PART_FILE = f"part_file AS (SELECT {', '.join(_columns(PART_FILE))} FROM part)"
 SQL_PART_STEM = r"part_stem AS (SELECT DISTINCT collection, regexp_replace(file_name, '\.[^.]+$', '') AS stem FROM part_file)"
 SQL_PART_VARIANT = """part_variant AS (
   SELECT collection, file_name, 'raw' AS kind, CAST(NULL AS INT) AS prefix, CAST(NULL AS STRING) AS label, raw_hash AS hash,

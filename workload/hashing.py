@@ -208,10 +208,10 @@ query("unmatched_files", DOCS + f", {SQL_UNMATCHED} SELECT collection, catalog,
 
 @query("rebuildable_sets", RECON + """SELECT set_name, expected_file_name, expected FROM set_result
 WHERE expected = found AND expected_file_name NOT IN (
-  SELECT 'set-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.zip' FROM labels WHERE toxic = 1)""")
+  SELECT 'set-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || CASE toxic WHEN 1 THEN '.zip' ELSE '.old' END FROM labels)""")
 def rebuildable_sets(spark, d):
-    there = fr.table(spark, d, "labels").filter("toxic = 1").selectExpr(
-        "'set-' || lpad(CAST(doc_id AS STRING), 8, '0') || '.zip' AS expected_file_name")
+    there = fr.table(spark, d, "labels").selectExpr(
+        "'set-' || lpad(CAST(doc_id AS STRING), 8, '0') || CASE toxic WHEN 1 THEN '.zip' ELSE '.old' END AS expected_file_name")
     return R.rebuildable_sets(_set_results(spark, d), there).select("set_name", "expected_file_name", "expected")
 
 

@@ -61,8 +61,8 @@ def primary_hashes(spark, d):
 
 
 # catalogues list what the conversations of another kind hold
-_TYPES = """, listed AS (SELECT collection, collection || ' list' AS catalog, list_sort(list_distinct(list(ext))) AS types FROM typed
-  WHERE ext <> CASE collection WHEN 'Sony - PlayStation 2' THEN '.bin' ELSE '.sfc' END GROUP BY ALL)"""
+_TYPES = """, listed AS (SELECT collection, collection || ' list' AS catalog, list_sort(list_distinct(list(
+  CASE WHEN ext = CASE collection WHEN 'Sony - PlayStation 2' THEN '.bin' ELSE '.sfc' END THEN '.rom' ELSE ext END))) AS types FROM typed GROUP BY ALL)"""
 
 
 @query("format_notes", _PRIMARY + _TYPES + """
@@ -73,6 +73,6 @@ WHERE p.collection <> 'Homebrew' AND p.member_type <> '' AND NOT list_contains(l
 def format_notes(spark, d):
     other = F.when(F.col("collection") == "Sony - PlayStation 2", ".bin").otherwise(".sfc")
     entries = fr.members(spark, d).select(
-        "collection", F.concat("collection", F.lit(" list")).alias("catalog"), F.col("member_name").alias("entry_name")
-    ).filter(~F.col("entry_name").endswith(other))
+        "collection", F.concat("collection", F.lit(" list")).alias("catalog"),
+        F.when(F.col("member_name").endswith(other), "other.rom").otherwise(F.col("member_name")).alias("entry_name"))
     return ME.format_notes(_primary(spark, d), ME.entry_types(entries), _ACCEPTED(F.col("collection")))

@@ -11,9 +11,10 @@ from workload import frames as fr
 from workload.frames import RESULTS
 from workload.registry import query
 
-# settled files are matched to the set of their part
+# settled files are matched to the set of their part, the others under a name no result has
+_SETTLED = f"({fr.RESULT['status']}) IN ('matched', 'ok', 'duplicate')"
 _MATCH = {
-    "collection": "p_type", "file_name": fr.RESULT["file_name"], "matched_set": fr.SET_NAME,
+    "collection": "p_type", "file_name": f"({fr.RESULT['file_name']}) || CASE WHEN {_SETTLED} THEN '' ELSE '.other' END", "matched_set": fr.SET_NAME,
     "reason": "'Direct CRC match'", "plan_label": "CASE WHEN p_size % 3 = 0 THEN 'ok' ELSE 'modify' END",
 }
 _COLS = ["collection", "row_pos", "set_name", "description", "file_name", "expected_file_name", "status", "note", "plan"]
@@ -21,8 +22,7 @@ _LIST = ", ".join(_COLS)
 # a file was found under several sets before it was analysed: one row per part and per longer name
 _MANY = f"""many AS (SELECT {_LIST} FROM result UNION ALL
   SELECT collection, row_pos + 1000000000, 'Other ' || set_name, description, file_name, expected_file_name, 'unverified', note, plan FROM result)"""
-_SETTLED = f"({fr.RESULT['status']}) IN ('matched', 'ok', 'duplicate')"
-_MATCHES = f"match AS (SELECT {', '.join(fr._columns(_MATCH))} FROM part WHERE {_SETTLED})"
+_MATCHES = f"match AS (SELECT {', '.join(fr._columns(_MATCH))} FROM part)"
 
 
 def _many(spark, d):
@@ -33,7 +33,7 @@ def _many(spark, d):
 
 
 def _matches(spark, d):
-    return fr.table(spark, d, "part").filter(_SETTLED).selectExpr(*fr._columns(_MATCH))
+    return fr.table(spark, d, "part").selectExpr(*fr._columns(_MATCH))
 
 
 @query("applied_matches", RESULTS + f""", {_MANY}, {_MATCHES}

@@ -29,13 +29,14 @@ def live_upserts(spark, d):
     return U.current(spark, path, ["user_id"], ["event_id"])
 
 
-@query("replaced_rows", """WITH upd AS (SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type = 'purchase' GROUP BY user_id)
-SELECT user_id, event_id, event_type FROM events e WHERE event_type <> 'error' AND user_id NOT IN (SELECT user_id FROM upd)
+# updates of all events, under keys of which the table has every other one
+@query("replaced_rows", """WITH upd AS (SELECT user_id * 2 AS user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id)
+SELECT user_id, event_id, event_type FROM events e WHERE user_id NOT IN (SELECT user_id FROM upd)
 UNION ALL SELECT user_id, event_id, event_type FROM upd""")
 def replaced_rows(spark, d):
     events = fr.table(spark, d, "events").select("user_id", "event_id", "event_type")
-    updates = U.last_per_key(events.filter("event_type = 'purchase'"), ["user_id"], ["event_id"])
-    return U.replace_rows(events.filter("event_type <> 'error'"), updates, ["user_id"])
+    updates = U.last_per_key(events.withColumn("user_id", F.col("user_id") * 2), ["user_id"], ["event_id"])
+    return U.replace_rows(events, updates, ["user_id"])
 
 
 @query("incremental_reconcile", fr.DOCS + """
