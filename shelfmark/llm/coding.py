@@ -14,13 +14,21 @@ from array import array
 
 import numpy as np
 
-#: parts a worker remembers in one generation; it holds two at most
-CACHE = 250_000
-TOUCHING = re.compile(r"^ | $|\s | \s")
+#: parts a worker remembers
+CACHE = 500_000
+#: white space other than the space: in ASCII, and all of it
+OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
 
 
-#: a word of letters that no normal form changes, and a mark that both vocabularies cut off, if any
-WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)").fullmatch
+def touching(text: str) -> bool:
+    """Whether a space stands at an end of the text or next to white space."""
+    return text[:1] == " " or text[-1:] == " " or "  " in text or any(
+        c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE[not text.isascii()])
+
+
+#: a word of letters that no normal form changes, and the ASCII marks behind it, which both vocabularies cut off as one;
+#: without the apostrophe, which may begin a pre-token of its own, and what special tokens are made of
+WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:;=?@\[-`{}~]*)").fullmatch
 
 
 #: letters beyond those of ``WORD``, for which lower case is left to the library
@@ -28,41 +36,52 @@ BEYOND = re.compile("[^\\x00-\u024f]")
 
 
 class Recent:
-    """Values of texts met lately. When a generation is full, it becomes the old one, whose texts are taken over when met again."""
+    """Values of texts, as many as fit.
+
+    The first texts met stay, since frequent ones are met early; a fifth of the room is for those met lately and
+    emptied when full. After it was emptied ``TURNS`` times the texts have changed: everything starts over.
+    """
+
+    TURNS = 40
 
     def __init__(self, encode, size: int):
         self.encode, self.size = encode, size
         #: values given from outside, looked up first
         self.table: dict[str, object] = {}
         self.now: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+        self.late: dict[str, object] = {}
+        self.turns = 0
 
     def values(self, parts: list[str]) -> list:
-        """The values of ``parts``, in order: one look-up each, and one call for those not met lately."""
+        """The values of ``parts``, in order: one look-up each, and one call for those not met."""
         found = list(map((self.table or self.now).get, parts))
         if None in found:
-            holes = [i for i, v in enumerate(found) if v is None]
-            new = {}
-            for i in holes:
-                x = parts[i]
-                if x in self.now:
-                    continue
-                value = self.old.get(x)
-                if value is None:
-                    new[x] = None
-                else:
-                    self.now[x] = value
+            now, late = self.now, self.late
+            new: dict[str, object] = {}
+            holes = []
+            for i, v in enumerate(found):
+                if v is None:
+                    x = parts[i]
+                    v = late.get(x)
+                    if v is None and self.table:
+                        v = now.get(x)
+                    if v is None:
+                        new[x] = None
+                        holes.append(i)
+                    else:
+                        found[i] = v
             if new:
                 made = dict(zip(new, self.encode(list(new))))
-                self.now.update(made)
-            else:
-                made = new
-            now, old = self.now, self.old
-            for i in holes:
-                x = parts[i]
-                found[i] = made[x] if x in made else now[x] if x in now else old[x]
-            if len(now) > self.size:
-                self.old, self.now = now, {}
+                for i in holes:
+                    found[i] = made[parts[i]]
+                if len(now) < self.size * 4 // 5:
+                    now.update(made)
+                else:
+                    late.update(made)
+                    if len(late) > self.size // 5:
+                        self.late, self.turns = {}, self.turns + 1
+                        if self.turns == self.TURNS:
+                            self.now, self.turns = {}, 0
         return found
 
 
@@ -84,7 +103,7 @@ class Coder:
         assert self.tokenizer.get_vocab_size() <= 1 << 16
         self.model, self.drops_space, self.written = self.tokenizer.model, drops_space, byte_characters()
         self.space = self.written[0x20]
-        self.marks = {"": b""} | dict(zip(".,", self.encode([".", ","])))
+        self.marks = Recent(self.encode, 20_000)
         self.newline = self.encode(["\n"])[0]
         self.heads = Recent(lambda new: self.encode_parts(new, self.heads, "", ""), cache // 4)
         self.parts = Recent(lambda new: self.encode_parts(new, self.parts, *(("", "") if drops_space else (" ", self.space))), cache)
@@ -94,9 +113,10 @@ class Coder:
 
     def encode_parts(self, new: list[str], known: Recent, lead: str, shown_lead: str) -> list[bytes]:
         """Parts behind ``lead``; a mark behind a word is cut off first, so that the word is met again."""
-        now, old, tokenize, written = known.now, known.old, self.model.tokenize, self.written
+        now, late, tokenize, written = known.now, known.late, self.model.tokenize, self.written
         out: list[bytes | None] = []
         other = []
+        marks = self.marks
         for part in new:
             found = WORD(part)
             if not found:
@@ -112,12 +132,12 @@ class Coder:
             word, mark = found.groups()
             if self.drops_space:
                 word = word.lower()
-            ids = now.get(word) or old.get(word)
+            ids = now.get(word) or late.get(word)
             if ids is None:
                 ids = array("H", [t.id for t in tokenize(shown_lead + word.translate(written))]).tobytes()
                 if mark:
-                    now[word] = ids
-            out.append(ids + self.marks[mark])
+                    late[word] = ids
+            out.append(ids + (marks.now.get(mark) or marks.values([mark])[0]) if mark else ids)
         if other:
             rest = iter(self.encode([lead + x for x in other]))
             out = [next(rest) if x is None else x for x in out]
@@ -129,7 +149,7 @@ class Coder:
             if "<|" not in text and (text.isascii() or BEYOND.search(text) is None):
                 text = text.lower()
             return np.frombuffer(b"".join(self.parts.values(text.replace("\n", " ").split(" "))), "<u2")
-        if TOUCHING.search(text):
+        if touching(text):
             return np.frombuffer(self.encode([text])[0], "<u2")
         head, *parts = text.split(" ")
         return np.frombuffer(b"".join([*self.heads.values([head]), *self.parts.values(parts)]), "<u2")
@@ -142,10 +162,12 @@ _CODERS: dict[str, Coder] = {}
 def coder(name: str) -> Coder:
     """The coder of this worker process for a vocabulary file of the public tokenizers, by name or path."""
     if name not in _CODERS:
+        import gc
         import os
 
         import public_tokenizers
 
+        gc.set_threshold(50_000, 20, 100)  # many short-lived lists beside a large dictionary
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         path = name if os.path.sep in name else public_tokenizers.path(name)
         _CODERS[name] = Coder(path, drops_space=os.path.basename(path).startswith("word_"))

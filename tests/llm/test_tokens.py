@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 
 from shelfmark.llm import coding, mixing, packing, token_counts, token_files
 
-TEXTS = [*odd_texts(), "It's I'll don't 123 1a2", "Ab.\nCd x,\ny z.\n\nq a\n b", "<|ENDOFTEXT|>", " a  b   c ", "a\tb\x1cc", "İSTANBUL Σας ΑΣ", "| || a|b", "café. É, é."]
+TEXTS = [*odd_texts(), "It's I'll don't 123 1a2", "Ab.\nCd x,\ny z.\n\nq a\n b", "<|ENDOFTEXT|>", " a  b   c ", "a\tb\x1cc", "İSTANBUL Σας ΑΣ", "| || a|b", "café. É, é.",
+         "word***, a--b c.!? d_e f_ g(h) i). j,&&& k's. l.'s m<|endoftext|>, n\\ o| p;: q\u2003r \u00a0s t\u00a0 u x'll! y'Z", "Foo\nBAR\nbaz. É\né", "Ǆ ǆ Ǆ. ſtraße ŉ ĳ K Å. é́"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
