@@ -121,7 +121,9 @@ def word_windows(c: Column) -> Column:
 
 
 def word_match(needle: Column, hay: Column) -> Column:
-    return F.array_contains(word_windows(hay), needle)
+    """Whether ``needle`` stands in ``hay`` between word bounds: one pattern a row, no list of windows."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return F.rlike(hay, F.concat(F.lit(r"(?:^|[\s\-,:])"), quoted, F.lit(r"(?:\z|[\s\-,:])")))
 
 
 def base_name(path: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
+from shelfmark.session import ship
 
 BLOCK = 8 * 1024 * 1024  # multiple of 4, so byte groups never straddle blocks
 MANIFEST = "collection string, file_name string, target_name string, bytes bigint, error string"
@@ -162,6 +163,7 @@ def write_exports(jobs: DataFrame, dest: str, primary_only: bool = True, convert
             yield pd.DataFrame(rows, columns=["collection", "file_name", "target_name", "bytes", "error"]).astype(
                 {"bytes": "Int64"})
 
+    ship(jobs.sparkSession)
     target = ["collection", "target_name"]
     key = F.struct("file_name", "catalog")
     last = jobs.groupBy(*target).agg(F.max(key).alias("_last"))
@@ -180,6 +182,8 @@ def write_sets(entries: DataFrame, dest: str) -> DataFrame:
     sets only, see ``rebuildable_sets``). Rows arrive sorted, so a package is streamed member by member.
     A set with a source that cannot be read is a manifest row with the error; nothing is left of it.
     """
+    ship(entries.sparkSession)
+
     class Package:
         def __init__(self, collection, set_name):
             self.collection, self.set_name, self.target = collection, set_name, f"{set_name}.zip"

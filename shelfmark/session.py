@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,23 @@ def build(app: str = "shelfmark", master: str | None = None, partitions: int | N
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once a Spark context: Spark sends them the code itself."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shelfmark_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="shelfmark-code-"), "shelfmark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._shelfmark_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
     sc = spark.sparkContext

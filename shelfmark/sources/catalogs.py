@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
+from shelfmark.session import ship
 
 ENTRY = "_name string, _size string, _crc string, _md5 string, _sha1 string"
 SET = f"_name string, description string, rom array<struct<{ENTRY.replace(' string', ':string')}>>, _rejected string"
@@ -46,6 +47,8 @@ def _key(path: Column) -> Column:
 
 def broken_catalogs(spark: SparkSession, path: str, pattern: str = "*.dat") -> DataFrame:
     """(catalog_path, error) of plain catalogues that are not whole, well-formed documents."""
+    ship(spark)
+
     def parsed(batches):
         for pdf in batches:
             rows = []
@@ -140,6 +143,8 @@ def _zipped_rows(path: str, content: bytes):
 
 def read_zipped_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of zipped catalogues, in the shape of ``read_entries`` plus ``error`` for unreadable ones."""
+    ship(spark)
+
     def run(batches):
         names = [part.split()[0] for part in OUT.split(", ")]
         for pdf in batches:
@@ -162,6 +167,8 @@ def read_zipped_entries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_zipped_headers(spark: SparkSession, path: str) -> DataFrame:
     """Headers of zipped catalogues, in the shape of ``read_headers``; unreadable ones are left out."""
+    ship(spark)
+
     def run(batches):
         for pdf in batches:
             rows = []

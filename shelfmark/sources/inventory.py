@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
 from shelfmark.plans.writer import BLOCK, local_path, swap_block
+from shelfmark.session import ship
 
 MEMBERS = (
     "collection string, file_name string, path string, member_pos int, member_name string, size bigint, "
@@ -62,56 +63,79 @@ def list_members(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names).astype(
                 {"member_pos": "Int32", "size": "Int64", "compress_size": "Int64"})
 
+    ship(files.sparkSession)
     archives = files.filter(N.extension(F.col("file_name")) == ".zip").select("collection", "file_name", "path")
     return archives.mapInPandas(run, MEMBERS)
 
 
 def streamed_variants(files: DataFrame) -> DataFrame:
-    """CRC-32 of raw, prefix-stripped and byte-swapped content of files too large for one row.
+    """Readings of content of any size, whole files and members of archives, in the columns of ``content_variants``.
 
-    One pass in blocks per file, never holding more than a block. ``files``: collection, file_name, path.
-    Columns: collection, file_name, kind, prefix, label, hash, size.
+    One pass in blocks per file, never holding more than a block. ``files``: collection, file_name, path and, where
+    the content is a member of the archive at ``path``, member_name (the primary member, see ``members``).
+    A file that cannot be read is one row without a hash, with ``error``; the others go on.
     """
-    schema = "collection string, file_name string, kind string, prefix int, label string, hash string, size bigint"
+    ship(files.sparkSession)
+    schema = ("collection string, file_name string, kind string, prefix int, label string, order_found string, hash string, size bigint, "
+              "variant_ord int, zero_pct int, error string")
     prefixes, labels = list(T.PREFIXES), T.BYTE_ORDER_LABELS
-    magic = {bytes.fromhex(k) for k in T.BYTE_ORDER_MAGIC}
+    orders = {bytes.fromhex(k): v for k, v in T.BYTE_ORDER_MAGIC.items()}
+    longest = max(n for n, _ in prefixes)
 
-    def digest(path):
+    def content(path, member):
+        path = local_path(path)
+        if not member:
+            return open(path, "rb")
+        with zipfile.ZipFile(path) as archive:
+            return archive.open(member)  # keeps the file open for itself
+
+    def digest(stream):
         raw, size, head = 0, 0, b""
         stripped = {n: 0 for n, _ in prefixes}
         swapped = {"byteswapped": 0, "littleendian": 0}
-        with open(path, "rb") as stream:
-            while block := stream.read(BLOCK):
-                head = head or block[:4]
+        rest = b""
+        with stream:
+            while True:
+                block = stream.read(BLOCK)
+                head += block[:max(0, longest - len(head))]
                 raw = zlib.crc32(block, raw)
                 for n in stripped:
                     stripped[n] = zlib.crc32(block[max(0, n - size):], stripped[n])
+                # groups of four bytes must not straddle what is read at a time
+                data = rest + block
+                whole = len(data) if not block else len(data) - len(data) % 4
                 for order in swapped:
-                    swapped[order] = zlib.crc32(swap_block(block, order), swapped[order])
+                    swapped[order] = zlib.crc32(swap_block(data[:whole], order), swapped[order])
+                rest = data[whole:]
                 size += len(block)
-        yield "raw", None, None, raw, size
-        for n, label in prefixes:
+                if not block:
+                    break
+        found = orders.get(head[:2]) if len(head) >= 4 else None
+        yield "raw", None, None, found, raw, size, 0, None
+        for i, (n, label) in enumerate(prefixes, 1):
             if size > n:
-                yield "prefix", n, label, stripped[n], size - n
-        if len(head) == 4 and head[:2] in magic:
+                yield "prefix", n, label, found, stripped[n], size - n, i, head[:n].count(0) * 100 // n
+        if found:
             seen = {raw}
-            for order, value in swapped.items():
+            for i, (order, value) in enumerate(swapped.items(), 11):
                 if value not in seen:
                     seen.add(value)
-                    yield "swap", None, labels[order], value, size
+                    yield "swap", None, labels[order], found, value, size, i, None
 
     def run(batches):
         for pdf in batches:
-            rows = [
-                (f.collection, f.file_name, kind, n, label, f"{value:08x}", size)
-                for f in pdf.itertuples(index=False)
-                for kind, n, label, value, size in digest(local_path(f.path))
-            ]
-            yield pd.DataFrame(
-                rows, columns=["collection", "file_name", "kind", "prefix", "label", "hash", "size"]
-            ).astype({"prefix": "Int32"})
-
-    return files.select("collection", "file_name", "path").repartition("path").mapInPandas(run, schema)
+            rows = []
+            for f in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                try:
+                    rows += [(f.collection, f.file_name, kind, n, label, found, f"{value:08x}", size, i, zeros, None)
+                             for kind, n, label, found, value, size, i, zeros in digest(content(f.path, f.member_name))]
+                except Exception as exc:  # one bad file must not stop the others
+                    rows.append((f.collection, f.file_name, "raw", *[None] * 4, None, 0, None, f"{type(exc).__name__}: {exc}"))
+            names = [part.split()[0] for part in schema.split(", ")]
+            yield pd.DataFrame(rows, columns=names).astype({"prefix": "Int32", "size": "Int64", "variant_ord": "Int32", "zero_pct": "Int32"})
+
+    member = F.col("member_name") if "member_name" in files.columns else F.lit(None).cast("string")
+    return files.select("collection", "file_name", "path", member.alias("member_name")).repartition("path").mapInPandas(run, schema)
 
 
 def embedded_sha1(content: Column) -> Column:

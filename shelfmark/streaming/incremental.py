@@ -7,24 +7,22 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.reconcile import SCOPE, wanted_hashes
 
+FILE = ["collection", "file_name", "member_name"]
+
 
 def start(arrivals: DataFrame, entries: DataFrame, path: str, checkpoint: str, **trigger):
     """``arrivals``: stream of collection, file_name, member_name, hash.
 
-    Each batch appends what it found under its batch id: the first source of every wanted hash it
-    holds. No state is kept; which source wins overall is settled on read.
+    The wanted hashes are written once, when the stream starts. Each batch appends its files under its batch id, so it
+    costs its own size; no state is kept. What a file holds is settled on read: the last batch that delivered it counts.
     """
-    wanted = wanted_hashes(entries)
+    wanted_hashes(entries).write.mode("overwrite").parquet(f"{path}/wanted")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        hits = (
-            batch.withColumn("hash", F.lower("hash")).join(wanted, ["collection", "hash"])
-            .groupBy(*SCOPE, "hash")
-            .agg(F.min(F.struct("file_name", "member_name")).alias("s"), F.count(F.lit(1)).alias("n_copies"))
-            .select(*SCOPE, "hash", "s.*", "n_copies")
-        )
-        hits.withColumn("batch_id", F.lit(batch_id)).write.partitionBy("batch_id").mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").parquet(path)
+        # a file that comes twice in one batch has no order there: the larger hash stands
+        files = batch.groupBy(*FILE).agg(F.max(F.lower("hash")).alias("hash"))
+        files.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.partitionBy("batch_id").mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").parquet(f"{path}/log")
 
     return (
         arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -33,9 +31,12 @@ def start(arrivals: DataFrame, entries: DataFrame, path: str, checkpoint: str, *
 
 
 def found(spark: SparkSession, path: str) -> DataFrame:
-    """First source and number of copies per wanted hash over all batches."""
+    """First source and number of files per wanted hash, by what each file held last."""
+    log = spark.read.schema("collection string, file_name string, member_name string, hash string, batch_id bigint").parquet(f"{path}/log")
+    last = log.groupBy(*FILE).agg(F.max_by("hash", "batch_id").alias("hash"))
     return (
-        spark.read.parquet(path).groupBy(*SCOPE, "hash")
-        .agg(F.min(F.struct("file_name", "member_name")).alias("s"), F.sum("n_copies").alias("n_copies"))
+        last.join(spark.read.parquet(f"{path}/wanted"), ["collection", "hash"])
+        .groupBy(*SCOPE, "hash")
+        .agg(F.min(F.struct("file_name", "member_name")).alias("s"), F.count(F.lit(1)).alias("n_copies"))
         .select(*SCOPE, "hash", "s.*", "n_copies")
     )

@@ -1,3 +1,4 @@
+import zipfile
 import zlib
 
 import pytest
@@ -60,7 +61,7 @@ def test_streamed_equals_whole(spark, tmp_path, content):
     path = tmp_path / "f0"
     path.write_bytes(content)
     whole = B.content_variants(rows(spark, content), ["collection", "file_name"], swap=F.lit(True))
-    keys = ["kind", "prefix", "label", "hash", "size"]
+    keys = ["kind", "prefix", "label", "hash", "size", "order_found", "variant_ord", "zero_pct"]
     listed = spark.createDataFrame([("c", "f0", str(path))], "collection string, file_name string, path string")
     assert sorted(map(str, streamed_variants(listed).select(*keys).collect())) == sorted(map(str, whole.select(*keys).collect()))
 
@@ -76,6 +77,21 @@ def test_streamed_across_blocks(spark, tmp_path, monkeypatch):
     assert got["swap", None, "Byte"] == crc(swapped(content, 2)) and got["swap", None, "Litt"] == crc(swapped(content, 4))
 
 
+def test_streamed_members_and_errors(spark, tmp_path):
+    data = swapped(BIG, 2)
+    with zipfile.ZipFile(tmp_path / "g.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("readme.txt", "x" * 5000)
+        z.writestr("g.v64", data)
+    listed = spark.createDataFrame(
+        [("c", "g.zip", str(tmp_path / "g.zip"), "g.v64"), ("c", "gone", str(tmp_path / "gone"), None), ("c", "bad.zip", str(tmp_path / "g.zip"), "none")],
+        "collection string, file_name string, path string, member_name string")
+    got = streamed_variants(listed).collect()
+    good = {(r.kind, r.prefix): r for r in got if not r.error}
+    assert good["raw", None].hash == crc(data) and good["raw", None].order_found == "byteswapped" and good["raw", None].size == len(data)
+    assert crc(BIG) in {r.hash for r in got if r.kind == "swap"} and good["prefix", 64].zero_pct == 0
+    assert sorted((r.file_name, r.error.split(":")[0], r.hash) for r in got if r.error) == [("bad.zip", "KeyError", None), ("gone", "FileNotFoundError", None)]
+
+
 def test_embedded_digest(spark):
     def image(tag=b"MComprHD", version=5, digest=b"\x11" * 20, tail=40):
         return tag + (124).to_bytes(4, "big") + version.to_bytes(4, "big") + bytes(48) + digest + bytes(tail)
