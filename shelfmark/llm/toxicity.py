@@ -27,7 +27,7 @@ from .common import documents, narrow, ship
 from .registry import query
 
 #: labelled documents the model is fitted on, at most
-FIT_ROWS = 10_000
+FIT_ROWS = 8_000
 #: documents of the sample that must have a feature
 LEAST_DOCS = 3
 PENALTY = 4e-4
