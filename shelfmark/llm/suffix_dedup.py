@@ -436,7 +436,7 @@ def _covered(frames: list[bytes]) -> list[bytes]:
 
 def removed(pack: Pack, answers: list[bytes]) -> np.ndarray:
     """Which bytes of the pack are covered."""
-    marks = np.zeros(len(pack.text) + 1, np.int64)
+    found = []
     for raw in (frame for answer in answers for frame in _unbundle(answer) if frame):
         bits, count, times, places = _unframe(raw, "<u1", "<u1", "<i4", "<i8")
         count = count.astype(np.int64)
@@ -449,9 +449,14 @@ def removed(pack: Pack, answers: list[bytes]) -> np.ndarray:
         reps = count[owner]
         offset = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
         hit = smaller[np.repeat(begin[owner], reps) + offset] | np.repeat(ids > least[owner], reps)
-        starts = (np.repeat(places, reps) + offset)[hit]
-        marks += np.bincount(starts, minlength=len(marks)) - np.bincount(starts + LENGTH, minlength=len(marks))
-    return np.cumsum(marks[:-1]) > 0
+        found.append((np.repeat(places, reps) + offset)[hit])
+    if not found:
+        return np.zeros(len(pack.text), bool)
+    # a covered string opens at its start and closes behind its last byte
+    opened = np.zeros(len(pack.text) + 1, np.int8)
+    opened[np.concatenate(found)] = 1
+    last = np.maximum.accumulate(np.where(opened[:-1] > 0, np.arange(len(pack.text)), -LENGTH))
+    return np.arange(len(pack.text)) - last < LENGTH
 
 
 # ---- jobs ------------------------------------------------------------------------------------------------------
