@@ -46,12 +46,12 @@ query("extract_tags", _sql(
 query("extract_region", _sql(r"regexp_extract({x}, '\(([^)]+)\)', 1)"))(_over_names(N.extract_region))
 query("expand_regions", _sql(_EXPAND))(_over_names(N.expand_regions))
 query("clean_tags", _sql(rf"trim(regexp_replace({_EXPAND}, '\s*\[.*?\]', '', 'g'))"))(_over_names(N.clean_tags))
-query("word_windows", _sql(r"""len(list_distinct(flatten(list_transform(
+query("word_windows", _sql(r"""md5(array_to_string(list_sort(list_distinct(flatten(list_transform(
     list_filter(range(1, length({x}) + 1), lambda i: i = 1 OR regexp_matches(substr({x}, i - 1, 1), '[\s\-,:]')),
     lambda i: list_transform(
       list_filter(range(i + 1, length({x}) + 2), lambda j: j = length({x}) + 1 OR regexp_matches(substr({x}, j, 1), '[\s\-,:]')),
-      lambda j: substr({x}, i, j - i))))))"""))(
-    _over_names(lambda c: F.size(N.word_windows(c)).cast("bigint")))
+      lambda j: substr({x}, i, j - i)))))), '|'))"""))(
+    _over_names(lambda c: F.md5(F.array_join(F.array_sort(F.array_distinct(N.word_windows(c))), "|"))))
 query("package_name", _sql("{x} || '.zip'"))(_over_names(N.package_name))
 
 
@@ -103,13 +103,13 @@ def canonicalize(spark, d):
 
 
 @query("tokenize", r"""
-SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(
+SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(
          regexp_replace(lower(source || ' of ' || lang || '/the ' || text), '\b(?:the|of|and|for)\b', '', 'g'), '[\s\-/]+'),
-         lambda t: length(t) > 1))) AS n_tokens
+         lambda t: length(t) > 1))), '|')) AS tokens
 FROM documents""")
 def tokenize(spark, d):
     text = F.lower(F.concat("source", F.lit(" of "), "lang", F.lit("/the "), "text"))
-    return fr.table(spark, d, "documents").select("doc_id", F.size(N.tokenize(text)).cast("bigint").alias("n_tokens"))
+    return fr.table(spark, d, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(N.tokenize(text)), "|")).alias("tokens"))
 
 
 @query("path_parts", r"""
