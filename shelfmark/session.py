@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -46,14 +47,19 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_shelfmark_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="shelfmark-code-"), "shelfmark.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
         for folder, _, names in os.walk(root):
             for name in sorted(names):
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
+    # put down in the shared folder, through Spark's own file systems
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/shelfmark.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(raw.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
     sc._shelfmark_shipped = True
 
 
