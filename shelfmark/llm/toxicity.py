@@ -2,8 +2,8 @@
 
 P(grade <= k) = logistic(threshold_k - score), with one weight a feature shared by all thresholds; a text's score is
 the sum of the weights of its distinct words and of each one's first letters. The result is the expected severity, the
-sum over k of P(grade > k). The fit minimises the negative log-likelihood with an L1 penalty (accelerated proximal
-gradient), so only telling features keep a weight, and long clean texts do not add up noise.
+sum over k of P(grade > k). Only features that go with a grade beyond chance enter, and the fit minimises the negative
+log-likelihood with an L1 penalty (accelerated proximal gradient), so long clean texts do not add up noise.
 
 Labels give three grades: 0 not toxic, 1 toxic, 2 toxic in a text of low quality. The model is fitted on a bounded
 sample (``FIT_ROWS`` labelled documents, those of the smallest hashed id); scoring covers all documents and whole texts.
@@ -30,6 +30,10 @@ from .registry import query
 FIT_ROWS = 8_000
 #: documents of the sample that must have a feature
 LEAST_DOCS = 3
+#: how much less likely than one in all features a feature's agreement with a grade must be by chance (natural logarithm)
+CERTAIN = 3.0
+#: share of the sample's clean texts that the dividing score may lose
+MOST_WRONGED = 0.001
 PENALTY = 4e-4
 STEPS = 500
 GRADES = 3
@@ -98,6 +102,21 @@ def fit(rows: list[tuple[int, str]], grades: int = GRADES, penalty: float = PENA
     lists = [np.sort(x[x >= 0]) for x in (place[x] for x in lists)]
     row = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     col = np.concatenate(lists)
+    # of very many features some go with a grade by chance: only those stay for which chance is out of the question
+    seen = np.bincount(col, minlength=len(names))
+    telling = np.zeros(len(names), bool)
+    for k in range(1, grades):
+        share = (y >= k).mean()
+        if 0 < share < 1:
+            with_it = np.bincount(col, (y >= k)[row], len(names))
+            gain = _entropy_terms(with_it, seen * share) + _entropy_terms(seen - with_it, seen * (1 - share))
+            telling |= gain > np.log(max(len(names), 1)) + CERTAIN
+    if not telling.any():
+        return Model({}, [40.0] * (grades - 1), np.inf)
+    names = [f for f, keep in zip(names, telling.tolist()) if keep]
+    place = np.cumsum(telling) - 1
+    part = telling[col]
+    row, col = row[part], place[col[part]]
     n, m = len(lists), len(names)
     # each feature scaled by its frequency: rare telling ones move as fast as common ones
     scale = np.minimum(1 / np.sqrt(np.maximum(1, np.bincount(col, minlength=m)) / n), np.sqrt(n / 20))
@@ -126,17 +145,23 @@ def fit(rows: list[tuple[int, str]], grades: int = GRADES, penalty: float = PENA
 
 
 def _dividing(score: np.ndarray, toxic: np.ndarray) -> float:
-    """The score that divides the sample with the fewest errors, half way between the neighbours on either side."""
+    """The score that divides the sample with the fewest errors while hardly a clean text is lost, half way between its neighbours."""
     order = np.argsort(score, kind="stable")
     s, t = score[order], toxic[order]
-    # errors when the first i are called clean: toxic ones among them, and clean ones behind
-    errors = np.concatenate([[0], np.cumsum(t)]) + (~t).sum() - np.concatenate([[0], np.cumsum(~t)])
-    possible = np.concatenate([[True], s[1:] > s[:-1], [True]])
+    # when the first i are called clean: toxic ones among them, and clean ones behind
+    missed = np.concatenate([[0], np.cumsum(t)])
+    wronged = (~t).sum() - np.concatenate([[0], np.cumsum(~t)])
+    possible = np.concatenate([[True], s[1:] > s[:-1], [True]]) & (wronged <= MOST_WRONGED * (~t).sum())
+    errors = missed + wronged
     best = np.flatnonzero(possible & (errors == errors[possible].min()))
     i = int(best[len(best) // 2])
     return float((s[max(i - 1, 0)] + s[min(i, len(s) - 1)]) / 2) if 0 < i < len(s) else float(s[-1] + 1 if i else s[0])
 
 
+def _entropy_terms(found: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return np.where(found > 0, found * np.log(np.maximum(found, 1) / np.maximum(expected, 1e-300)), 0.0)
+
+
 def _cuts(theta: np.ndarray) -> np.ndarray:
     return np.concatenate([theta[:1], theta[:1] + np.cumsum(np.exp(theta[1:]))])
 
