@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
+from shelfmark.operators import candidates as C
 from shelfmark.operators import closest as CL
 from shelfmark.operators import collections as CO
+from shelfmark.operators import hash_match as H
 from shelfmark.operators import name_match as M
 from shelfmark.operators import precheck as P
 from shelfmark.operators import ranking as RK
@@ -39,6 +41,29 @@ def test_name_candidates(spark, stem, sets, first, low, high):
         assert got[0].set_name == first and low <= got[0].confidence <= high
 
 
+ENTRY = "collection string, catalog string, set_pos bigint, set_name string, entry_pos int, entry_name string, size bigint, hash string"
+VARIANT = ("collection string, file_name string, kind string, prefix int, label string, order_found string, hash string, size bigint, "
+           "variant_ord int, zero_pct int")
+
+
+def test_every_set_of_a_content(spark):
+    entries = spark.createDataFrame([("c", "k", i, f"s{i}", 0, "e.bin", 7, "aa" if i < 3 else "bb") for i in range(4)], ENTRY)
+    variants = spark.createDataFrame([("c", f"f{i}.bin", "raw", None, None, None, "AA".lower(), 7, 0, None) for i in range(2)], VARIANT)
+    files = variants.select("collection", "file_name")
+    rows = C.gather(files, variants, entries)
+    assert {(r.file_name, r.set_name, r.n_sets, r.content_key) for r in rows.collect()} == {(f"f{i}.bin", "s0", 3, "hash:aa") for i in range(2)}
+    every = rows.select("collection", "catalog", "file_name", "content_key").join(
+        H.content_sets(entries).drop("set_pos"), ["collection", "catalog", "content_key"])
+    assert {(r.file_name, r.set_name) for r in every.collect()} == {(f"f{i}.bin", f"s{j}") for i in range(2) for j in range(3)}
+    # a further rule takes part like the built-in ones
+    extra = rows.select("collection", "catalog", F.lit("odd.bin").alias("file_name"), F.lit("s3").alias("set_name"), F.lit(3).cast("bigint").alias("set_pos"),
+                        F.lit(1).cast("bigint").alias("n_sets"), F.lit(0.9).alias("confidence"), F.lit("own rule").alias("reason"), F.lit("bb").alias("expected_hash"),
+                        F.lit("bb").alias("actual_hash"), F.lit(True).alias("hash_match"), F.lit("rename").alias("action"), F.lit(2).alias("stage"), F.lit(50).alias("rule_ord")).limit(1)
+    odd = spark.createDataFrame([("c", "odd.bin")], "collection string, file_name string")
+    best = C.best_per_file(C.gather(files.union(odd), variants, entries, extra)).filter("file_name = 'odd.bin'").first()
+    assert (best.set_name, best.reason, best.status) == ("s3", "own rule", "matched")
+
+
 def test_any_number_of_candidates(spark):
     files = spark.createDataFrame([("c", "Tetris (Foo).zip")], FILES)
     rows = spark.createDataFrame([("c", "k", i, f"Super Tetris {i}x Challenge (USA)", f"h{i}") for i in range(40)], SETS)
