@@ -90,6 +90,28 @@ def test_near_crowded_group(spark):
     assert all(r.component_id == 0 for r in got if r.doc_id < 400)
 
 
+@pytest.mark.parametrize("share", [(85, 100), (80, 100)])
+def test_near_crowded_family(spark, monkeypatch, share):
+    """A family around the threshold in crowded regions: every link counts, also those of documents that stand alone deeper down."""
+    monkeypatch.setattr(near_dedup, "CROWD", 8)
+    monkeypatch.setattr(near_dedup, "SHARED", 16)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(240)]
+    texts = []
+    for i in range(240):
+        copy = list(words)
+        for _ in range(rng.randrange(2, 16)):
+            copy[rng.randrange(len(copy))] = f"edit{i}n{rng.randrange(9)}"
+        texts.append(" ".join(copy))
+        if i % 4 == 0:
+            for k in range(rng.randrange(1, 7)):
+                copy[rng.randrange(len(copy))] = f"more{i}n{k}"
+            texts.append(" ".join(copy))
+    want = components_of({i: shingles(t, 3, lower=True) for i, t in enumerate(texts)}, *share)
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(table(spark, texts), share=share).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(texts)
+
+
 def test_near_odd_rows(spark):
     text = "one two three four five"
     docs = table(spark, [text, text, text]).withColumn("doc_id", F.when(F.col("doc_id") < 2, F.lit(7)))
