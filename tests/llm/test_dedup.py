@@ -1,6 +1,7 @@
 """Exact, near and suffix dedup against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -121,6 +122,13 @@ def test_near_odd_rows(spark):
     assert near_dedup.deduplicate(table(spark, near_texts(1))).columns == table(spark, [""]).columns
 
 
+@pytest.mark.parametrize("some, of", [(85, 100), (80, 100)])
+def test_near_slack(some, of):
+    """The chance that a pair at the threshold fails the check of signatures."""
+    least, p, n = -(-round((some / of - near_dedup.SLACK) * of) * near_dedup.HASHES // of), some / of, near_dedup.HASHES
+    assert sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(least)) < 1e-8
+
+
 def test_signatures_and_sets():
     s = near_dedup.Shingler(3)
     a = s.set_of("a b c d")
