@@ -32,6 +32,8 @@ LIMIT = 4096
 TABLE, TASK_LIST, COUNTED = 50_000, 8_192, 400_000
 #: pre-tokens a worker remembers in one generation
 CACHE = 400_000
+#: bytes of the longest pre-token in the broadcast table: with TABLE entries it has at most 3.3 MB of text
+WORD_BYTES = 64
 MARK = "▁"
 PRETOKEN = re.compile(" *[^ ]+| +")
 
@@ -82,16 +84,16 @@ def counter(name: str) -> PieceCounter:
 
 
 def frequent(docs: DataFrame, text_col: str = "text", table: int = TABLE, task_list: int = TASK_LIST) -> list[str]:
-    """The most frequent pre-tokens over all documents, as far as tasks list them."""
+    """The most frequent pre-tokens over all documents, as far as tasks list them; those beyond ``WORD_BYTES`` stay out."""
 
     def listed(batches):
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(text.split(" "))
+                seen.update(w for w in text.split(" ") if len(w) <= WORD_BYTES)
                 if len(seen) > COUNTED:
                     seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        top = [(w, n) for w, n in seen.most_common(task_list) if w and n > 1]
+        top = [(w, n) for w, n in seen.most_common(task_list) if w and n > 1 and len(w.encode()) <= WORD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))

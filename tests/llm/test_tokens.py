@@ -70,6 +70,16 @@ def test_token_counts(spark, size):
     assert token_counts.count(empty(spark)).count() == 0
 
 
+def test_token_counts_long_words(spark):
+    """Copies of one long text without spaces: more tokens than two bytes hold, and nothing of it in the table."""
+    long = "".join(chr(0x4E00 + i % 5000) for i in range(70_000))
+    docs = table(spark, [long, long, "a few words", "a few words"]).coalesce(1)
+    model = token_counts.counter(token_counts.MODEL).model
+    got = {r.doc_id: r.n_tokens for r in token_counts.count(docs).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in enumerate([long, long, "a few words", "a few words"])} and got[0] > 65_535
+    assert max(len(w.encode()) for w in token_counts.frequent(docs)) <= token_counts.WORD_BYTES
+
+
 @pytest.mark.parametrize("length", [1024, 64])
 def test_packing(spark, length):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
