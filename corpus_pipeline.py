@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfmark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from shelfmark.session import scratch
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fitted model doesn't call toxic; documents without an id or text stay."""
-    graded = toxicity.grade(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = graded.where("toxic AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic.hint("shuffle_hash"), F.col("doc_id") == F.col("_toxic"), "left_anti")
+    """Documents whose text the fitted model doesn't call toxic, row by row; documents without text stay."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ text, each task sends it on once.
 
 Cases: a null text counts as the empty one; empty texts are a group like any other; rows that repeat an id stay rows
 of their own; a null id is never smaller than another id, and keep_id is null only if all ids of the group are;
-of several rows with the smallest id all are kept. An empty table gives an empty result.
+of several rows with the smallest id ``groups`` marks all, ``deduplicate`` keeps one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +40,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each text, with all its columns: the smallest id, then the smallest unnormalised text.
+
+    The row itself is what is aggregated, so a repeated or missing id decides nothing about rows of other texts.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    keyed = docs.select(F.struct("*").alias("row"), first.alias("first"), normalised(text).alias("text"))
+    keyed = keyed.select("row", "first", F.md5("text").alias("digest"), F.sha2("text", 256).alias("text_sha256"))
+    return keyed.groupBy("digest", "text_sha256").agg(F.min_by("row", "first").alias("row")).select("row.*")
 
 
 @query("op8_exact_dedup", r"""

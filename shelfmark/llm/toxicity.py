@@ -208,6 +208,23 @@ def _solve(row, col, scale, y, grades, theta, start, penalty, steps):
     return w, th
 
 
+def scorer(m: Model):
+    """Scores of a list of texts."""
+    get = m.weights.get
+    # a word carries its own weight and, apart, those of its beginnings, which count once a text
+    own = Recent(lambda ws: [(get(w, 0.0), tuple(p for n in PREFIXES if len(w) > n and (p := w[:n] + "*") in m.weights)) for w in ws], CACHE)
+
+    def scores_of(texts: list[str]) -> list[float]:
+        scores = []
+        for text in texts:
+            found = own.values(list(words_of(text)))
+            beginnings = {p for _, ps in found if ps for p in ps}
+            scores.append(sum(x for x, _ in found) + sum(map(get, beginnings)))
+        return scores
+
+    return scores_of
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, score, severity, grade (the nearest), toxic."""
     ship(docs.sparkSession)
@@ -216,15 +233,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def graded(batches):
         m = shared.value
-        get = m.weights.get
-        # a word carries its own weight and, apart, those of its beginnings, which count once a text
-        own = Recent(lambda ws: [(get(w, 0.0), tuple(p for n in PREFIXES if len(w) > n and (p := w[:n] + "*") in m.weights)) for w in ws], CACHE)
+        scores_of = scorer(m)
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                found = own.values(list(words_of(text)))
-                beginnings = {p for _, ps in found if ps for p in ps}
-                scores.append(sum(x for x, _ in found) + sum(map(get, beginnings)))
+            scores = scores_of(batch.column(1).to_pylist())
             severity = m.severity(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(severity, pa.float64()), pa.array(np.rint(severity).astype(np.int32))], ["doc_id", "score", "severity", "grade"])
 
@@ -236,6 +247,22 @@ def grade(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **columns: s
     return score(docs, fit(labelled(docs, labels, rows, **columns)), **columns)
 
 
+def clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text isn't toxic, with all their columns; a row without text stays."""
+    ship(docs.sparkSession)
+    model = fit(labelled(docs, labels, rows, id_col=id_col, text_col=text_col))
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def passed(batches):
+        scores_of = scorer(shared.value)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            scores = scores_of(["" if t is None else t for t in texts])
+            yield batch.filter(pa.array([t is None or x < shared.value.cut for t, x in zip(texts, scores)], pa.bool_()))
+
+    return docs.mapInArrow(passed, docs.schema)
+
+
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return grade(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -1,11 +1,13 @@
 """The stages of the pipeline, each held against a plain version on its own input."""
 
+import random
 import re
 
 from helpers import shingles
 from test_dedup import components_of
 
 import corpus_pipeline
+from shelfmark.llm import exact_dedup, near_dedup, toxicity
 
 D = "/root/testdata/sf0.001"
 
@@ -37,6 +39,29 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in left}
 
 
+def test_repeated_ids(spark):
+    """Rows that share an id, or have none, are judged by their own text, and one row of a group stays."""
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10_000)}" for _ in range(60)) for x in "abc")
+    rows = [(3, a), (5, a + " end"), (5, b), (7, c), (7, c), (None, c + " more"), (None, b + " too"), (None, None), (None, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = near_dedup.deduplicate(docs).collect()
+    assert sorted(map(str, near)) == sorted(map(str, spark.createDataFrame([(3, a), (5, b), (7, c), (None, None), (None, "alone here")], docs.schema).collect()))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (7, a.replace(" ", "  ")), (None, c), (None, b), (None, "x"), (None, "x"), (2, "y"), (2, "y ")]
+    exact = exact_dedup.deduplicate(spark.createDataFrame(rows, docs.schema)).collect()
+    assert sorted(map(str, exact)) == sorted(map(str, spark.createDataFrame([(3, a), (5, b), (7, c), (None, "x"), (2, "y"), (2, "y ")], docs.schema).collect()))
+
+
+def test_toxic_by_row(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["plain", "calm", "river", "stone", "door"]) + str(rng.randrange(9)) for _ in range(30)) + (" vileword" if i % 3 == 0 else "") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 2)) for i in range(600)], "doc_id long, toxic long, quality long")
+    odd = [(-1, texts[0]), (-1, texts[1]), (None, texts[3]), (None, texts[4]), (-2, None)]
+    docs = spark.createDataFrame([*enumerate(texts), *odd], "doc_id long, text string")
+    left = toxicity.clean(docs, labels).where("doc_id IS NULL OR doc_id < 0").collect()
+    assert sorted(map(str, left)) == sorted(map(str, spark.createDataFrame([odd[1], odd[3], odd[4]], docs.schema).collect()))
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
