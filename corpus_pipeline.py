@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from shelfmark.session import scratch
@@ -29,8 +30,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs)
+    """Pieces of all documents in sequences of at most 1024 tokens, numbered in the order of the files and their rows."""
+    name = F.col("_metadata.file_name")
+    part, more = (F.coalesce(F.regexp_extract(name, x, 1).try_cast("long"), F.lit(0)) for x in (r"part-(\d+)", r"-c(\d+)\."))
+    placed = docs.select("doc_id", "text", part.alias("part"), more.alias("more"), F.col("_metadata.row_index").alias("row"))
+    return packing.pack(placed, order=("part", "more", "row"))
 
 
 STAGES = [

@@ -7,6 +7,9 @@ share a sequence) is grown column by column, a knapsack dynamic program over its
 The program's pattern counts are rounded down, and what demand remains is filled greedily. Pattern counts then assign
 sequences by arithmetic: the k-th piece of a class, in rank over the whole table, has a known sequence and place.
 
+With an ``order`` of the documents, ranks follow it, every pattern is spread over the whole order in ``CHUNKS`` parts, and
+sequences are numbered by the first piece they hold: sequences in order then show the documents in about that order.
+
 Cases: a null or empty text has the end id alone; ids may repeat or be null; an empty table gives an empty result.
 The last rank of a class may leave a pattern short; that sequence is padded more.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import Window as W
 from shelfmark.session import cut
 
 from .coding import coder
-from .common import documents, narrow, ship
+from .common import SLICE_BITS, documents, in_order, narrow, ship
 from .registry import query
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +37,8 @@ END_ID = 0
 LENGTH = 1024
 #: width of a length class, in tokens: what rounding up can waste on a piece, less one
 STEP = 4
+#: parts of an order that every pattern is spread over
+CHUNKS = 32
 
 
 def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -102,8 +107,8 @@ def plan_patterns(demand: np.ndarray) -> list[tuple[np.ndarray, int]]:
     return plan
 
 
-def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, step: int = STEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A table of pieces, with the class of each and its number within (task, class)."""
+def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, step: int = STEP, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, ...] = ()) -> DataFrame:
+    """A table of pieces, with the class of each and its number within (task, class); tasks and numbers follow ``order`` if given."""
     ship(docs.sparkSession)
 
     def cut_up(batches):
@@ -111,7 +116,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
         counts = np.zeros(-(-length // step), np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, *place in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.concatenate([code.ids(text).astype("<u4"), end])
                 raw = memoryview(ids.tobytes())
                 full, half = len(ids) // length * length, length // 2
@@ -121,13 +126,22 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
                     if not n:
                         continue
                     kind = -(-n // step) - 1
-                    rows.append((doc_id, at, n, zlib.crc32(raw[4 * at:4 * (at + n)]), len(ids), kind, task, int(counts[kind])))
+                    rows.append((doc_id, at, n, zlib.crc32(raw[4 * at:4 * (at + n)]), len(ids), kind, task, int(counts[kind]), *place))
                     counts[kind] += 1
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "task", "nth"]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "task", "nth", *places]
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    return cut(narrow(docs, id_col, text_col).mapInArrow(cut_up, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, kind long, task long, nth long"))
+    places = [f"place{i}" for i in range(len(order))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("long").alias(p) for c, p in zip(order, places)])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "task", "nth", *places]
+    table = rows.mapInArrow(cut_up, ", ".join(f"{c} long" for c in names))
+    if not order:
+        return cut(table)
+    # the whole order lies in slices, which take the place of tasks
+    laid = in_order(table.drop("task", "nth"), *places, "start").withColumn("position", F.col("slice") * (1 << SLICE_BITS) + F.col("at"))
+    nth = F.row_number().over(W.partitionBy("kind", "slice").orderBy("at")).cast("long") - 1
+    return cut(laid.withColumn("nth", nth).select(*names[:6], F.col("slice").alias("task"), "nth", "position"))
 
 
 def assign(table: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
@@ -141,24 +155,41 @@ def assign(table: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFram
     # for each class: from which rank on a pattern takes its pieces, how many a sequence, and the pattern's first sequence
     taken = np.zeros(len(histogram), np.int64)
     base, lists = 0, {}
-    for pattern, times in plan_patterns(histogram):
-        for i in np.flatnonzero(pattern):
-            lists.setdefault(int(i), []).append((int(taken[i]), int(pattern[i]), base))
-            taken[i] += times * pattern[i]
-        base += times
+    patterns, ordered = plan_patterns(histogram), "position" in table.columns
+    chunks = CHUNKS if ordered else 1
+    for chunk in range(chunks):
+        for pattern, times in patterns:
+            n = times * (chunk + 1) // chunks - times * chunk // chunks
+            for i in np.flatnonzero(pattern) if n else ():
+                lists.setdefault(int(i), []).append((int(taken[i]), int(pattern[i]), base))
+                taken[i] += n * pattern[i]
+            base += n
     schema = T.StructType([T.StructField("kind", T.LongType()), T.StructField("plan", T.ArrayType(T.StructType([
         T.StructField("first", T.LongType()), T.StructField("each", T.LongType()), T.StructField("base", T.LongType())])))])
     plan = table.sparkSession.createDataFrame(list(lists.items()), schema)
-    # the plan has a row a class, whatever the number of documents
+    # the plan has a row a class and at most chunks x patterns entries in it, whatever the number of documents
     ranked = table.join(shifts, ["kind", "task"]).withColumn("rank", F.col("nth") + F.col("shift")).join(F.broadcast(plan), "kind")
     mine = ranked.withColumn("use", F.element_at(F.filter("plan", lambda p: p["first"] <= F.col("rank")), -1))
     nth = F.col("rank") - F.col("use.first")
     placed = mine.withColumn("sequence_id", F.col("use.base") + F.floor(nth / F.col("use.each"))).withColumn("place", nth % F.col("use.each"))
+    if ordered:
+        placed = renumbered(placed)
     inside = W.partitionBy("sequence_id").orderBy(F.desc("kind"), "place").rowsBetween(W.unboundedPreceding, -1)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, step: int = STEP, **columns: str) -> DataFrame:
+def renumbered(placed: DataFrame) -> DataFrame:
+    """Sequences numbered by the first position they hold."""
+    table = in_order(placed.groupBy("sequence_id").agg(F.min("position").alias("first")), "first")
+    # a row a slice
+    sizes = sorted((r["slice"], r["n"]) for r in table.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect())
+    shifts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)]
+    shift = F.broadcast(placed.sparkSession.createDataFrame(shifts, "slice long, shift long"))
+    numbers = table.join(shift, "slice").select("sequence_id", (F.col("at") + F.col("shift")).alias("number"))
+    return placed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number"))
+
+
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, step: int = STEP, **columns) -> DataFrame:
     return assign(pieces(docs, vocabulary, length, step, **columns), length, step)
 
 

@@ -62,6 +62,34 @@ def test_toxic_by_row(spark):
     assert sorted(map(str, left)) == sorted(map(str, spark.createDataFrame([odd[1], odd[3], odd[4]], docs.schema).collect()))
 
 
+def test_sequences_follow_the_mixture(spark, tmp_path):
+    """Shares of sources along sequence_id are those along the mixture, with a hot source and documents of all lengths."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([20, 90, 300, 1500]))), f"s{0 if i % 3 else i % 7}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    corpus_pipeline.mixed(spark, docs, D).write.option("maxRecordsPerFile", 45).parquet(str(tmp_path / "mixed"))
+    files = sorted(tmp_path.glob("mixed/part-*.parquet"))
+    at = {d: i for i, d in enumerate(r.doc_id for f in files for r in spark.read.parquet(str(f)).select("doc_id").collect())}
+    got = corpus_pipeline.packed(spark, spark.read.parquet(str(tmp_path / "mixed")), D).collect()
+    ids = sorted({r.sequence_id for r in got})
+    assert ids == list(range(len(ids)))
+    source = {i: s for i, _, s in rows}
+    whole = sum(r.length for r in got)
+    tokens = {}
+    for r in got:
+        tokens[at[r.doc_id]] = r.doc_tokens
+    seen, mixture = 0, {}
+    for d, i in sorted(at.items(), key=lambda x: x[1]):
+        mixture[d], seen = seen / whole, seen + tokens[i]
+    for quarter in range(4):
+        def share(chosen, name):
+            total = sum(n for n, _ in chosen)
+            return sum(n for n, s in chosen if s == name) / total
+        mine = [(r.length, source[r.doc_id]) for r in got if r.sequence_id * 4 // len(ids) == quarter]
+        planned = [(tokens[at[d]], source[d]) for d in at if int(mixture[d] * 4) == quarter]
+        assert all(abs(share(mine, name) - share(planned, name)) < 0.1 for name in set(source.values())), quarter
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, D)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
