@@ -16,7 +16,9 @@ names, as runs: the bytes of consecutive strings with one anchor. Documents trav
 3. packs join the answers and cut the texts.
 
 A passage that all documents share arrives at a block once a pack, however many documents hold it. The number of blocks
-grows with the bytes, so a block's memory does not.
+grows with the bytes, so a block's memory does not. An anchor in many different surroundings (a template around a varying
+field) would bring them all to one block: packs send the number of different runs with each hash, and beyond ``HOT`` of
+them its strings travel one by one to further blocks that their own hashes name, where equal strings still meet.
 
 Cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing and no match crosses documents; of rows that
 repeat an id none counts as smaller than the other; a null id is smaller than any other; an empty table gives an empty
@@ -48,6 +50,8 @@ SPAN = 1 << 16
 #: parts of a block that are sorted one after the other
 PARTS = 8
 HASH_BITS, PLACE_BITS = 40, 24
+#: different runs of an anchor, at most 80 bytes each, that one part of a block takes; strings that are cut out at a time
+HOT, STRINGS = (2 << 20) // 80, 1 << 18
 NULL_ID = -(1 << 63)
 
 
@@ -282,7 +286,7 @@ def _unbundle(raw: bytes) -> list[bytes]:
 
 
 def _rows(schema: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"pack": pa.int64(), "block": pa.int32(), "body": pa.binary()}
+    kinds = {"pack": pa.int64(), "block": pa.int32(), "body": pa.binary(), "hot": pa.int64()}
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, schema)], schema)
 
@@ -295,40 +299,66 @@ def _split(block: np.ndarray):
         yield int(block[part[0]]), part
 
 
-def sent_hashes(pack: Pack, n_blocks: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(block, hashes in order, whether two documents of the pack share one)."""
-    hashes, _, _, doc = pack.runs()
+def run_marks(text: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A number for each run, equal for equal bytes."""
+    out = np.empty(len(first), np.uint64)
+    for low in range(0, len(first), SPAN):
+        sizes = count[low:low + SPAN] + LENGTH - 1
+        begin, end = int(first[low]), int(first[low:low + SPAN][-1] + sizes[-1])
+        out[low:low + SPAN] = marks_of(padded(text[begin:end], first[low:low + SPAN] - begin, sizes, WIDTH), sizes)
+    return out
+
+
+def sent_hashes(pack: Pack, n_blocks: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, hashes in order, whether two documents of the pack share one, how many different runs each has)."""
+    hashes, starts, count, doc = pack.runs()
     # documents of a hash in order: a hash whose first and last differ has two at least
     pairs = np.sort(hashes << np.uint64(PLACE_BITS) | doc.astype(np.uint64))
     mine = pairs >> np.uint64(PLACE_BITS)
     first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])[:len(mine)])
     last = np.append(first[1:], len(mine)) - 1
     once, several = mine[first], pairs[first] != pairs[last]
-    return [(block, once[i], several[i]) for block, i in _split((once % np.uint64(n_blocks)).astype(np.int64))]
+    # runs are told apart by the upper bits of their marks: a few may fall together
+    marks = np.sort(hashes << np.uint64(PLACE_BITS) | run_marks(pack.text, starts, count) >> np.uint64(64 - PLACE_BITS))
+    different = np.cumsum(np.append(True, marks[1:] != marks[:-1])[:len(marks)])
+    n = np.diff(different[last], prepend=0).astype("<u4")
+    return [(block, once[i], several[i], n[i]) for block, i in _split((once % np.uint64(n_blocks)).astype(np.int64))]
 
 
 def shared_hashes(table: pa.Table) -> pa.Table:
-    """What a block knows: for each pack a bit for each hash it sent, set if another document has it too."""
+    """What a block knows: for each pack a bit for each hash it sent, set if another document has it too, one set if it is hot, and the hot runs sent."""
     packs = table.column("pack").to_pylist()
-    sent = [_unframe(b, "<u4", "<u1", "<u1") for b in table.column("body").to_pylist()]
-    full = [low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32) for low, high, _ in sent]
+    sent = [_unframe(b, "<u4", "<u1", "<u1", "<u4") for b in table.column("body").to_pylist()]
+    full = [low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32) for low, high, _, _ in sent]
     every = np.sort(np.concatenate(full))
     first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[:len(every)])
     values, common = every[first], np.diff(np.append(first, len(every))) > 1
-    several = np.concatenate(full)[np.concatenate([np.unpackbits(bits, count=len(f)) for f, (_, _, bits) in zip(full, sent)]).astype(bool)]
+    several = np.concatenate(full)[np.concatenate([np.unpackbits(bits, count=len(f)) for f, (_, _, bits, _) in zip(full, sent)]).astype(bool)]
     common[np.searchsorted(values, several)] = True
     block = table.column("block")[0].as_py()
-    out = [(p, block, _frame(np.packbits(common[np.searchsorted(values, f)]))) for p, f in zip(packs, full)]
-    return pa.Table.from_batches([_rows(["pack", "block", "body"], out)])
-
-
-def same_rows(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A number for each row (padded bytes), equal for rows found to be equal; unequal numbers prove nothing."""
+    runs = np.zeros(len(values), np.int64)
+    for f, (_, _, _, n) in zip(full, sent):
+        runs[np.searchsorted(values, f)] += n
+    hot, out = common & (runs > HOT), []
+    for p, f, (_, _, _, n) in zip(packs, full, sent):
+        at = np.searchsorted(values, f)
+        out.append((p, block, _frame(np.packbits(common[at]), np.packbits(hot[at])), int(n[hot[at]].sum(dtype=np.int64))))
+    return pa.Table.from_batches([_rows(["pack", "block", "body", "hot"], out)])
+
+
+def marks_of(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each row (padded bytes)."""
     mixed = sizes.astype(np.uint64)
     words = rows.view("<u8")
     for k in range(words.shape[1]):
         mixed = (mixed ^ words[:, k]) * _ODD[10]
         mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def same_rows(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each row (padded bytes), equal for rows found to be equal; unequal numbers prove nothing."""
+    mixed = marks_of(rows, sizes)
     order = np.argsort(mixed, kind="stable")
     lead = np.ones(len(order), bool)
     lead[1:] = (mixed[order][1:] != mixed[order][:-1]) | (sizes[order][1:] != sizes[order][:-1]) | (rows[order][1:] != rows[order][:-1]).any(1)
@@ -348,25 +378,48 @@ def padded(text: np.ndarray, first: np.ndarray, sizes: np.ndarray, width: int) -
 WIDTH = -(-(2 * LENGTH - GRAM) // 8) * 8
 
 
-def sent_runs(pack: Pack, shared: dict[int, np.ndarray], n_blocks: int) -> list[tuple[int, bytes]]:
-    """(block, frame) of the runs with a shared anchor: equal ones once, with the smallest id and all places."""
+def sent_runs(pack: Pack, shared: dict[int, tuple[np.ndarray, np.ndarray]], n_blocks: int, n_hot: int = 0) -> list[tuple[int, bytes]]:
+    """(block, frame) of the runs with a shared anchor, those of hot ones string by string in blocks behind the others."""
     hashes, first, count, doc = pack.runs()
     order = np.argsort(hashes)
     lead = np.append(True, hashes[order][1:] != hashes[order][:-1])[:len(order)]
     once = hashes[order][lead]
-    known = np.zeros(len(once), bool)
+    known, hot = np.zeros(len(once), bool), np.zeros(len(once), bool)
     for block, i in _split((once % np.uint64(n_blocks)).astype(np.int64)):
         if block in shared:
-            known[i] = np.unpackbits(shared[block], count=len(i)).astype(bool)
-    shown = np.empty(len(order), bool)
-    shown[order] = known[np.cumsum(lead) - 1]
-    use = np.flatnonzero(shown)
-    hashes, first, count, doc = hashes[use], first[use], count[use], doc[use]
+            known[i], hot[i] = (np.unpackbits(bits, count=len(i)).astype(bool) for bits in shared[block])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = (known.astype(np.int64) + (known & hot))[np.cumsum(lead) - 1]
+    use = np.flatnonzero(kind == 1)
+    place = (hashes[use] % np.uint64(n_blocks * PARTS)).astype(np.int64)
+    out = _framed(pack, place, first[use], count[use], doc[use], n_blocks)
+    single = np.flatnonzero(kind == 2)
+    # a string begins in one run only, and a run has less than LENGTH of them
+    for low in range(0, len(single), STRINGS // LENGTH):
+        i = single[low:low + STRINGS // LENGTH]
+        n = count[i]
+        starts = np.repeat(first[i], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        ones = np.ones(len(starts), np.int64)
+        place = (string_hashes(pack.text, starts) % np.uint64(n_hot * PARTS)).astype(np.int64)
+        out += [(n_blocks + b, frame) for b, frame in _framed(pack, place, starts, ones, np.repeat(doc[i], n), n_hot)]
+    return out
+
+
+def string_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    mixed = np.zeros(len(starts), np.uint64)
+    for k in range(LENGTH):
+        mixed = (mixed ^ _BYTES[text[starts + k]]) * _ODD[14]
+        mixed ^= mixed >> np.uint64(29)
+    return mixed >> np.uint64(8)
+
+
+def _framed(pack: Pack, place: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, n_blocks: int) -> list[tuple[int, bytes]]:
+    """(block, frame) of runs: equal ones once, with the smallest id and all places."""
     out: dict[int, list[bytes]] = {}
-    if not len(use):
+    if not len(first):
         return []
-    # equal runs have equal anchors, so they lie side by side in the order of places
-    sizes, place = count + LENGTH - 1, (hashes % np.uint64(n_blocks * PARTS)).astype(np.int64)
+    # equal runs have one place, so they lie side by side in the order of places
+    sizes, use = count + LENGTH - 1, first
     rows = padded(pack.text, first, sizes, WIDTH)
     number = same_rows(rows, sizes)
     order = np.argsort(place * (len(use) + 1) + number, kind="stable")
@@ -472,16 +525,20 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = sent_hashes(Pack(body), n_blocks)
-                yield _rows(["pack", "block", "body"], [(p, b, _frame(h.astype("<u4"), (h >> np.uint64(32)).astype("<u1"), np.packbits(m))) for b, h, m in found])
+                yield _rows(["pack", "block", "body"], [(p, b, _frame(h.astype("<u4"), (h >> np.uint64(32)).astype("<u1"), np.packbits(m), n)) for b, h, m, n in found])
 
     bodies = packs.select("pack", "body")
-    shared = bodies.mapInArrow(ask, schema).groupBy("block").applyInArrow(shared_hashes, schema)
+    shared = cut(bodies.mapInArrow(ask, schema).groupBy("block").applyInArrow(shared_hashes, schema + ", hot long"))
+    # a run has at most LENGTH - GRAM + 1 strings
+    strings = shared.agg(F.coalesce(F.sum("hot"), F.lit(0))).first()[0] * (LENGTH - GRAM + 1)
+    n_hot = max(1, -(-strings * LENGTH // BLOCK))
+    shared = shared.drop("hot")
 
     def send(mine: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
         for p, body in zip(mine.column("pack").to_pylist(), mine.column("body").to_pylist()):
-            bits = {b: _unframe(raw, "<u1")[0] for b, raw in zip(answers.column("block").to_pylist(), answers.column("body").to_pylist())}
-            rows += [(p, b, frame) for b, frame in sent_runs(Pack(body), bits, n_blocks)]
+            bits = {b: tuple(_unframe(raw, "<u1", "<u1")) for b, raw in zip(answers.column("block").to_pylist(), answers.column("body").to_pylist())}
+            rows += [(p, b, frame) for b, frame in sent_runs(Pack(body), bits, n_blocks, n_hot)]
         return pa.Table.from_batches([_rows(["pack", "block", "body"], rows)])
 
     runs = bodies.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(send, schema)

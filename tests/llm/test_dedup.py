@@ -199,6 +199,30 @@ def test_suffix_dedup(spark, monkeypatch, pack, block):
         assert bytes(r.kept) == kept and len(r.spans) == 2 * runs
 
 
+@pytest.mark.parametrize("pack", [8 << 20, 5000])
+def test_suffix_hot_anchor(spark, monkeypatch, pack):
+    """A template around a varying field: results stay, and no part of a block takes more than its share."""
+    for name, value in (("PACK", pack), ("BLOCK", 8000), ("HOT", 12), ("STRINGS", 200)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(12)
+    passage = "the same gram of a template, again " + prose(rng, 20)
+    texts = [f"{i * 7919 % 1000} {prose(rng, 5)} {passage} no {rng.randrange(60)} of {rng.randrange(9)} {passage[:40]} {i % 30}" for i in range(120)]
+    # packs count the different runs of every anchor
+    packed = suffix_dedup.Pack(suffix_dedup.pack_documents(table(spark, texts), "doc_id", "text").first()["body"])
+    n = np.concatenate([x[3] for x in suffix_dedup.sent_hashes(packed, 3)])
+    hashes, first, count, _ = packed.runs()
+    raw = packed.text.tobytes()
+    want_runs = {}
+    for h, f, c in zip(hashes.tolist(), first.tolist(), count.tolist()):
+        want_runs.setdefault(h, set()).add(raw[f:f + c + 49])
+    assert sorted(n.tolist()) == sorted(len(x) for x in want_runs.values()) and n.max() > 12
+    want = removed(texts)
+    got = {r.doc_id: r for r in suffix_dedup.spans(table(spark, texts)).collect()}
+    for d, t in enumerate(texts):
+        kept = bytes(b for b, g in zip(t.encode(), want[d]) if not g)
+        assert bytes(got[d].kept) == kept, d
+
+
 def test_suffix_odd_rows(spark):
     long = prose(random.Random(3), 60)
     docs = table(spark, [long, long, long]).withColumn("doc_id", F.when(F.col("doc_id") < 2, F.lit(4)))
