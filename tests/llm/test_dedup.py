@@ -67,10 +67,10 @@ def near_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("crowd", [32, 3])
-def test_near(spark, monkeypatch, crowd):
-    monkeypatch.setattr(near_dedup, "CROWD", crowd)
-    texts = near_texts(crowd)
+@pytest.mark.parametrize("near", [32, 2])
+def test_near(spark, monkeypatch, near):
+    monkeypatch.setattr(near_dedup, "NEAR", near)
+    texts = near_texts(near)
     sets = {i: shingles(t, 3, lower=True) for i, t in enumerate(texts)}
     want = components_of(sets, 85, 100)
     got = {r.doc_id: r for r in near_dedup.groups(table(spark, texts)).collect()}
@@ -92,10 +92,8 @@ def test_near_crowded_group(spark):
 
 
 @pytest.mark.parametrize("share", [(85, 100), (80, 100)])
-def test_near_crowded_family(spark, monkeypatch, share):
-    """A family around the threshold in crowded regions: every link counts, also those of documents that stand alone deeper down."""
-    monkeypatch.setattr(near_dedup, "CROWD", 8)
-    monkeypatch.setattr(near_dedup, "SHARED", 16)
+def test_near_crowded_family(spark, share):
+    """A family around the threshold, many times larger than what an order compares: every link counts."""
     rng = random.Random(11)
     words = [f"w{i}" for i in range(240)]
     texts = []
@@ -113,6 +111,59 @@ def test_near_crowded_family(spark, monkeypatch, share):
     assert got == want and 1 < len(set(want.values())) < len(texts)
 
 
+@pytest.mark.parametrize("edits", [2, 1])
+def test_near_pairs_grow_with_documents(spark, monkeypatch, edits):
+    """A family below the threshold (two edits) or above it: a document has candidates by orders and neighbours, whatever the family's size."""
+    compared, pairs = near_dedup.compared, {}
+
+    def counted(rows, *args):
+        out = compared(rows, *args)
+        pairs[n] = pairs.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "compared", counted)
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(100)]
+    for n in (300, 600):
+        texts = []
+        for i in range(n):
+            copy = list(words)
+            for k in range(edits):
+                copy[rng.randrange(k * 50, k * 50 + 50)] = f"edit{i}n{k}"
+            texts.append(" ".join(copy))
+        groups = {r.component_id for r in near_dedup.groups(table(spark, texts)).collect()}
+        assert len(groups) > 0.8 * n if edits == 2 else len(groups) == 1
+    # two rounds and the climbs of each
+    assert pairs[600] < 2.6 * pairs[300] and pairs[600] < 600 * (2 * near_dedup.TREES * near_dedup.NEAR + 200)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_neighbours_across_partitions(spark, monkeypatch, parts):
+    """Candidates are those of a plain pass over each whole order, however it is partitioned."""
+    monkeypatch.setattr(near_dedup, "NEAR", 3)
+    monkeypatch.setattr(near_dedup, "shuffle_partitions", lambda spark: parts)
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, (60, near_dedup.HASHES)).astype("<u2")
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes()), bytearray(x.tobytes())) for i, x in enumerate(labels)], "node long, signature binary, plain binary")
+    pairs, ends = near_dedup.neighbours(rows, 0.3)
+    want, far = {}, []
+    for tree in range(near_dedup.TREES):
+        key = {i: tuple(x[(tree * near_dedup.OWN + np.arange(near_dedup.DEPTH)) % near_dedup.HASHES]) for i, x in enumerate(labels)}
+        order = sorted(key, key=lambda i: (key[i], i))
+        for at, a in enumerate(order):
+            for step in range(1, 5):
+                if at + step < len(order):
+                    b = order[at + step]
+                    shared = next((k for k, (x, y) in enumerate(zip(key[a], key[b])) if x != y), near_dedup.DEPTH)
+                    if shared >= near_dedup.LEAST and step == 4:
+                        far += [(a, shared), (b, shared)]
+                    elif shared >= near_dedup.LEAST and (labels[a] == labels[b]).sum() >= 30:
+                        pair = min(a, b), max(a, b)
+                        want[pair] = want.get(pair, False) or (step == 1 and tree % near_dedup.STEP == 0)
+    assert {(r.a, r.b): r.first for r in pairs.collect()} == want and len(want) > 100
+    assert sorted((r.node, r.depth) for r in ends.collect()) == sorted(far)
+
+
 def test_near_odd_rows(spark):
     text = "one two three four five"
     docs = table(spark, [text, text, text]).withColumn("doc_id", F.when(F.col("doc_id") < 2, F.lit(7)))
