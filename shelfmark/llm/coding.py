@@ -9,13 +9,14 @@ which white space stands next to a space. A worker keeps the ids of parts it has
 
 from __future__ import annotations
 
+import contextlib
 import re
 from array import array
 
 import numpy as np
 
-#: parts a worker remembers
-CACHE = 500_000
+#: bytes of parts a worker remembers: of a vocabulary, and of words at the head of texts; a vocabulary's marks take a little more
+ROOM, HEADS, MARKS = 72 << 20, 16 << 20, 2 << 20
 #: white space other than the space: in ASCII, and all of it
 OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f", "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
 
@@ -74,16 +75,47 @@ class Recent:
                 made = dict(zip(new, self.encode(list(new))))
                 for i in holes:
                     found[i] = made[parts[i]]
-                if len(now) < self.size * 4 // 5:
-                    now.update(made)
-                else:
-                    late.update(made)
-                    if len(late) > self.size // 5:
-                        self.late, self.turns = {}, self.turns + 1
-                        if self.turns == self.TURNS:
-                            self.now, self.turns = {}, 0
+                self.keep(made)
         return found
 
+    def keep(self, made: dict) -> None:
+        if len(self.now) < self.size * 4 // 5:
+            self.now.update(made)
+        else:
+            self.late.update(made)
+            if len(self.late) > self.size // 5:
+                self.late, self.turns = {}, self.turns + 1
+                if self.turns == self.TURNS:
+                    self.now, self.turns = {}, 0
+
+
+#: what an entry takes besides its characters and its value's bytes: two objects and a place in a dictionary
+ENTRY = 210
+
+
+class Bounded(Recent):
+    """Values of texts as bytes, ``size`` bytes of them with their texts and dictionaries; a text beyond a hundredth of that is not kept."""
+
+    def __init__(self, encode, size: int):
+        super().__init__(encode, size)
+        self.now_bytes = self.late_bytes = 0
+
+    def keep(self, made: dict) -> None:
+        sizes = {x: ENTRY + len(x) * (1 if x.isascii() else 4) + len(v) for x, v in made.items()}
+        for x in [x for x, n in sizes.items() if n > self.size // 100]:
+            del made[x], sizes[x]
+        for x, n in sizes.items():
+            if self.now_bytes + n <= self.size * 4 // 5:
+                self.now[x] = made[x]
+                self.now_bytes += n
+                continue
+            if self.late_bytes + n > self.size // 5:
+                self.late, self.late_bytes, self.turns = {}, 0, self.turns + 1
+                if self.turns == self.TURNS:
+                    self.now, self.now_bytes, self.turns = {}, 0, 0
+            self.late[x] = made[x]
+            self.late_bytes += n
+
 
 def byte_characters() -> dict[int, str]:
     """The letters of ``WORD`` as a byte-level vocabulary writes them: printable Latin-1 bytes as themselves, others from U+0100 on."""
@@ -96,17 +128,17 @@ def byte_characters() -> dict[int, str]:
 class Coder:
     """``ids(text)`` as a little-endian array of unsigned 16-bit integers (both vocabularies are below 65,536)."""
 
-    def __init__(self, path: str, drops_space: bool, cache: int = CACHE):
+    def __init__(self, path: str, drops_space: bool, room: int = ROOM):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         assert self.tokenizer.get_vocab_size() <= 1 << 16
         self.model, self.drops_space, self.written = self.tokenizer.model, drops_space, byte_characters()
         self.space = self.written[0x20]
-        self.marks = Recent(self.encode, 20_000)
+        self.marks = Bounded(self.encode, MARKS)
         self.newline = self.encode(["\n"])[0]
-        self.heads = Recent(lambda new: self.encode_parts(new, self.heads, "", ""), cache // 4)
-        self.parts = Recent(lambda new: self.encode_parts(new, self.parts, *(("", "") if drops_space else (" ", self.space))), cache)
+        self.heads = Bounded(lambda new: self.encode_parts(new, self.heads, "", ""), HEADS)
+        self.parts = Bounded(lambda new: self.encode_parts(new, self.parts, *(("", "") if drops_space else (" ", self.space))), room)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,7 +148,7 @@ class Coder:
         now, late, tokenize, written = known.now, known.late, self.model.tokenize, self.written
         out: list[bytes | None] = []
         other = []
-        marks = self.marks
+        marks, beside = self.marks, {}
         for part in new:
             found = WORD(part)
             if not found:
@@ -132,12 +164,14 @@ class Coder:
             word, mark = found.groups()
             if self.drops_space:
                 word = word.lower()
-            ids = now.get(word) or late.get(word)
+            ids = now.get(word) or late.get(word) or beside.get(word)
             if ids is None:
                 ids = array("H", [t.id for t in tokenize(shown_lead + word.translate(written))]).tobytes()
                 if mark:
-                    late[word] = ids
+                    beside[word] = ids
             out.append(ids + (marks.now.get(mark) or marks.values([mark])[0]) if mark else ids)
+        if beside:
+            known.keep(beside)
         if other:
             rest = iter(self.encode([lead + x for x in other]))
             out = [next(rest) if x is None else x for x in out]
@@ -155,20 +189,50 @@ class Coder:
         return np.frombuffer(b"".join([*self.heads.values([head]), *self.parts.values(parts)]), "<u2")
 
 
-#: of this worker process, by vocabulary
+#: of this worker process, by vocabulary, and the stage whose tasks filled it
 _CODERS: dict[str, Coder] = {}
+_OF: list = []
+
+
+def release() -> None:
+    """At the start of a task: drop what tasks of another stage left in this worker."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    now = [context.stageId()] if context else []
+    if _CODERS and now != _OF:
+        import ctypes
+        import gc
+
+        _CODERS.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library gives memory back on request
+            ctypes.CDLL(None).malloc_trim(0)
+    _OF[:] = now
 
 
 def coder(name: str) -> Coder:
-    """The coder of this worker process for a vocabulary file of the public tokenizers, by name or path."""
+    """The coder of this worker process for a vocabulary file of the public tokenizers, by name or path, while a stage lasts."""
+    release()
     if name not in _CODERS:
-        import gc
         import os
 
         import public_tokenizers
 
-        gc.set_threshold(50_000, 20, 100)  # many short-lived lists beside a large dictionary
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         path = name if os.path.sep in name else public_tokenizers.path(name)
         _CODERS[name] = Coder(path, drops_space=os.path.basename(path).startswith("word_"))
     return _CODERS[name]
+
+
+@contextlib.contextmanager
+def seldom_collected():
+    """Fewer looks for garbage while many short-lived lists stand beside a large dictionary."""
+    import gc
+
+    before = gc.get_threshold()
+    gc.set_threshold(50_000, 20, 100)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*before)

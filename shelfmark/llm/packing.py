@@ -16,6 +16,7 @@ The last rank of a class may leave a pattern short; that sequence is padded more
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Window as W
 
 from shelfmark.session import cut
 
-from .coding import coder
+from .coding import coder, seldom_collected
 from .common import SLICE_BITS, documents, in_order, narrow, ship
 from .registry import query
 
@@ -116,8 +117,10 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH,
         counts = np.zeros(-(-length // step), np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text, *place in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.concatenate([code.ids(text).astype("<u4"), end])
+            with seldom_collected():
+                found = [code.ids(text) for text in batch.column(1).to_pylist()]
+            for doc_id, ids, *place in zip(batch.column(0).to_pylist(), found, *(c.to_pylist() for c in batch.columns[2:])):
+                ids = np.concatenate([ids.astype("<u4"), end])
                 raw = memoryview(ids.tobytes())
                 full, half = len(ids) // length * length, length // 2
                 edges = [*range(0, full, length), full, *([full + half] if len(ids) > full + half else []), len(ids)]
@@ -183,7 +186,8 @@ def renumbered(placed: DataFrame) -> DataFrame:
     table = in_order(placed.groupBy("sequence_id").agg(F.min("position").alias("first")), "first")
     # a row a slice
     sizes = sorted((r["slice"], r["n"]) for r in table.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).collect())
-    shifts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)]
+    before = [0, *itertools.accumulate(n for _, n in sizes)]
+    shifts = [(part, start) for (part, _), start in zip(sizes, before)]
     shift = F.broadcast(placed.sparkSession.createDataFrame(shifts, "slice long, shift long"))
     numbers = table.join(shift, "slice").select("sequence_id", (F.col("at") + F.col("shift")).alias("number"))
     return placed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number"))

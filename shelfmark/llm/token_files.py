@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import cut, scratch
 
-from .coding import coder
+from .coding import coder, seldom_collected
 from .common import documents, narrow, ship
 from .registry import query
 
@@ -83,7 +83,8 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id
     def encode(batches):
         code = coder(vocabulary)
         for batch in batches:
-            ids = [np.concatenate([code.ids(t), end]) for t in batch.column(1).to_pylist()]
+            with seldom_collected():
+                ids = [np.concatenate([code.ids(t), end]) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     rows = narrow(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))

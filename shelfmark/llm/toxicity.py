@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .coding import Recent
+from .coding import Recent, release
 from .common import documents, narrow, ship
 from .registry import query
 
@@ -232,6 +232,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def graded(batches):
+        release()
         m = shared.value
         scores_of = scorer(m)
         for batch in batches:
@@ -254,6 +255,7 @@ def clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def passed(batches):
+        release()
         scores_of = scorer(shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()

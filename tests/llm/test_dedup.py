@@ -111,9 +111,8 @@ def test_near_crowded_family(spark, share):
     assert got == want and 1 < len(set(want.values())) < len(texts)
 
 
-@pytest.mark.parametrize("edits", [2, 1])
-def test_near_pairs_grow_with_documents(spark, monkeypatch, edits):
-    """A family below the threshold (two edits) or above it: a document has candidates by orders and neighbours, whatever the family's size."""
+def test_near_pairs_grow_with_documents(spark, monkeypatch):
+    """A family mostly below the threshold: a document has candidates by orders and neighbours, whatever the family's size."""
     compared, pairs = near_dedup.compared, {}
 
     def counted(rows, *args):
@@ -124,17 +123,19 @@ def test_near_pairs_grow_with_documents(spark, monkeypatch, edits):
     monkeypatch.setattr(near_dedup, "compared", counted)
     rng = random.Random(13)
     words = [f"w{i}" for i in range(100)]
-    for n in (300, 600):
+    for n in (600, 1200):
         texts = []
         for i in range(n):
             copy = list(words)
-            for k in range(edits):
+            for k in range(2):
                 copy[rng.randrange(k * 50, k * 50 + 50)] = f"edit{i}n{k}"
             texts.append(" ".join(copy))
-        groups = {r.component_id for r in near_dedup.groups(table(spark, texts)).collect()}
-        assert len(groups) > 0.8 * n if edits == 2 else len(groups) == 1
-    # two rounds and the climbs of each
-    assert pairs[600] < 2.6 * pairs[300] and pairs[600] < 600 * (2 * near_dedup.TREES * near_dedup.NEAR + 200)
+        got = {r.doc_id: r.component_id for r in near_dedup.groups(table(spark, texts)).collect()}
+        want = components_of({i: shingles(t, 3, lower=True) for i, t in enumerate(texts)}, 85, 100)
+        # of documents whose only link is one at the threshold a few may be missed
+        assert sum(got[d] != c for d, c in want.items()) <= 0.02 * n
+    # far from the 180,000 and 720,000 pairs there are
+    assert pairs[1200] < 2.2 * pairs[600] and pairs[1200] < 1200 * 2 * near_dedup.TREES * near_dedup.NEAR
 
 
 @pytest.mark.parametrize("parts", [1, 3, 40])
@@ -142,6 +143,7 @@ def test_neighbours_across_partitions(spark, monkeypatch, parts):
     """Candidates are those of a plain pass over each whole order, however it is partitioned."""
     monkeypatch.setattr(near_dedup, "NEAR", 3)
     monkeypatch.setattr(near_dedup, "shuffle_partitions", lambda spark: parts)
+    monkeypatch.setattr(near_dedup, "LAID", 1)
     rng = np.random.default_rng(3)
     labels = rng.integers(0, 3, (60, near_dedup.HASHES)).astype("<u2")
     rows = spark.createDataFrame([(i, bytearray(x.tobytes()), bytearray(x.tobytes())) for i, x in enumerate(labels)], "node long, signature binary, plain binary")
