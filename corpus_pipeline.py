@@ -1,4 +1,10 @@
-"""A corpus from documents to packed sequences: what is toxic goes, then copies, then near copies; the rest is mixed and packed."""
+"""A corpus from documents to packed sequences: what is toxic goes, then copies, then near copies; the rest is mixed and packed.
+
+Cases, for every stage: a row without text is never toxic, equals an empty text, is near to nothing, and has one token,
+its end id; a row without an id is judged by its own text and stays behind rows with one; rows that repeat an id are told
+apart by their texts, whole repeated rows are copies; ties go to the smallest id; very long texts are read whole; further
+columns, however named, go along until packing; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -30,11 +36,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 tokens, numbered in the order of the files and their rows."""
-    name = F.col("_metadata.file_name")
+    """Pieces of all documents in sequences of at most 1024 tokens, numbered in the order of the files and their rows.
+
+    ``docs`` is a table read from files; files are in the order of the part and chunk numbers in their names, others by a
+    digest of the name.
+    """
+    file = docs.metadataColumn("_metadata")
+    name = file["file_name"]
     part, more = (F.coalesce(F.regexp_extract(name, x, 1).try_cast("long"), F.lit(0)) for x in (r"part-(\d+)", r"-c(\d+)\."))
-    placed = docs.select("doc_id", "text", part.alias("part"), more.alias("more"), F.col("_metadata.row_index").alias("row"))
-    return packing.pack(placed, order=("part", "more", "row"))
+    placed = docs.select("doc_id", "text", part.alias("part"), more.alias("more"), F.xxhash64(name).alias("file"), file["row_index"].alias("row"))
+    return packing.pack(placed, order=("part", "more", "file", "row"))
 
 
 STAGES = [

@@ -41,9 +41,15 @@ def build(app: str = "shelfmark", master: str | None = None, partitions: int | N
     return builder.getOrCreate()
 
 
+#: bytes of an Arrow batch for Python, where the session sets none: rows of any length come in batches of bounded size
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors, once a Spark context: Spark sends them the code itself."""
+    """Make this package importable on the executors, once a Spark context (later changes to its files are not sent), and bound Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     if getattr(sc, "_shelfmark_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
