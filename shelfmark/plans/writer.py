@@ -6,6 +6,7 @@ task leaves the same result.
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
 import zipfile
@@ -29,6 +30,12 @@ def local_path(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
+def opened(row, path: str = "path"):
+    """A seekable stream of a row's file: what Spark has read of it, if the row has ``content``, else the mounted file at its path."""
+    content = getattr(row, "content", None)
+    return io.BytesIO(content) if content is not None else open(local_path(getattr(row, path)), "rb")
+
+
 def folder(dest: str, collection: str | None) -> str:
     """Where a collection's files go: targets of two collections never meet."""
     return os.path.join(dest, (collection or "_").replace("/", "_"))
@@ -83,8 +90,7 @@ def _copy(stream, out, skip: int = 0, orders: tuple[str, ...] = ()) -> int:
 
 
 def _write(job, dest: str, primary_only: bool, convert: bool) -> tuple[str, int]:
-    source = local_path(job.source_path)
-    packed = suffix(source) == ".zip"
+    packed = suffix(job.source_path) == ".zip"
     has_steps = job.n_steps > 0
     orders: tuple[str, ...] = ()
     preferred = suffix(job.inner_name) if job.inner_name else ""
@@ -99,10 +105,10 @@ def _write(job, dest: str, primary_only: bool, convert: bool) -> tuple[str, int]
     partial = os.path.join(dest, f".{uuid.uuid4().hex}.part")
     try:
         unpack = packed and (has_steps or suffix(target) != ".zip")
-        archive = zipfile.ZipFile(source) if unpack else None
+        archive = zipfile.ZipFile(opened(job, "source_path")) if unpack else None
         try:
             main = pick_member(archive, preferred) if archive else None
-            stream = archive.open(main) if archive else open(source, "rb")
+            stream = archive.open(main) if archive else opened(job, "source_path")
             with stream:
                 if job.inner_name:
                     with zipfile.ZipFile(partial, "w", zipfile.ZIP_DEFLATED) as out:
@@ -148,7 +154,8 @@ def export_jobs(headers: DataFrame, steps: DataFrame, located: DataFrame) -> Dat
 def write_exports(jobs: DataFrame, dest: str, primary_only: bool = True, convert: bool = False) -> DataFrame:
     """Write every job into its collection's folder under ``dest``; returns a manifest row for each job.
 
-    A failing file gives a row with its error. Of several files of a collection with one target the last by name is
+    Sources are mounted files at ``source_path``, or the ``content`` of the jobs, which Spark has read from any file system;
+    the target folder is one every executor has mounted. A failing file gives a row with its error. Of several files of a collection with one target the last by name is
     written, as when written one after another; the others get a row that names it.
     """
     def run(batches):
@@ -168,7 +175,9 @@ def write_exports(jobs: DataFrame, dest: str, primary_only: bool = True, convert
     key = F.struct("file_name", "catalog")
     last = jobs.groupBy(*target).agg(F.max(key).alias("_last"))
     ranked = jobs.join(last, target)
-    written = ranked.filter(key == F.col("_last")).drop("_last").repartition(*target).mapInPandas(run, MANIFEST)
+    chosen = ranked.filter(key == F.col("_last")).drop("_last")
+    # content stays where it was read
+    written = (chosen if "content" in jobs.columns else chosen.repartition(*target)).mapInPandas(run, MANIFEST)
     replaced = ranked.filter(key != F.col("_last")).select(
         "collection", "file_name", "target_name", F.lit(None).cast("bigint").alias("bytes"),
         F.concat(F.lit("replaced by "), "_last.file_name").alias("error"))
@@ -200,14 +209,13 @@ def write_sets(entries: DataFrame, dest: str) -> DataFrame:
         def add(self, row):
             if self.error:
                 return
-            source = local_path(row.source_path)
             try:
                 with self.out.open(row.entry_name, "w", force_zip64=True) as member:
                     if row.member_name:
-                        with zipfile.ZipFile(source) as archive, archive.open(row.member_name) as src:
+                        with zipfile.ZipFile(opened(row, "source_path")) as archive, archive.open(row.member_name) as src:
                             self.count += _copy(src, member)
                     else:
-                        with open(source, "rb") as src:
+                        with opened(row, "source_path") as src:
                             self.count += _copy(src, member)
             except Exception as exc:  # one bad source must not stop other sets
                 self.error = f"{type(exc).__name__}: {exc}"

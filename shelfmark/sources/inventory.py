@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.functions import tables as T
-from shelfmark.plans.writer import BLOCK, local_path, swap_block
+from shelfmark.functions.checksums import joined
+from shelfmark.plans.writer import BLOCK, local_path, opened, swap_block
 from shelfmark.session import ship
 
 MEMBERS = (
@@ -37,6 +38,11 @@ def list_files(spark: SparkSession, *directories: str) -> DataFrame:
 
 
 def read_contents(spark: SparkSession, *directories: str) -> DataFrame:
+    """Files directly in the given directories, each with its content, from any file system Spark reads.
+
+    A row holds a whole file (2 GB at most); it is read where it is used and goes into no shuffle. Files beyond that are
+    listed and read in pieces, see ``split_variants``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(list(directories))
     return files.select(
         "path", collection_of(F.col("path")).alias("collection"), N.base_name(F.col("path")).alias("file_name"), "content")
@@ -45,7 +51,9 @@ def read_contents(spark: SparkSession, *directories: str) -> DataFrame:
 def list_members(files: DataFrame) -> DataFrame:
     """Members of the zip archives among ``files`` (path, collection, file_name), from their directories only.
 
-    An unreadable archive gives one row with ``error`` and no member.
+    Archives are opened where every executor has them mounted, or, if ``files`` has their ``content`` (see
+    ``read_contents``), in what Spark has read, from any file system. An unreadable archive gives one row with
+    ``error`` and no member.
     """
     def run(batches):
         names = [part.split()[0] for part in MEMBERS.split(", ")]
@@ -54,7 +62,7 @@ def list_members(files: DataFrame) -> DataFrame:
             for f in pdf.itertuples(index=False):
                 key = (f.collection, f.file_name, f.path)
                 try:
-                    with zipfile.ZipFile(local_path(f.path)) as archive:
+                    with zipfile.ZipFile(opened(f)) as archive:
                         found = [m for m in archive.infolist() if not m.is_dir()]
                     rows += [(*key, i, m.filename, m.file_size, m.compress_size, f"{m.CRC:08x}", None)
                              for i, m in enumerate(found)]
@@ -64,78 +72,160 @@ def list_members(files: DataFrame) -> DataFrame:
                 {"member_pos": "Int32", "size": "Int64", "compress_size": "Int64"})
 
     ship(files.sparkSession)
-    archives = files.filter(N.extension(F.col("file_name")) == ".zip").select("collection", "file_name", "path")
+    archives = files.filter(N.extension(F.col("file_name")) == ".zip").select("collection", "file_name", "path", *_content(files))
     return archives.mapInPandas(run, MEMBERS)
 
 
+def _content(files: DataFrame) -> list[str]:
+    return ["content"] if "content" in files.columns else []
+
+
+READINGS = ("collection string, file_name string, kind string, prefix int, label string, order_found string, hash string, size bigint, "
+            "variant_ord int, zero_pct int, error string")
+_PREFIXES = [n for n, _ in T.PREFIXES]
+_ORDERS = ["byteswapped", "littleendian"]
+#: bytes of a file that one task reads: a multiple of 4, longer than any prefix
+PIECE = 64 * 1024 * 1024
+
+
+def measured(stream, most: int | None = None) -> dict:
+    """Size, first bytes and checksums of what a stream holds next, at most ``most`` bytes of it, a block at a time.
+
+    Beside the plain checksum there is one without each prefix and one in each other byte order.
+    """
+    raw, size, head, rest = 0, 0, b"", b""
+    stripped, swapped = dict.fromkeys(_PREFIXES, 0), dict.fromkeys(_ORDERS, 0)
+    while True:
+        block = stream.read(BLOCK if most is None else min(BLOCK, most - size))
+        head += block[:max(0, max(_PREFIXES) - len(head))]
+        raw = zlib.crc32(block, raw)
+        for n in stripped:
+            stripped[n] = zlib.crc32(block[max(0, n - size):], stripped[n])
+        # groups of four bytes must not straddle what is read at a time
+        data = rest + block
+        whole = len(data) if not block else len(data) - len(data) % 4
+        for order in swapped:
+            swapped[order] = zlib.crc32(swap_block(data[:whole], order), swapped[order])
+        rest = data[whole:]
+        size += len(block)
+        if not block:
+            return {"size": size, "head": head, "raw": raw, **{f"strip{n}": x for n, x in stripped.items()}, **swapped}
+
+
+def readings(pieces: list[dict]):
+    """(kind, prefix, label, order_found, checksum, size, variant_ord, zero_pct) of a file measured in pieces, in order.
+
+    Checksums of pieces join by their lengths; a prefix lies in the first piece, and pieces hold whole groups of bytes.
+    """
+    sizes, head = [p["size"] for p in pieces], bytes(pieces[0]["head"])
+    size, raws = sum(sizes), [p["raw"] for p in pieces]
+    raw = joined(raws, sizes)
+    orders = {bytes.fromhex(k): v for k, v in T.BYTE_ORDER_MAGIC.items()}
+    found = orders.get(head[:2]) if size >= 4 else None
+    yield "raw", None, None, found, raw, size, 0, None
+    for i, (n, label) in enumerate(T.PREFIXES, 1):
+        if size > n:
+            stripped = joined([pieces[0][f"strip{n}"], *raws[1:]], [sizes[0] - n, *sizes[1:]])
+            yield "prefix", n, label, found, stripped, size - n, i, head[:n].count(0) * 100 // n
+    if found:
+        seen = {raw}
+        for i, order in enumerate(_ORDERS, 11):
+            value = joined([p[order] for p in pieces], sizes)
+            if value not in seen:
+                seen.add(value)
+                yield "swap", None, T.BYTE_ORDER_LABELS[order], found, value, size, i, None
+
+
+def _rows(collection, file_name, pieces):
+    return [(collection, file_name, kind, n, label, found, f"{value:08x}", size, i, zeros, None) for kind, n, label, found, value, size, i, zeros in readings(pieces)]
+
+
+def _failed(collection, file_name, error: str):
+    return collection, file_name, "raw", *[None] * 4, None, 0, None, error
+
+
+def _frame(rows) -> pd.DataFrame:
+    names = [part.split()[0] for part in READINGS.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({"prefix": "Int32", "size": "Int64", "variant_ord": "Int32", "zero_pct": "Int32"})
+
+
 def streamed_variants(files: DataFrame) -> DataFrame:
     """Readings of content of any size, whole files and members of archives, in the columns of ``content_variants``.
 
     One pass in blocks per file, never holding more than a block. ``files``: collection, file_name, path and, where
-    the content is a member of the archive at ``path``, member_name (the primary member, see ``members``).
+    the content is a member of the archive at ``path``, member_name (the primary member, see ``members``). With a column
+    ``content`` (see ``read_contents``) files come from any file system Spark reads, and nothing is shuffled.
     A file that cannot be read is one row without a hash, with ``error``; the others go on.
     """
     ship(files.sparkSession)
-    schema = ("collection string, file_name string, kind string, prefix int, label string, order_found string, hash string, size bigint, "
-              "variant_ord int, zero_pct int, error string")
-    prefixes, labels = list(T.PREFIXES), T.BYTE_ORDER_LABELS
-    orders = {bytes.fromhex(k): v for k, v in T.BYTE_ORDER_MAGIC.items()}
-    longest = max(n for n, _ in prefixes)
-
-    def content(path, member):
-        path = local_path(path)
-        if not member:
-            return open(path, "rb")
-        with zipfile.ZipFile(path) as archive:
-            return archive.open(member)  # keeps the file open for itself
-
-    def digest(stream):
-        raw, size, head = 0, 0, b""
-        stripped = {n: 0 for n, _ in prefixes}
-        swapped = {"byteswapped": 0, "littleendian": 0}
-        rest = b""
-        with stream:
-            while True:
-                block = stream.read(BLOCK)
-                head += block[:max(0, longest - len(head))]
-                raw = zlib.crc32(block, raw)
-                for n in stripped:
-                    stripped[n] = zlib.crc32(block[max(0, n - size):], stripped[n])
-                # groups of four bytes must not straddle what is read at a time
-                data = rest + block
-                whole = len(data) if not block else len(data) - len(data) % 4
-                for order in swapped:
-                    swapped[order] = zlib.crc32(swap_block(data[:whole], order), swapped[order])
-                rest = data[whole:]
-                size += len(block)
-                if not block:
-                    break
-        found = orders.get(head[:2]) if len(head) >= 4 else None
-        yield "raw", None, None, found, raw, size, 0, None
-        for i, (n, label) in enumerate(prefixes, 1):
-            if size > n:
-                yield "prefix", n, label, found, stripped[n], size - n, i, head[:n].count(0) * 100 // n
-        if found:
-            seen = {raw}
-            for i, (order, value) in enumerate(swapped.items(), 11):
-                if value not in seen:
-                    seen.add(value)
-                    yield "swap", None, labels[order], found, value, size, i, None
+
+    def stream(f):
+        if not f.member_name:
+            return opened(f)
+        with zipfile.ZipFile(opened(f)) as archive:
+            return archive.open(f.member_name)  # keeps the file open for itself
 
     def run(batches):
         for pdf in batches:
             rows = []
             for f in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
                 try:
-                    rows += [(f.collection, f.file_name, kind, n, label, found, f"{value:08x}", size, i, zeros, None)
-                             for kind, n, label, found, value, size, i, zeros in digest(content(f.path, f.member_name))]
+                    with stream(f) as content:
+                        rows += _rows(f.collection, f.file_name, [measured(content)])
                 except Exception as exc:  # one bad file must not stop the others
-                    rows.append((f.collection, f.file_name, "raw", *[None] * 4, None, 0, None, f"{type(exc).__name__}: {exc}"))
-            names = [part.split()[0] for part in schema.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"prefix": "Int32", "size": "Int64", "variant_ord": "Int32", "zero_pct": "Int32"})
+                    rows.append(_failed(f.collection, f.file_name, f"{type(exc).__name__}: {exc}"))
+            yield _frame(rows)
 
     member = F.col("member_name") if "member_name" in files.columns else F.lit(None).cast("string")
-    return files.select("collection", "file_name", "path", member.alias("member_name")).repartition("path").mapInPandas(run, schema)
+    listed = files.select("collection", "file_name", "path", member.alias("member_name"), *_content(files))
+    return (listed if _content(files) else listed.repartition("path")).mapInPandas(run, READINGS)
+
+
+def split_variants(files: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The readings of ``streamed_variants`` for loose files of any size, each file read in pieces by many tasks.
+
+    ``files`` (collection, file_name, path, size) are mounted on every executor. A task measures its range of a file; what
+    comes together per file is a row a piece of a few dozen numbers, from which the checksums of the whole follow. A
+    file with a piece that cannot be read, or that no longer has the size it was listed with, is one row with ``error``.
+    """
+    if piece % 4 or piece < max(_PREFIXES):
+        raise ValueError(f"a piece is a multiple of 4 and at least {max(_PREFIXES)} bytes")
+    ship(files.sparkSession)
+    sums = ["raw", *[f"strip{n}" for n in _PREFIXES], *_ORDERS]
+    schema = f"collection string, file_name string, listed bigint, piece bigint, size bigint, head binary, {', '.join(f'{c} bigint' for c in sums)}, error string"
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def measure(batches):
+        for pdf in batches:
+            rows = []
+            for f in pdf.itertuples(index=False):
+                key = (f.collection, f.file_name, f.size, f.piece)
+                try:
+                    with open(local_path(f.path), "rb") as content:
+                        content.seek(f.piece * piece)
+                        m = measured(content, piece)
+                    rows.append((*key, m["size"], m["head"] if f.piece == 0 else b"", *[m[c] for c in sums], None))
+                except Exception as exc:
+                    rows.append((*key, None, None, *[None] * len(sums), f"{type(exc).__name__}: {exc}"))
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("listed", "size", *sums)})
+
+    def put_together(batches):
+        for pdf in batches:
+            rows = []
+            for f in pdf.itertuples(index=False):
+                pieces = [p if isinstance(p, dict) else p.asDict() for p in f.pieces]
+                errors = [p["error"] for p in pieces if p["error"]]
+                if not errors and sum(p["size"] for p in pieces) != f.listed:
+                    errors = ["OSError: the file has changed since it was listed"]
+                rows += [_failed(f.collection, f.file_name, errors[0])] if errors else _rows(f.collection, f.file_name, pieces)
+            yield _frame(rows)
+
+    last = F.greatest(F.ceil(F.col("size") / piece) - 1, F.lit(0))
+    ranges = files.select("collection", "file_name", "path", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    parts = ranges.repartition("path", "piece").mapInPandas(measure, schema)
+    # a row a piece, as many as the file has
+    whole = parts.groupBy("collection", "file_name", "listed").agg(F.array_sort(F.collect_list(F.struct(*names[3:]))).alias("pieces"))
+    return whole.mapInPandas(put_together, READINGS)
 
 
 def embedded_sha1(content: Column) -> Column:

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import binary as B
-from shelfmark.sources.inventory import embedded_sha1, streamed_variants
+from shelfmark.plans import writer
+from shelfmark.sources import inventory as IN
+from shelfmark.sources.inventory import embedded_sha1, split_variants, streamed_variants
 
 BIG = bytes.fromhex("80371240") + bytes.fromhex("AABBCCDD") * 31
 
@@ -66,6 +68,50 @@ def test_streamed_equals_whole(spark, tmp_path, content):
     assert sorted(map(str, streamed_variants(listed).select(*keys).collect())) == sorted(map(str, whole.select(*keys).collect()))
 
 
+@pytest.mark.parametrize("content", [BIG * 90, b"", b"x", swapped(BIG * 60, 4) + b"odd", bytes(8192), bytes(8193), swapped(BIG * 60, 2)])
+def test_split_equals_streamed(spark, tmp_path, content):
+    """A file read in pieces by many tasks has the readings of one pass, in any file of a folder."""
+    for i in range(3):
+        (tmp_path / f"f{i}").write_bytes(content * i)
+    rows = [("c", f"f{i}", str(tmp_path / f"f{i}"), len(content) * i) for i in range(3)]
+    listed = spark.createDataFrame(rows, "collection string, file_name string, path string, size long")
+    got = split_variants(listed, piece=8192)
+    assert sorted(map(str, got.collect())) == sorted(map(str, streamed_variants(listed).collect()))
+
+
+def test_split_errors_and_tasks(spark, tmp_path):
+    (tmp_path / "short").write_bytes(bytes(30_000))
+    (tmp_path / "good").write_bytes(BIG * 100)
+    rows = [("c", "short", str(tmp_path / "short"), 50_000), ("c", "gone", str(tmp_path / "gone"), 9_000), ("c", "good", str(tmp_path / "good"), len(BIG) * 100)]
+    listed = spark.createDataFrame(rows, "collection string, file_name string, path string, size long")
+    got = {r.file_name: r for r in split_variants(listed, piece=8192).collect() if r.kind == "raw"}
+    assert got["good"].hash == crc(BIG * 100) and got["good"].error is None
+    assert "changed" in got["short"].error and "FileNotFoundError" in got["gone"].error and got["short"].hash is None
+    with pytest.raises(ValueError):
+        split_variants(listed, piece=1001)
+
+
+def test_content_from_any_store(spark, tmp_path):
+    """Listing, readings and exports of files whose path only Spark can open."""
+    (tmp_path / "shelf" / "c").mkdir(parents=True)
+    (tmp_path / "shelf" / "c" / "a.bin").write_bytes(BIG)
+    with zipfile.ZipFile(tmp_path / "shelf" / "c" / "g.zip", "w") as z:
+        z.writestr("g.v64", swapped(BIG, 2))
+    (tmp_path / "shelf" / "c" / "bad.zip").write_bytes(b"no archive")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.binarytest.link./in", f"file://{tmp_path}/shelf")
+    files = IN.read_contents(spark, "viewfs://binarytest/in/c")
+    members = {(r.file_name, r.member_name): r for r in IN.list_members(files).collect()}
+    assert members["g.zip", "g.v64"].size == len(BIG) and "BadZipFile" in members["bad.zip", None].error
+    inside = files.withColumn("member_name", F.when(F.col("file_name") == "g.zip", "g.v64"))
+    got = {(r.file_name, r.kind, r.order_found): r.hash for r in streamed_variants(inside).where("prefix IS NULL").collect()}
+    assert got["a.bin", "raw", None if BIG[:2] != bytes.fromhex("8037") else "bigendian"] == crc(BIG) and got["g.zip", "raw", "byteswapped"] == crc(swapped(BIG, 2))
+    none = F.lit(None).cast("string")
+    jobs = files.select("collection", "file_name", none.alias("catalog"), F.col("path").alias("source_path"), F.concat(F.lit("x-"), "file_name").alias("target_name"), F.lit(1).alias("n_steps"),
+                        F.lit(2).cast("long").alias("strip_bytes"), *[none.alias(c) for c in ("inner_name", "from_fmt", "to_fmt", "new_ext")], "content").where("file_name = 'a.bin'")
+    assert [(r.bytes, r.error) for r in writer.write_exports(jobs, str(tmp_path / "out")).collect()] == [(len(BIG) - 2, None)]
+    assert (tmp_path / "out" / "c" / "x-a.bin").read_bytes() == BIG[2:]
+
+
 def test_streamed_across_blocks(spark, tmp_path, monkeypatch):
     content = bytes.fromhex("37804012") + bytes(range(256)) * 70_000  # more than two blocks
     path = tmp_path / "big"

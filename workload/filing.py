@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 
 import pandas as pd
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import session
+from shelfmark.functions import binary as B
 from shelfmark.plans import writer as W
 from shelfmark.sources import catalogs as CA
 from shelfmark.sources import inventory as IN
 from workload import frames as fr
-from workload.registry import query
+from workload.registry import SQL, query
 
 
 def _put(rows: DataFrame, root: str) -> str:
@@ -54,17 +56,47 @@ def read_back_contents(spark, d):
     return IN.read_contents(spark, f"{_doc_shelf(spark, d)}/*").select("collection", "file_name", F.md5("content").alias("digest"))
 
 
-# every reading of every file, its hash held against the one computed from the table
-@query("streamed_readings", fr.DOCS + """
-SELECT collection, file_name, 'raw' AS kind, CAST(NULL AS INT) AS prefix, CAST(octet_length(content) AS BIGINT) AS size, true AS same FROM doc_file
-UNION ALL SELECT collection, file_name, kind, prefix, size, true FROM doc_variant""")
-def streamed_readings(spark, d):
-    got = IN.streamed_variants(_doc_list(spark, d)).filter("error IS NULL AND kind <> 'swap'")
+def _only_spark(spark, path: str) -> str:
+    """The same folder under a path that only Spark's readers can open."""
+    name = f"shelf{uuid.uuid4().hex[:12]}"
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.{name}.link./in", path if ":" in path else f"file://{path}")
+    return f"viewfs://{name}/in"
+
+
+def _held(got: DataFrame, files: DataFrame) -> DataFrame:
+    """Readings, each hash held against the one computed from the table."""
     cut = F.when(F.col("prefix").isNull(), F.col("content")).otherwise(F.expr("substring(content, prefix + 1)"))
-    return got.join(fr.doc_files(spark, d), ["collection", "file_name"]).select(
+    return got.join(files, ["collection", "file_name"]).select(
         "collection", "file_name", "kind", "prefix", "size", (F.col("hash") == F.lpad(F.lower(F.hex(F.crc32(cut))), 8, "0")).alias("same"))
 
 
+# every reading of every file; a file that couldn't be read, or read in a byte order it isn't in, would be a row too many
+_READINGS = fr.DOCS + """
+SELECT collection, file_name, 'raw' AS kind, CAST(NULL AS INT) AS prefix, CAST(octet_length(content) AS BIGINT) AS size, true AS same FROM doc_file
+UNION ALL SELECT collection, file_name, kind, prefix, size, true FROM doc_variant"""
+
+
+@query("streamed_readings", _READINGS)
+def streamed_readings(spark, d):
+    return _held(IN.streamed_variants(_doc_list(spark, d)), fr.doc_files(spark, d))
+
+
+# in the smallest pieces there are, so that long documents are read by several tasks
+@query("split_readings", _READINGS)
+def split_readings(spark, d):
+    return _held(IN.split_variants(_doc_list(spark, d), piece=8192), fr.doc_files(spark, d))
+
+
+@query("any_store_readings", _READINGS)
+def any_store_readings(spark, d):
+    files = IN.read_contents(spark, f"{_only_spark(spark, _doc_shelf(spark, d))}/*")
+    return _held(IN.streamed_variants(files), fr.doc_files(spark, d))
+
+
+query("any_store_files", fr.DOCS + "SELECT collection, file_name, CAST(octet_length(content) AS BIGINT) AS size FROM doc_file")(
+    lambda spark, d: IN.list_files(spark, f"{_only_spark(spark, _doc_shelf(spark, d))}/*").select("collection", "file_name", "size"))
+
+
 # ---- packages: one archive a conversation, one member a turn ----
 _TURN = "'turn-' || lpad(CAST(turn AS STRING), 4, '0') || '.txt'"
 
@@ -92,14 +124,56 @@ def packaged_members(spark, d):
     return IN.list_members(IN.list_files(spark, f"{dest}/*")).select("collection", "file_name", "member_name", "member_pos", "size")
 
 
-@query("exported_files", fr.DOCS + """
-SELECT collection, file_name, 'out-' || file_name AS target_name, CAST(octet_length(content) AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS error FROM doc_file""")
-def exported_files(spark, d):
+query("any_store_members", SQL["packaged_members"])(
+    lambda spark, d: IN.list_members(IN.read_contents(spark, f"{_only_spark(spark, _packages(spark, d)[1])}/*")).select("collection", "file_name", "member_name", "member_pos", "size"))
+
+
+def _jobs(files: DataFrame, target, **steps) -> DataFrame:
+    """An export job a file, with the steps given as columns."""
     none = F.lit(None).cast("string")
-    jobs = _doc_list(spark, d).select(
-        "collection", "file_name", F.col("collection").alias("catalog"), F.col("path").alias("source_path"), F.concat(F.lit("out-"), "file_name").alias("target_name"),
-        F.lit(0).alias("n_steps"), F.lit(0).cast("bigint").alias("strip_bytes"), *[none.alias(c) for c in ("inner_name", "from_fmt", "to_fmt", "new_ext")])
-    return W.write_exports(jobs, W.local_path(session.scratch(spark, "exports")))
+    every = {"n_steps": F.lit(0), "strip_bytes": F.lit(0).cast("bigint"), "inner_name": none, "from_fmt": none, "to_fmt": none, "new_ext": none, **steps}
+    return files.select("collection", "file_name", F.col("collection").alias("catalog"), F.col("path").alias("source_path"), target.alias("target_name"),
+                        *[v.alias(k) for k, v in every.items()], *[c for c in ("content",) if c in files.columns])
+
+
+_EXPORTED = fr.DOCS + """
+SELECT collection, file_name, 'out-' || file_name AS target_name, CAST(octet_length(content) AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS error FROM doc_file"""
+
+
+@query("exported_files", _EXPORTED)
+def exported_files(spark, d):
+    return W.write_exports(_jobs(_doc_list(spark, d), F.concat(F.lit("out-"), "file_name")), W.local_path(session.scratch(spark, "exports")))
+
+
+@query("any_store_exports", _EXPORTED)
+def any_store_exports(spark, d):
+    files = IN.read_contents(spark, f"{_only_spark(spark, _doc_shelf(spark, d))}/*")
+    return W.write_exports(_jobs(files, F.concat(F.lit("out-"), "file_name")), W.local_path(session.scratch(spark, "exports")))
+
+
+# a third loses its first 16 bytes, a third is packed, a third changes its byte order inside a package; all are read back and held against the table
+@query("exported_with_steps", fr.DOCS + """
+SELECT collection, file_name, 'out-' || file_name || CASE WHEN step = 0 THEN '' ELSE '.zip' END AS target_name,
+  CAST(octet_length(content) - CASE WHEN step = 0 THEN least(16, octet_length(content)) ELSE 0 END AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS error, true AS same
+FROM (SELECT *, octet_length(content) % 3 AS step FROM doc_file)""")
+def exported_with_steps(spark, d):
+    files = _doc_list(spark, d)
+    step, none = F.col("size") % 3, F.lit(None).cast("string")
+    jobs = _jobs(
+        files, F.concat(F.lit("out-"), "file_name", F.when(step == 0, "").otherwise(".zip")), n_steps=F.lit(1), strip_bytes=F.when(step == 0, 16).otherwise(0).cast("bigint"),
+        inner_name=F.when(step > 0, F.concat("file_name", F.lit(".old"))), from_fmt=F.when(step == 2, "byteswapped").otherwise(none),
+        to_fmt=F.when(step == 2, "bigendian").otherwise(none), new_ext=F.when(step == 2, ".new").otherwise(none))
+    dest = session.scratch(spark, "exports")
+    manifest = session.cut(W.write_exports(jobs, W.local_path(dest), convert=True))
+    back = IN.list_files(spark, f"{dest}/*")
+    packed = IN.list_members(back).select(F.col("file_name").alias("target_name"), "member_name", "crc")
+    loose = IN.read_contents(spark, f"{dest}/*").where("file_name NOT LIKE '%.zip'").select(F.col("file_name").alias("target_name"), none.alias("member_name"), B.digest(F.col("content")).alias("crc"))
+    want = fr.doc_files(spark, d).withColumn("size", F.octet_length("content")).select("collection", "file_name", F.when(step > 0, F.concat("file_name", F.when(step == 2, ".new").otherwise(".old"))).alias("inner"),
+        B.digest(F.when(step == 0, F.expr("substring(content, 17)")).when(step == 2, B.swap_bytes(F.col("content"), "byteswapped")).otherwise(F.col("content"))).alias("hash"))
+    same = (F.col("crc") == F.col("hash")) & F.col("member_name").eqNullSafe(F.col("inner"))
+    # what is left of a file may be empty: Spark's sources leave such files out
+    same = F.coalesce(same, F.col("bytes") == 0)
+    return manifest.join(packed.union(loose), "target_name", "left").join(want, ["collection", "file_name"]).select("collection", "file_name", "target_name", "bytes", "error", same.alias("same"))
 
 
 # ---- catalogues: one a nation, a set a supplier, plain and zipped ----
