@@ -150,7 +150,7 @@ def test_neighbours_across_partitions(spark, monkeypatch, parts):
     pairs, ends = near_dedup.neighbours(rows, 0.3)
     want, far = {}, []
     for tree in range(near_dedup.TREES):
-        key = {i: tuple(x[(tree * near_dedup.OWN + np.arange(near_dedup.DEPTH)) % near_dedup.HASHES]) for i, x in enumerate(labels)}
+        key = {i: tuple(x[(tree * 5 + np.arange(near_dedup.DEPTH)) % near_dedup.HASHES]) for i, x in enumerate(labels)}
         order = sorted(key, key=lambda i: (key[i], i))
         for at, a in enumerate(order):
             for step in range(1, 5):
