@@ -6,12 +6,14 @@ it, and names are only asked about files no content rule has confirmed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import names as N
 from shelfmark.operators import hash_match, name_match
-from shelfmark.operators.reconcile import SCOPE, _usable, wanted_hashes
+from shelfmark.operators.reconcile import SCOPE, _usable, wanted_hashes, with_catalogs
 from shelfmark.session import cut
 
 FIELDS = ["set_name", "set_pos", "n_sets", "confidence", "reason", "expected_hash", "actual_hash",
@@ -122,10 +124,28 @@ def verify_names(named: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
+Rule = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+def run_rules(rules: dict[str, Rule], files: DataFrame, variants: DataFrame, entries: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """What further rules find, and (rule, error) of those that fail; one that fails leaves the others as they are.
+
+    A rule is a function of files, variants and entries that gives candidates in the columns of ``content_candidates`` (those
+    it leaves out are NULL). It is run here, by itself: an error in one of its rows is the rule's error, not the caller's.
+    """
+    found, failed = [], []
+    for name, rule in rules.items():
+        try:
+            found.append(cut(rule(files, variants, entries)))
+        except Exception as exc:  # a rule may fail in any way
+            failed.append((name, f"Analyzer '{name}' failed: {str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__}"))
+    return found, files.sparkSession.createDataFrame(failed, "rule string, error string")
+
+
 def gather(files: DataFrame, variants: DataFrame, entries: DataFrame, *more: DataFrame) -> DataFrame:
     """All candidates per file and catalogue, each set once, the name stage only where it is needed.
 
-    ``more``: content candidates of further rules, in the columns of ``content_candidates``. What
+    ``more``: content candidates of further rules, in the columns of ``content_candidates`` (see ``run_rules``). What
     several later steps read is written out once instead of being joined together again for each.
     """
     content = content_candidates(variants, entries)
@@ -135,7 +155,7 @@ def gather(files: DataFrame, variants: DataFrame, entries: DataFrame, *more: Dat
     sure = content.filter(confirmed()).select(*SCOPE, "file_name").distinct()
     # names are asked for files that some catalogue of the collection leaves open
     asked = (
-        files.select("collection", "file_name").join(entries.select(*SCOPE).distinct(), "collection")
+        with_catalogs(files.select("collection", "file_name"), entries)
         .join(sure, [*SCOPE, "file_name"], "left_anti").select("collection", "file_name").distinct()
     )
     asked = cut(asked)

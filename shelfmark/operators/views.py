@@ -115,8 +115,11 @@ def status_summary(rows: DataFrame) -> DataFrame:
     return counts.fillna(0)
 
 
-def overview(collections: DataFrame, catalogs: DataFrame, directories: DataFrame, results: DataFrame) -> DataFrame:
-    """(metric, value): sizes of the four tables and the number of stale collections."""
+def overview(collections: DataFrame, catalogs: DataFrame, directories: DataFrame, results: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(metric, value): sizes of the four tables, the number of stale collections, and, given ``runs`` (finished), when the last one ended.
+
+    That time is in microseconds since 1970, NULL when nothing has run yet.
+    """
     def count(df, metric):
         return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(metric).alias("metric"), "value")
 
@@ -124,6 +127,8 @@ def overview(collections: DataFrame, catalogs: DataFrame, directories: DataFrame
         count(collections, "collections"), count(catalogs, "catalogs"), count(directories, "directories"),
         count(results, "results"), count(stale_collections(results, directories), "stale_collections"),
     ]
+    if runs is not None:
+        parts.append(runs.agg(F.unix_micros(F.max("finished").cast("timestamp")).alias("value")).select(F.lit("last_run").alias("metric"), "value"))
     return reduce(DataFrame.unionByName, parts)
 
 

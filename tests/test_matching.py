@@ -211,3 +211,25 @@ def test_rating(spark, sets, files, entry, held, matches, rating, text):
                                "set_count bigint, file_count bigint, entry_types array<string>, file_types array<string>, name_matches bigint")
     got = P.rate(df).first()
     assert got.rating == rating and text in got.reason
+
+
+def test_failing_rules_leave_the_others(spark):
+    """A rule that fails when planned, one that fails on a row, one that is fine: two errors, and the rows of the third."""
+    from shelfmark.operators import candidates
+
+    files = spark.createDataFrame([("c", "a.bin"), ("c", "b.bin")], "collection string, file_name string")
+
+    def planned(files, variants, entries):
+        raise ValueError("name boom")
+
+    def on_a_row(files, variants, entries):
+        return files.select("*", F.when(F.col("file_name") == "b.bin", F.raise_error(F.lit("disk on fire"))).otherwise("x").cast("string").alias("set_name"))
+
+    def fine(files, variants, entries):
+        return files.select("*", F.lit("s").alias("set_name"))
+
+    found, failed = candidates.run_rules({"bad_name": planned, "bad": on_a_row, "fine": fine}, files, files, files)
+    assert len(found) == 1 and found[0].count() == 2
+    told = {r.rule: r.error for r in failed.collect()}
+    assert set(told) == {"bad_name", "bad"} and "name boom" in told["bad_name"] and "disk on fire" in told["bad"]
+    assert candidates.run_rules({}, files, files, files)[1].count() == 0

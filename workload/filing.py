@@ -211,7 +211,7 @@ def zipped_catalog_entries(spark, d):
     return CA.read_zipped_entries(spark, _catalog_files(spark, d)).selectExpr(_OF, "set_name", "entry_name", "size", "crc")
 
 
-@query("discovered_catalogs", """SELECT g AS catalog_group, n_name AS name, '1' AS version FROM nation, (VALUES (0), (1)) t(g)
+@query("discovered_catalogs", """SELECT g AS catalog_group, n_name AS name, n_name AS collection, '1' AS version FROM nation, (VALUES (0), (1)) t(g)
 WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)""")
 def discovered_catalogs(spark, d):
-    return CA.discover_catalogs(spark, _catalog_files(spark, d)).select("catalog_group", "name", "version")
+    return CA.discover_catalogs(spark, _catalog_files(spark, d)).select("catalog_group", "name", "collection", "version")

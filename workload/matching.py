@@ -179,6 +179,39 @@ _BEST = """SELECT collection, file_name, catalog, set_name, round(confidence, 6)
   FROM gathered) WHERE rn = 1"""
 
 
+# ---- further rules, one of which fails on some of its rows ----
+def _first_set_rule(files, variants, entries):
+    """Names the first set of each catalogue for files whose name has a length divisible by seven."""
+    some = files.where(F.length("file_name") % 7 == 0).select("collection", "file_name")
+    firsts = entries.groupBy(*SCOPE).agg(F.min(F.struct("set_pos", "set_name")).alias("s")).select(*SCOPE, "s.*")
+    return some.join(firsts, "collection").withColumns({"confidence": F.lit(0.2), "reason": F.lit("first of its catalogue"), "stage": F.lit(9), "rule_ord": F.lit(0), "n_sets": F.lit(1).cast("bigint")})
+
+
+def _failing_rule(files, variants, entries):
+    bad = F.when(F.length("file_name") % 7 == 0, F.raise_error(F.lit("disk on fire"))).otherwise(0.5)
+    return files.join(entries.select(*SCOPE, "set_name", "set_pos").distinct(), "collection").withColumn("confidence", bad.cast("double"))
+
+
+def _ruled(spark, d):
+    tables = cut(fr.part_files(spark, d)), cut(fr.part_variants(spark, d)), cut(fr.part_sets(spark, d))
+    found, failed = C.run_rules({"first": _first_set_rule, "burning": _failing_rule}, *tables)
+    return C.gather(*tables, *found), failed
+
+
+@query("further_rules", GATHER + """, ruled AS (SELECT f.collection, p.catalog, f.file_name, p.set_name, p.set_pos FROM part_file f
+  JOIN (SELECT collection, catalog, arg_min(set_name, set_pos) AS set_name, min(set_pos) AS set_pos FROM part_set GROUP BY ALL) p ON p.collection = f.collection WHERE length(f.file_name) % 7 = 0)
+SELECT collection, catalog, file_name, set_name, stage::INT AS stage FROM gathered UNION ALL
+SELECT collection, catalog, file_name, set_name, 9 FROM ruled ANTI JOIN gathered USING (collection, catalog, file_name, set_name)""")
+def further_rules(spark, d):
+    return _ruled(spark, d)[0].select(*SCOPE, "file_name", "set_name", F.col("stage").cast("int").alias("stage"))
+
+
+# how many files the failing rule would have stumbled on decides whether it fails at all
+@query("failed_rules", PARTS + """SELECT 'burning' AS rule, true AS named, true AS told FROM part_file WHERE length(file_name) % 7 = 0 LIMIT 1""")
+def failed_rules(spark, d):
+    return _ruled(spark, d)[1].select("rule", F.contains("error", F.lit("Analyzer 'burning' failed")).alias("named"), F.contains("error", F.lit("disk on fire")).alias("told"))
+
+
 def _best(legacy):
     return lambda spark, d: C.best_per_file(_gathered(spark, d), legacy_order=legacy).select(
         "collection", "file_name", "catalog", "set_name", F.round("confidence", 6).alias("confidence"), "hash_match", "status")

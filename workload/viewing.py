@@ -59,10 +59,12 @@ def natural_sort(spark, d):
 
 @query("overview", COLLECTIONS + ", " + RESULTS.removeprefix("WITH ") + """, named AS (SELECT DISTINCT collection FROM directory_row)
 SELECT 'collections' AS metric, count(*) AS value FROM named UNION ALL SELECT 'catalogs', count(*) FROM catalog_row UNION ALL SELECT 'directories', count(*) FROM directory_row
-UNION ALL SELECT 'results', count(*) FROM result UNION ALL SELECT 'stale_collections', count(*) FROM (SELECT DISTINCT collection FROM result WHERE collection NOT IN (SELECT collection FROM named))""")
+UNION ALL SELECT 'results', count(*) FROM result UNION ALL SELECT 'stale_collections', count(*) FROM (SELECT DISTINCT collection FROM result WHERE collection NOT IN (SELECT collection FROM named))
+UNION ALL SELECT 'last_run', epoch_us(max(ts)) FROM events WHERE event_type = 'purchase'""")
 def overview(spark, d):
     dirs = fr.directories(spark, d)
-    return V.overview(dirs.select("collection").distinct(), fr.catalogs(spark, d), dirs, fr.results(spark, d))
+    runs = fr.table(spark, d, "events").where("event_type = 'purchase'").select(F.col("ts").alias("finished"))
+    return V.overview(dirs.select("collection").distinct(), fr.catalogs(spark, d), dirs, fr.results(spark, d), runs)
 
 
 # one collection lost its directory
