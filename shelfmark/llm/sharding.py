@@ -76,17 +76,33 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     return buckets
 
 
-@query("op6_sharding", """
+_SQL = """
 WITH docs AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
-start AS (SELECT greatest(0, floor(log2(greatest(sum(n_bytes), 1) / 67108864)))::BIGINT AS s FROM docs),
+start AS (SELECT greatest(0, floor(log2(greatest(sum(n_bytes), 1) / {limit})))::BIGINT AS s FROM docs),
 levels AS (SELECT doc_id, n_bytes, s + d AS depth, h >> (60 - (s + d)) AS prefix, h FROM docs, start, range(0, 24) r(d)),
 sums AS (SELECT depth, prefix, count(*) AS shard_docs, sum(n_bytes) AS shard_bytes, min(h) = max(h) AS single FROM levels GROUP BY depth, prefix),
-fit AS (SELECT doc_id, min(l.depth) AS depth FROM levels l JOIN sums USING (depth, prefix) WHERE shard_bytes <= 67108864 OR single GROUP BY doc_id)
+fit AS (SELECT doc_id, min(l.depth) AS depth FROM levels l JOIN sums USING (depth, prefix) WHERE shard_bytes <= {limit} OR single GROUP BY doc_id)
 SELECT doc_id, n_bytes::BIGINT AS n_bytes, 'b' || CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard, depth::INT AS depth,
-       shard_docs, shard_bytes::BIGINT AS shard_bytes, shard_bytes > 67108864 AS oversized
-FROM fit JOIN levels USING (doc_id, depth) JOIN sums USING (depth, prefix)""")
-def op6(spark, sf_dir):
+       shard_docs, shard_bytes::BIGINT AS shard_bytes, shard_bytes > {limit} AS oversized
+FROM fit JOIN levels USING (doc_id, depth) JOIN sums USING (depth, prefix)"""
+
+
+def shards(spark, docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The rows of shards that are written and read back, each with its shard's directory entry."""
     path = scratch(spark, "shards")
-    buckets = write_shards(documents(spark, sf_dir), path)
+    buckets = write_shards(docs, path, limit)
     back = spark.read.parquet(path).select("shard", F.col("row.doc_id"), F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long").alias("n_bytes"))
     return back.join(buckets.drop("prefix"), "shard").select("doc_id", "n_bytes", "shard", "depth", "shard_docs", "shard_bytes", "oversized")
+
+
+@query("op6_sharding", _SQL.format(limit=LIMIT))
+def op6(spark, sf_dir):
+    return shards(spark, documents(spark, sf_dir))
+
+
+@query("sharding_depths", _SQL.format(limit="(SELECT greatest(1, sum(n_bytes) // 16) FROM docs)"))
+def depths(spark, sf_dir):
+    """Shards of a sixteenth of the table at most, so that buckets split to several depths at every size."""
+    docs = documents(spark, sf_dir)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return shards(spark, docs, max(1, total // 16))
