@@ -93,7 +93,11 @@ def test_near_crowded_group(spark):
 
 @pytest.mark.parametrize("share", [(85, 100), (80, 100)])
 def test_near_crowded_family(spark, share):
-    """A family around the threshold, many times larger than what an order compares: every link counts."""
+    """A family around the threshold, many times larger than what an order compares.
+
+    The search is one by chance: a document with a single link, within a hundredth of the threshold, may be missed. No
+    other may, and no document is linked that isn't.
+    """
     rng = random.Random(11)
     words = [f"w{i}" for i in range(240)]
     texts = []
@@ -106,9 +110,14 @@ def test_near_crowded_family(spark, share):
             for k in range(rng.randrange(1, 7)):
                 copy[rng.randrange(len(copy))] = f"more{i}n{k}"
             texts.append(" ".join(copy))
-    want = components_of({i: shingles(t, 3, lower=True) for i, t in enumerate(texts)}, *share)
+    sets = {i: shingles(t, 3, lower=True) for i, t in enumerate(texts)}
+    want = components_of(sets, *share)
     got = {r.doc_id: r.component_id for r in near_dedup.groups(table(spark, texts), share=share).collect()}
-    assert got == want and 1 < len(set(want.values())) < len(texts)
+    missed = [d for d in want if got[d] != want[d]]
+    assert len(missed) <= 0.01 * len(texts) and 1 < len(set(want.values())) < len(texts)
+    for d in missed:
+        likeness = sorted((len(sets[d] & s) / len(sets[d] | s) for i, s in sets.items() if i != d), reverse=True)
+        assert got[d] == d and likeness[0] < share[0] / share[1] + 0.01 and likeness[1] < share[0] / share[1]
 
 
 def test_near_pairs_grow_with_documents(spark, monkeypatch):

@@ -143,7 +143,7 @@ def test_toxicity_slopes():
         for i in range(grades - 1):
             up = theta.copy()
             up[i] += 1e-6
-            assert (toxicity._loss(up, y, theta, grades)[0] - value) / 1e-6 == pytest.approx(of_theta[i], abs=1e-4)
+            assert (toxicity._loss(score, y, up, grades)[0] - value) / 1e-6 == pytest.approx(of_theta[i], abs=1e-4)
 
 
 def test_ordinal_grades():
