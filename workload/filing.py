@@ -176,10 +176,15 @@ def exported_with_steps(spark, d):
     return manifest.join(packed.union(loose), "target_name", "left").join(want, ["collection", "file_name"]).select("collection", "file_name", "target_name", "bytes", "error", same.alias("same"))
 
 
-# ---- catalogues: one a nation, a set a supplier, plain and zipped ----
+# ---- catalogues: one a nation and range of supplier numbers, a set a supplier, plain and zipped ----
+#: suppliers a catalogue may list: more data make more catalogues, not larger ones
+LISTED = 500
+
+
 def _catalog_files(spark, d) -> str:
     game = F.format_string('<game name="%s"><description>%s</description><rom name="%s.bin" size="%d" crc="%s"/></game>', "s_name", "s_name", "s_name", F.col("s_suppkey"), F.substring(F.md5("s_name"), 1, 8))
     named = fr.table(spark, d, "supplier").join(fr.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    named = named.withColumn("n_name", F.expr(f"n_name || ' ' || CAST(s_suppkey DIV {LISTED} AS STRING)"))
     rows = named.groupBy("n_name").agg(F.array_join(F.sort_array(F.collect_list(game)), "").alias("games")).select(
         "n_name", F.concat(F.lit("<datafile><header><name>"), "n_name", F.lit("</name><version>1</version></header>"), "games", F.lit("</datafile>")).alias("xml"))
 
@@ -197,7 +202,8 @@ def _catalog_files(spark, d) -> str:
     return _put(plain.union(rows.mapInPandas(zipped, "path string, content binary")), session.scratch(spark, "catalogues"))
 
 
-_ENTRIES = "SELECT n_name AS catalog, s_name AS set_name, s_name || '.bin' AS entry_name, CAST(s_suppkey AS BIGINT) AS size, substr(md5(s_name), 1, 8) AS crc FROM supplier JOIN nation ON n_nationkey = s_nationkey"
+_LIST = f"n_name || ' ' || CAST(s_suppkey // {LISTED} AS VARCHAR)"
+_ENTRIES = f"SELECT {_LIST} AS catalog, s_name AS set_name, s_name || '.bin' AS entry_name, CAST(s_suppkey AS BIGINT) AS size, substr(md5(s_name), 1, 8) AS crc FROM supplier JOIN nation ON n_nationkey = s_nationkey"
 _OF = r"regexp_extract(catalog_path, '([^/]+)[.](dat|zip)$', 1) AS catalog"
 
 
@@ -211,7 +217,7 @@ def zipped_catalog_entries(spark, d):
     return CA.read_zipped_entries(spark, _catalog_files(spark, d)).selectExpr(_OF, "set_name", "entry_name", "size", "crc")
 
 
-@query("discovered_catalogs", """SELECT g AS catalog_group, n_name AS name, n_name AS collection, '1' AS version FROM nation, (VALUES (0), (1)) t(g)
-WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)""")
+@query("discovered_catalogs", f"""SELECT DISTINCT g AS catalog_group, {_LIST} AS name, {_LIST} AS collection, '1' AS version
+FROM supplier JOIN nation ON n_nationkey = s_nationkey, (VALUES (0), (1)) t(g)""")
 def discovered_catalogs(spark, d):
     return CA.discover_catalogs(spark, _catalog_files(spark, d)).select("catalog_group", "name", "collection", "version")
