@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +11,25 @@ from shelfmark.operators.reconcile import SCOPE, wanted_hashes
 FILE = ["collection", "file_name", "member_name"]
 
 
+LOG = "collection string, file_name string, member_name string, hash string, batch_id bigint"
+
+
+def refresh_wanted(entries: DataFrame, path: str) -> None:
+    """Write what catalogues want: those in ``entries`` are replaced as a whole, others stay. May be called at any time.
+
+    Files that came before are matched as well, since matching happens on read.
+    """
+    wanted_hashes(entries).write.partitionBy(*SCOPE).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/wanted")
+
+
 def start(arrivals: DataFrame, entries: DataFrame, path: str, checkpoint: str, **trigger):
     """``arrivals``: stream of collection, file_name, member_name, hash.
 
-    The wanted hashes are written once, when the stream starts. Each batch appends its files under its batch id, so it
-    costs its own size; no state is kept. What a file holds is settled on read: the last batch that delivered it counts.
+    The wanted hashes of ``entries`` are written when the stream starts (see ``refresh_wanted`` for later changes). Each
+    batch appends its files under its batch id, so it costs its own size; no state is kept. What a file holds is settled
+    on read: the last batch that delivered it counts.
     """
-    wanted_hashes(entries).write.mode("overwrite").parquet(f"{path}/wanted")
+    refresh_wanted(entries, path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a file that comes twice in one batch has no order there: the larger hash stands
@@ -30,12 +43,40 @@ def start(arrivals: DataFrame, entries: DataFrame, path: str, checkpoint: str, *
     )
 
 
+def _base(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """Rows of the last compaction and the batch it goes up to."""
+    try:
+        bases = spark.read.schema(LOG + ", upto bigint").parquet(f"{path}/base")
+    except AnalysisException:  # nothing has been compacted yet
+        return None, -1
+    upto = bases.agg(F.max("upto")).first()[0]
+    return (None, -1) if upto is None else (bases.where(F.col("upto") == upto).drop("upto"), upto)
+
+
+def holdings(spark: SparkSession, path: str) -> DataFrame:
+    """What each file held last: FILE, hash, batch_id. Reads the last compaction and the batches after it."""
+    base, upto = _base(spark, path)
+    log = spark.read.schema(LOG).parquet(f"{path}/log").where(F.col("batch_id") > upto)
+    rows = log if base is None else base.unionByName(log)
+    return rows.groupBy(*FILE).agg(F.max_by("hash", "batch_id").alias("hash"), F.max("batch_id").alias("batch_id"))
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Fold all batches so far into one row a file, beside the log; returns the last batch folded.
+
+    A repeated compaction writes the same rows again, and batches that arrive meanwhile stay in the log.
+    """
+    upto = spark.read.schema(LOG).parquet(f"{path}/log").agg(F.max("batch_id")).first()[0]
+    if upto is not None:
+        folded = holdings(spark, path).where(F.col("batch_id") <= upto).withColumn("upto", F.lit(upto).cast("bigint"))
+        folded.write.partitionBy("upto").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/base")
+    return -1 if upto is None else upto
+
+
 def found(spark: SparkSession, path: str) -> DataFrame:
-    """First source and number of files per wanted hash, by what each file held last."""
-    log = spark.read.schema("collection string, file_name string, member_name string, hash string, batch_id bigint").parquet(f"{path}/log")
-    last = log.groupBy(*FILE).agg(F.max_by("hash", "batch_id").alias("hash"))
+    """First source and number of files per wanted hash, by what each file held last and what is wanted now."""
     return (
-        last.join(spark.read.parquet(f"{path}/wanted"), ["collection", "hash"])
+        holdings(spark, path).join(spark.read.schema("hash string, collection string, catalog string").parquet(f"{path}/wanted"), ["collection", "hash"])
         .groupBy(*SCOPE, "hash")
         .agg(F.min(F.struct("file_name", "member_name")).alias("s"), F.count(F.lit(1)).alias("n_copies"))
         .select(*SCOPE, "hash", "s.*", "n_copies")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import session
@@ -51,6 +52,29 @@ def incremental_reconcile(spark, d):
     return I.found(spark, path)
 
 
+# all documents arrive, every fourth comes again with other content and every third as it was; half of the catalogue's entries are added last
+@query("incremental_changes", fr.DOCS + """
+SELECT e.collection, e.catalog, h.hash, min(h.file_name) AS file_name, CAST(NULL AS VARCHAR) AS member_name, count(*) AS n_copies
+FROM (SELECT * FROM doc_hash WHERE CAST(regexp_extract(file_name, '[0-9]+') AS INT) % 4 <> 0) h
+JOIN (SELECT DISTINCT collection, catalog, hash FROM doc_entry) e ON e.collection = h.collection AND e.hash = h.hash GROUP BY e.collection, e.catalog, h.hash""")
+def incremental_changes(spark, d):
+    path, checkpoint, inbox = (session.scratch(spark, x) for x in ("arrivals", "arrivals-state", "inbox"))
+    number = F.regexp_extract("file_name", "[0-9]+", 0).cast("int")
+    every, entries = fr.doc_hashes(spark, d).select(*I.FILE, "hash"), fr.doc_entries(spark, d)
+
+    def deliver(rows: DataFrame, wanted: DataFrame) -> None:
+        rows.write.mode("append").parquet(inbox)
+        I.start(spark.readStream.schema(every.schema).parquet(inbox), wanted, path, checkpoint).awaitTermination()
+
+    deliver(every, entries.where(F.xxhash64("set_name") % 2 == 0))
+    I.compact(spark, path)
+    deliver(every.where(number % 4 == 0).withColumn("hash", F.md5(F.concat(F.lit("changed "), "hash"))), entries.where(F.xxhash64("set_name") % 2 == 0))
+    deliver(every.where((number % 3 == 0) & (number % 4 != 0)), entries.where(F.xxhash64("set_name") % 2 == 0))
+    I.compact(spark, path)
+    I.refresh_wanted(entries, path)
+    return I.found(spark, path)
+
+
 @query("scoped_refresh", fr.RESULTS + """
 SELECT r.* REPLACE (CASE WHEN collection = 'PROMO' THEN 'refreshed' ELSE note END AS note) FROM result r""")
 def scoped_refresh(spark, d):
