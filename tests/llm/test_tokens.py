@@ -174,3 +174,17 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0
     again = mixing.mix(docs.union(docs))
     assert again.count() == 1400
+
+
+def test_caches_are_bounded_in_bytes():
+    """Keys, values and dictionaries of a cache stay within its bytes whatever comes, values stay right, long texts aren't kept."""
+    from shelfmark.llm import coding
+
+    cache = coding.Bounded(lambda new: [x.encode() * 2 for x in new], 200_000)
+    rng = random.Random(4)
+    for _ in range(400):
+        parts = [rng.choice(["the", "of", "x" * rng.randrange(5000), "é" * rng.randrange(900), f"w{rng.randrange(10 ** 6)}"]) for _ in range(30)]
+        assert cache.values(parts) == [x.encode() * 2 for x in parts]
+        held = {**cache.now, **cache.late}
+        assert sum(coding.ENTRY + len(x.encode()) + len(v) for x, v in held.items()) <= 200_000
+    assert "the" in cache.now and max(len(v) for v in held.values()) < 2000
